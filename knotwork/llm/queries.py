@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from knotwork.llm import parse_check
+from knotwork.llm import handwritten, parse_check, quality
 from knotwork.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,10 @@ def queries() -> dict[str, Query]:
         "p1_found": lambda s, d: parse_check.found(table(s, d, "repo")),
         "p1_rates": lambda s, d: parse_check.rates(table(s, d, "repo")),
         "p1_reported": lambda s, d: parse_check.reported(table(s, d, "repo"), table(s, d, "metadata")),
+        "p5_found": lambda s, d: handwritten.found(table(s, d, "repo")),
+        "p5_reasons": lambda s, d: handwritten.summary(table(s, d, "repo")),
+        "p8_found": lambda s, d: quality.found(table(s, d, "documents"), table(s, d, "common_word")),
+        "p8_statistics": lambda s, d: quality.verdicts(table(s, d, "documents"), table(s, d, "common_word")),
     }
 
 
