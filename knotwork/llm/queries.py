@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from knotwork.llm import handwritten, parse_check, quality
+from knotwork.llm import handwritten, leakage, parse_check, quality
 from knotwork.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +19,8 @@ def queries() -> dict[str, Query]:
         "p1_reported": lambda s, d: parse_check.reported(table(s, d, "repo"), table(s, d, "metadata")),
         "p5_found": lambda s, d: handwritten.found(table(s, d, "repo")),
         "p5_reasons": lambda s, d: handwritten.summary(table(s, d, "repo")),
+        "p7_found": lambda s, d: leakage.found(table(s, d, "documents"), table(s, d, "eval_item")),
+        "p7_spans": lambda s, d: leakage.removal_spans(table(s, d, "documents"), table(s, d, "eval_item")),
         "p8_found": lambda s, d: quality.found(table(s, d, "documents"), table(s, d, "common_word")),
         "p8_statistics": lambda s, d: quality.verdicts(table(s, d, "documents"), table(s, d, "common_word")),
     }
