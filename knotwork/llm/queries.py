@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from knotwork.llm import handwritten, leakage, parse_check, quality
+from knotwork.llm import canonical, handwritten, incremental, leakage, parse_check, quality
 from knotwork.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,9 @@ def queries() -> dict[str, Query]:
         "p1_found": lambda s, d: parse_check.found(table(s, d, "repo")),
         "p1_rates": lambda s, d: parse_check.rates(table(s, d, "repo")),
         "p1_reported": lambda s, d: parse_check.reported(table(s, d, "repo"), table(s, d, "metadata")),
+        "p3_found": lambda s, d: canonical.found(table(s, d, "entity"), table(s, d, "layer_type_stardard")),
+        "p3_report": lambda s, d: canonical.report(table(s, d, "entity"), table(s, d, "layer_type_stardard")),
+        "p4_found": lambda s, d: incremental.found(table(s, d, "paper")),
         "p5_found": lambda s, d: handwritten.found(table(s, d, "repo")),
         "p5_reasons": lambda s, d: handwritten.summary(table(s, d, "repo")),
         "p7_found": lambda s, d: leakage.found(table(s, d, "documents"), table(s, d, "eval_item")),
