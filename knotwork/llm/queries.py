@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from knotwork.llm import canonical, handwritten, incremental, leakage, parse_check, quality
+from knotwork.llm import canonical, handwritten, incremental, leakage, packing, parse_check, quality
 from knotwork.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,8 @@ def queries() -> dict[str, Query]:
         "p4_found": lambda s, d: incremental.found(table(s, d, "paper")),
         "p5_found": lambda s, d: handwritten.found(table(s, d, "repo")),
         "p5_reasons": lambda s, d: handwritten.summary(table(s, d, "repo")),
+        "p6_placements": lambda s, d: packing.placements(table(s, d, "documents"), table(s, d, "container_spec")),
+        "p6_fill": lambda s, d: packing.fill(table(s, d, "documents"), table(s, d, "container_spec")),
         "p7_found": lambda s, d: leakage.found(table(s, d, "documents"), table(s, d, "eval_item")),
         "p7_spans": lambda s, d: leakage.removal_spans(table(s, d, "documents"), table(s, d, "eval_item")),
         "p8_found": lambda s, d: quality.found(table(s, d, "documents"), table(s, d, "common_word")),
