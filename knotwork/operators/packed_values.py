@@ -161,8 +161,9 @@ def is_plain(edges: list[Edge]) -> bool:
 
 
 def _logs(edges: list[Edge], freq: dict[str, float], total: float) -> list[float]:
-    # an unseen value costs more the longer it is; an empty one costs nothing
-    return [w + (0.0 if not v else math.log(freq[v.lower()] / total) if freq.get(v.lower()) else math.log(0.1 / total) - 0.7 * len(v)) for _, _, v, w in edges]
+    # an unseen value costs more the longer it is and the more separators it holds; an empty one costs nothing
+    unseen = lambda v: -3.0 - 0.7 * len(v) - 3.0 * sum(map(v.count, SEPARATORS))
+    return [w + (0.0 if not v else max(math.log(freq[v.lower()] / total), unseen(v)) if freq.get(v.lower()) else unseen(v)) for _, _, v, w in edges]
 
 
 def best_path(edges: list[Edge], freq: dict[str, float], total: float) -> list[str]:
