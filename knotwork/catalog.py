@@ -6,17 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from knotwork.operators import packed_values
+from knotwork.operators import analytics, packed_values
 from knotwork.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {
+    return analytics.queries() | {
         "p2_found": lambda s, d: packed_values.found(table(s, d, "paper")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return analytics.oracle_sql()
