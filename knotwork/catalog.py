@@ -6,17 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from knotwork.operators import analytics, packed_values
+from knotwork.operators import analytics, graphs, packed_values, tabular
 from knotwork.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+#: Modules that offer ``queries()`` and ``oracle_sql()``.
+MODULES = (analytics, tabular, graphs)
+
 
 def queries() -> dict[str, Query]:
-    return analytics.queries() | {
-        "p2_found": lambda s, d: packed_values.found(table(s, d, "paper")),
-    }
+    out: dict[str, Query] = {}
+    for m in MODULES:
+        out |= m.queries()
+    return out | {"p2_found": lambda s, d: packed_values.found(table(s, d, "paper"))}
 
 
 def oracle_sql() -> dict[str, str]:
-    return analytics.oracle_sql()
+    out: dict[str, str] = {}
+    for m in MODULES:
+        out |= m.oracle_sql()
+    return out
