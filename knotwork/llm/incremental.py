@@ -31,6 +31,8 @@ from knotwork.session import stage_table
 
 #: Bands and rows of the MinHash signature, letters of a piece, seed.
 BANDS, ROWS, LETTERS, SEED = 20, 5, 4, 11
+#: Letters that may differ between titles that meet by a band only.
+MOST_EDITS = 7
 #: Buckets of the hash table on disk.
 BUCKETS = 32
 
@@ -185,11 +187,11 @@ _A = (_rng.integers(1, 2**61 - 1, BANDS * ROWS, dtype=np.uint64) | np.uint64(1))
 _B = _rng.integers(0, 2**61 - 1, BANDS * ROWS, dtype=np.uint64)[:, None]
 
 
-def row_hashes(title: str | None, dir_name: str | None, link: str | None) -> tuple[str, list[int]]:
-    """(normalised title, hashes under which the row can be met)."""
+def row_hashes(title: str | None, dir_name: str | None, link: str | None) -> tuple[str, list[int], list[int]]:
+    """(normalised title, hashes of whole fields, hashes of signature bands) under which the row can be met."""
     words, _, _ = title_words(title)
     d, c = directory(dir_name), code_link(link)
-    out = []
+    out, bands = [], []
     if words:
         out.append(_hash("slug", "-".join(words)))
     if d:
@@ -201,15 +203,15 @@ def row_hashes(title: str | None, dir_name: str | None, link: str | None) -> tup
         pieces = {flat[k : k + LETTERS] for k in range(len(flat) - LETTERS + 1)}
         x = np.array([hash_piece(p) for p in pieces], np.uint64)
         low = ((_A * x + _B) >> np.uint64(17)).min(axis=1).reshape(BANDS, ROWS)
-        out += [_hash(f"band{k}", low[k].tobytes().hex()) for k in range(BANDS)]
-    return flat, sorted(set(out))
+        bands = [_hash(f"band{k}", low[k].tobytes().hex()) for k in range(BANDS)]
+    return flat, sorted(set(out)), sorted(set(bands))
 
 
 def hash_piece(piece: str) -> int:
     return int.from_bytes(hashlib.blake2b(piece.encode("utf-8", "replace"), digest_size=8).digest(), "big")
 
 
-HASHED = "paper_id long, batch_no int, title string, stored_dir_name string, code string, flat string, hashes array<long>"
+HASHED = "paper_id long, batch_no int, title string, stored_dir_name string, code string, flat string, fields array<long>, bands array<long>"
 
 
 def _hash_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,8 +219,8 @@ def _hash_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = [b.column(c) for c in ("paper_id", "batch_no", "title", "stored_dir_name", "code")]
         both = [row_hashes(t, d, c) for t, d, c in zip(*(x.to_pylist() for x in columns[2:]), strict=True)]
         yield pa.RecordBatch.from_arrays(
-            [*columns, pa.array([x for x, _ in both], pa.string()), pa.array([x for _, x in both], pa.list_(pa.int64()))],
-            ["paper_id", "batch_no", "title", "stored_dir_name", "code", "flat", "hashes"],
+            [*columns, pa.array([x[0] for x in both], pa.string()), pa.array([x[1] for x in both], pa.list_(pa.int64())), pa.array([x[2] for x in both], pa.list_(pa.int64()))],
+            ["paper_id", "batch_no", "title", "stored_dir_name", "code", "flat", "fields", "bands"],
         )
 
 
@@ -246,11 +248,21 @@ def links(new: DataFrame, old: DataFrame) -> DataFrame:
     firsts = old.filter("flat <> ''").groupBy("flat").agg(F.min("place").alias("head"))
     star = new.filter("flat <> ''").join(firsts, "flat").filter(F.col("place") > F.col("head")).select(F.col("head.paper_id").alias("paper_id_a"), F.col("paper_id").alias("paper_id_b"))
     # of a title every distinct directory and link can bring a hash of its own; of equal hashes the first row counts
-    entries = lambda rows, end: (
-        rows.select("flat", "place", F.explode("hashes").alias("h"))
+    entries = lambda rows, end, field: (
+        rows.select("flat", "place", F.explode(field).alias("h"))
         .groupBy("h", "flat").agg(F.min("place").alias(f"place_{end}")).withColumnRenamed("flat", f"flat_{end}")
     )
-    met = entries(new, "b").join(entries(old, "a"), "h").filter("flat_a <> flat_b").filter(F.col("place_a") < F.col("place_b"))
+    meet = lambda field: entries(new, "b", field).join(entries(old, "a", field), "h").filter("flat_a <> flat_b").filter(F.col("place_a") < F.col("place_b"))
+    # equal bands only hint at likeness: few letters differ, or a first word is lost, or one title is cut off
+    tail = lambda c: F.regexp_replace(c, r"^\S+ ", "")
+    like = (
+        (F.levenshtein("flat_a", "flat_b", MOST_EDITS) >= 0)
+        | (F.levenshtein(tail(F.col("flat_a")), F.col("flat_b"), 3) >= 0)
+        | (F.levenshtein(F.col("flat_a"), tail(F.col("flat_b")), 3) >= 0)
+        | F.startswith("flat_a", F.col("flat_b"))
+        | F.startswith("flat_b", F.col("flat_a"))
+    )
+    met = meet("fields").unionByName(meet("bands").filter(like))
     pairs = met.select(F.col("place_a.paper_id").alias("paper_id_a"), F.col("place_b.paper_id").alias("paper_id_b")).distinct()
     side = lambda rows, end: rows.select(*(F.col(c).alias(f"{c}_{end}") for c in ("paper_id", "title", "stored_dir_name", "code")))
     told = pairs.join(side(old, "a"), "paper_id_a").join(side(new, "b"), "paper_id_b")
@@ -304,7 +316,7 @@ class HashStore:
             matched = first_of_work(new, links(new, new))
         else:
             # only rows of history that share a hash or a title are read on
-            keys = new.select(F.explode("hashes").alias("h")).distinct().withColumn("bucket", F.pmod("h", F.lit(BUCKETS)))
+            keys = new.select(F.explode(F.concat("fields", "bands")).alias("h")).distinct().withColumn("bucket", F.pmod("h", F.lit(BUCKETS)))
             hashes = self.spark.read.parquet(f"{self.folder}/_hashes")
             met = hashes.join(keys, ["bucket", "h"], "left_semi").select("paper_id").distinct()
             near = stage_table(old.join(met, "paper_id", "left_semi").select(*new.columns).unionByName(new), "near")
@@ -314,5 +326,5 @@ class HashStore:
         matched = stage_table(matched, "matched")
         out = new.join(matched.select(F.col("paper_id_b").alias("paper_id"), F.col("paper_id_a").alias("root")), "paper_id", "left").withColumn("root", F.coalesce("root", "paper_id"))
         out.write.mode("append").parquet(f"{self.folder}/_rows")
-        out.select("paper_id", F.explode("hashes").alias("h")).withColumn("bucket", F.pmod("h", F.lit(BUCKETS))).write.mode("append").partitionBy("bucket").parquet(f"{self.folder}/_hashes")
+        out.select("paper_id", F.explode(F.concat("fields", "bands")).alias("h")).withColumn("bucket", F.pmod("h", F.lit(BUCKETS))).write.mode("append").partitionBy("bucket").parquet(f"{self.folder}/_hashes")
         return matched
