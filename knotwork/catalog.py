@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from knotwork.operators import analytics, graphs, packed_values, tabular
+from knotwork.operators import analytics, figures, graphs, metrics, packed_values, tabular, texts
 from knotwork.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: Modules that offer ``queries()`` and ``oracle_sql()``.
-MODULES = (analytics, tabular, graphs)
+MODULES = (analytics, tabular, graphs, metrics, figures, texts)
 
 
 def queries() -> dict[str, Query]:
