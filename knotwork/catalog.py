@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from knotwork.operators import analytics, figures, graphs, metrics, packed_values, tabular, texts
 from knotwork.session import table
+from knotwork.streaming import queries as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: Modules that offer ``queries()`` and ``oracle_sql()``.
-MODULES = (analytics, tabular, graphs, metrics, figures, texts)
+MODULES = (analytics, tabular, graphs, metrics, figures, texts, streams)
 
 
 def queries() -> dict[str, Query]:
