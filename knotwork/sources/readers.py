@@ -152,7 +152,7 @@ def _turtle_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def turtle(spark: SparkSession, path: str) -> DataFrame:
     """Triples of Turtle files, one file a task at the least; a triple that several files hold is one."""
-    files = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), "value")
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     return files.mapInArrow(_turtle_task, schema.TRIPLE).distinct()
 
 
@@ -178,7 +178,7 @@ def rdf_xml(spark: SparkSession, path: str) -> DataFrame:
                         rows.append((s, full(child.tag), ref if ref is not None else (child.text or ""), "uri" if ref is not None else "literal"))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in range(4)], ["s", "p", "o", "o_kind"])
 
-    return spark.read.option("wholetext", True).text(path).mapInArrow(task, "s string, p string, o string, o_kind string").distinct()
+    return spark.read.text(path, wholetext=True).mapInArrow(task, "s string, p string, o string, o_kind string").distinct()
 
 
 def triple_lines(spark: SparkSession, path: str, sep: str = "\t", prefix: str = "") -> DataFrame:
@@ -190,8 +190,8 @@ def triple_lines(spark: SparkSession, path: str, sep: str = "\t", prefix: str =
 
 def figure_lines(spark: SparkSession, path: str) -> DataFrame:
     """(paper, s, p, o) of figure graphs: blank-separated, in Latin 1, the object with all its words; the paper is three folders up."""
-    rows = spark.read.option("encoding", "ISO-8859-1").text(path)
-    rows = rows.select(F.element_at(F.split("_metadata.file_path", "/"), -3).alias("paper"), F.split(F.trim("value"), " ", 3).alias("f"))
+    rows = spark.read.format("binaryFile").load(path).select("path", F.explode(F.split(F.decode("content", "ISO-8859-1"), r"\r?\n")).alias("value"))
+    rows = rows.select(F.element_at(F.split("path", "/"), -3).alias("paper"), F.split(F.trim("value"), " ", 3).alias("f"))
     return rows.filter(F.size("f") == 3).select("paper", F.col("f")[0].alias("s"), F.col("f")[1].alias("p"), F.col("f")[2].alias("o"))
 
 
@@ -222,7 +222,7 @@ def standoff(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 def tei(spark: SparkSession, path: str) -> DataFrame:
     """One row per TEI document: title, abstract, doi, authors, text, and figures as (head, caption)."""
     text = F.regexp_replace("value", r'\sxmlns(:\w+)?="[^"]*"', "")
-    rows = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), text.alias("x"))
+    rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), text.alias("x"))
     one = lambda p: F.nullif(F.trim(F.xpath_string("x", F.lit(p))), F.lit(""))
     many = lambda p: F.xpath("x", F.lit(p))
     return rows.select(
@@ -239,7 +239,7 @@ def tei(spark: SparkSession, path: str) -> DataFrame:
 def metadata_folder(spark: SparkSession, path: str) -> DataFrame:
     """One row per repository folder from its small text files; a missing file is null."""
     parts = F.split("_metadata.file_path", "/")
-    rows = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path)
+    rows = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
     rows = rows.select(F.element_at(parts, -2).alias("dir_name"), F.regexp_replace(F.element_at(parts, -1), r"\.txt$", "").alias("key"), "value")
     return metadata_record(rows)
 
@@ -259,7 +259,7 @@ def figure_captions(spark: SparkSession, path: str, images: DataFrame) -> DataFr
 
 def repository(spark: SparkSession, path: str, pattern: str = "*.py") -> DataFrame:
     """(path, code) of source files under a folder."""
-    rows = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(path)
+    rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(path, wholetext=True)
     return rows.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("code"))
 
 
