@@ -65,14 +65,14 @@ _PARA = re.compile(r"\n[ \t]*\n")
 
 
 def _numbered_share(lines: list[str]) -> float:
-    """Share of lines that continue a count: a name whose number is that of an earlier line plus one, or equal to it."""
+    """Share of lines that continue a count: a name whose number is equal to the last one of that name or up to two more."""
     last: dict[str, int] = {}
     hits = runs = 0
     for line in lines:
         good = False
         for stem, number in _NUMBERED.findall(line):
             n, before = int(number[:9]), last.get(stem)
-            if before is not None and n - before in (0, 1):
+            if before is not None and n - before in (0, 1, 2):
                 good = True
                 runs += n - before
             last[stem] = n

@@ -1,7 +1,7 @@
 """A chart recogniser for context-free grammars, driven by prediction tables.
 
 A grammar is text: ``%keywords`` and ``%operators`` lines declare terminals of several characters, then rules
-``name: alternatives ;`` in EBNF (``?``, ``*``, ``+``, ``|``, brackets; ``&'x'`` looks ahead at x, ``&'END'`` at the end). A token stream is a string with one
+``name: alternatives ;`` in EBNF (``?``, ``*``, ``+``, ``|``, brackets; ``&'x'`` looks ahead at x, ``&'END'`` at the end, ``!'x'`` at anything else). A token stream is a string with one
 character per token. For every rule the FIRST set is computed and turned into a table from the next token to the
 alternatives that can begin with it. The chart holds, for each (rule, position), all positions where the rule can
 end, so ambiguous and non-LL grammars are recognised exactly; only left recursion is excluded.
@@ -16,7 +16,7 @@ END = "\0"
 #: First character used for terminals of more than one character.
 PRIVATE = 0xE000
 
-_TOKEN = re.compile(r"\s+|#[^\n]*|(?P<lit>'[^']+')|(?P<name>\w+)|(?P<op>[|*+?();:&])")
+_TOKEN = re.compile(r"\s+|#[^\n]*|(?P<lit>'[^']+')|(?P<name>\w+)|(?P<op>[|*+?();:&!])")
 
 
 class Grammar:
@@ -78,10 +78,10 @@ class Grammar:
                 self._at += 1
                 node = self._alternatives()
                 self._take("op", ")")
-            elif m[0] == "&":
+            elif m[0] in "&!":
                 self._at += 1
                 word = self._take("lit")[1:-1]
-                node = ("look", END if word == "END" else self.code.get(word, word))
+                node = ("look" if m[0] == "&" else "not", END if word == "END" else self.code.get(word, word))
             elif m.lastgroup == "lit":
                 self._at += 1
                 word = m[0][1:-1]
@@ -102,6 +102,8 @@ class Grammar:
         kind, x = node
         if kind in ("term", "look"):
             return {x}, False
+        if kind == "not":
+            return set(), True
         if kind == "rule":
             return self._first[x], x in self._nullable
         if kind == "seq":
@@ -165,6 +167,8 @@ class Grammar:
             return term
         if kind == "look":
             return lambda at: (at,) if self.stream[at] == x else ()
+        if kind == "not":
+            return lambda at: (at,) if self.stream[at] != x else ()
         if kind == "seq":
             parts = [self._compile(p) for p in x]
 

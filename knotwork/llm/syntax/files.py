@@ -382,7 +382,7 @@ class Python:
 # --- JavaScript and Java
 
 _JS_TEXT = re.compile(
-    r"""//[^\n]*|/\*[\s\S]*?\*/|<!--[^\n]*|"[^"\\\n]*(?:\\[\s\S][^"\\\n]*)*"|'[^'\\\n]*(?:\\[\s\S][^'\\\n]*)*'|`[^`\\]*(?:\\[\s\S][^`\\]*)*`"""
+    r"""//[^\n]*|/\*[\s\S]*?\*/|<!--[^\n]*|"[^"\\\n]*(?:\\[\s\S][^"\\\n]*)*"|'[^'\\\n]*(?:\\[\s\S][^'\\\n]*)*'|`(?:[^`\\$]|\\[\s\S]|\$(?!\{)|\$\{(?:[^{}`]|`[^`]*`|\{[^{}`]*\})*\})*`"""
     r"""|/(?:[^\\/\[\n]|\\[^\n]|\[(?:[^\]\\\n]|\\[^\n])*\])+/[A-Za-z]*|"|'|`"""
 )
 # before a pattern literal stands an operator, an opening bracket or one of these words; otherwise / divides
@@ -515,7 +515,7 @@ class JavaScript(Braces):
         words = [x for w, x in c.items() if w.isalpha()]
         binary = {c[w] for w in ("in", "instanceof")}
         closing = "".join(c[w] for w in ("this", "null", "true", "false", "super", "break", "continue", "return", "let", "static", "async", "await", "yield", "of", "get", "set", "++", "--", "debugger"))
-        opening = "".join(x for x in words if x not in binary | {c[w] for w in ("else", "catch", "finally", "extends", "of")})
+        opening = "".join(x for x in words if x not in binary | {c[w] for w in ("extends", "of")})
         self._end = re.compile(rf"(?<=[a0st)\]}}{closing}])\n+(?=[a0st{{!~#{opening}{c['++']}{c['--']}])")
         # what may follow a group without beginning a new statement
         self.goes_on = set(";,.)](?:=+-*/%<>&|^[t") | {c[w] for w in c if not w.isalpha() and w not in ("++", "--", "...")} | binary | {c[w] for w in ("else", "catch", "finally", "while", "of")} | {"N"}

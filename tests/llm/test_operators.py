@@ -1,0 +1,237 @@
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from knotwork.llm import canonical, handwritten, incremental, leakage, packing, quality
+
+# --- problem 3
+
+LISTED = [("masked embedding", "masked embedding"), ("masked embed", "masked embedding"), ("gated activation", "gated activation"), ("gated act fn", "gated activation"), ("dilated dropout", "dilated dropout"), ("drop out (dilated)", "dilated dropout"), ("causal convolution", "causal convolution")]
+
+
+@pytest.mark.parametrize(
+    "text, entry",
+    [
+        ("Masked Embedding", "masked embedding"), ("msaked embeding layer", "masked embedding"), ("embedding, masked", "masked embedding"), ("MaskedEmbedding2D", "masked embedding"), ("maskedembedding", "masked embedding"), ("our gated actlvati0n x4", "gated activation"),
+        ("gated activat.", "gated activation"), ("causal convolut. (k=5)", "causal convolution"), ("dropout", "unmatched"), ("masked dropout layer", "unmatched"), ("masked", "unmatched"), ("3x3", "unmatched"), ("--", "unmatched"), ("word error", "unmatched"), ("masked embedding from news", "unmatched"), ("x" * 5000, "unmatched"),
+    ],
+)
+def test_names(text, entry):
+    assert canonical.Index(LISTED).entry(text) == entry
+
+
+def test_prefix_filter_against_all_pairs():
+    index = canonical.Index(LISTED)
+    r = random.Random(4)
+    for _ in range(400):
+        text = r.choice(LISTED)[0]
+        for _ in range(r.randint(0, 3)):
+            k = r.randrange(len(text) + 1)
+            text = text[:k] + r.choice("abel ") + text[k + r.randint(0, 1) :]
+        words = [canonical.fold(w) for w in canonical.tokens(text)]
+        own = canonical.pairs(words)
+        met = {k for at, p in enumerate(index.ordered(own)[: index.prefix(len(own))]) for k, _ in index.under.get(p, ())}
+        for k, s in enumerate(index.sets):
+            if own and len(own & s) / len(own | s) >= canonical.SIMILAR:
+                assert k in met
+
+
+def test_mentions_table(spark):
+    std = spark.createDataFrame(LISTED + [(None, "x"), LISTED[0]], "variant string, layer_type string")
+    ent = spark.createDataFrame([(1, "masked embed", "a"), (1, "masked embed", "a"), (2, None, "b"), (3, "  ", "c"), (4, "nothing", None), (None, "gated act fn", None)], "entity_id long, entitytext string, layer_type string")
+    assert sorted(map(tuple, canonical.found(ent, std).collect())) == [(1, "masked embedding"), (4, "unmatched")]
+    assert [r.layer_type for r in canonical.found(ent, std.limit(0)).collect()] == ["unmatched"] * 2
+    assert canonical.found(ent.limit(0), std).count() == 0
+
+
+# --- problem 4
+
+BASE = ("Zokapita: Compact Rumour Detection with Layered Encoders", "zokapita-compact-rumour-detection-with-layered-encoders", "https://git.example/lab/zokapita-tf")
+
+
+@pytest.mark.parametrize(
+    "row, same",
+    [
+        (("ZOKAPITA - Compact Rumour  Detection with Layered Encoders (with Code)", None, None), True), (("[v2] Zokapita: Compact Rumour Detction with Layered Enocders", None, None), True),
+        (("Compact Rumour Detection with Layered Encoders", "zokapita-compact-rumour-detection-with-layered-encoders-2", None), True), (("Zokapita: Compact Rumour Detection…", None, "git@git.example:lab/zokapita-tf.git"), True),
+        (("Zokapita: Compact Rumour Detection with Layered Encoders II", None, BASE[2]), False), (("[Re] Zokapita: Compact Rumour Detection with Layered Encoders", "re-" + BASE[1], BASE[2]), False),
+        (("Zokapita: Compact Rumour Detection with Layered Encoders, Part 2", BASE[1] + "-part-2", BASE[2]), False), (("A Critical Comment on Zokapita: Compact Rumour Detection with Layered Encoders", None, None), False),
+        (("Bitovelo: Compact Rumour Detection with Layered Encoders", None, BASE[2]), False), ((None, BASE[1] + "-v2", None), True), ((None, None, BASE[2]), False),
+    ],
+)
+def test_same_work(row, same):
+    assert incremental.same_work(BASE, row) is same and incremental.same_work(row, BASE) is same
+
+
+def papers(spark):
+    rows = [(1, 0, *BASE), (2, 0, "Other Things: A Study of Many Models", "other", None), (5, 1, BASE[0].upper(), None, None), (4, 1, "Other Things: A Stdy of Many Models", None, None), (6, 2, BASE[0].replace("Layered", "Layred") + ".", None, BASE[2]), (7, 2, None, None, None), (8, 2, "", "", ""), (9, 2, BASE[0] + " II", None, BASE[2]), (10, 3, BASE[0] + " II.", None, None)]
+    rows += [(100 + k, 4, BASE[0], BASE[1], BASE[2]) for k in range(60)]
+    return spark.createDataFrame(rows + rows[:2], "paper_id long, batch_no int, title string, stored_dir_name string, code string")
+
+
+def test_found_equals_incremental_batches(spark, tmp_path):
+    df = papers(spark)
+    want = {(1, 5), (2, 4), (1, 6), (9, 10), *((1, 100 + k) for k in range(60))}
+    got = [tuple(r) for r in incremental.found(df).collect()]
+    assert set(got) == want and len(got) == len(want)
+    store = incremental.HashStore(spark, str(tmp_path / "store"))
+    each = [set(map(tuple, store.check_batch(df.filter(F.col("batch_no") == b)).select("paper_id_a", "paper_id_b").collect())) for b in range(5)]
+    assert set().union(*each) == want
+    assert incremental.found(df.limit(0)).count() == 0
+
+
+# --- problem 5
+
+
+@pytest.mark.parametrize(
+    "path, code, made",
+    [
+        ("r/a.py", "# Generated by a tool, do not edit\nx = 1\n", True), ("r/a.py", "BANNER = '# generated file, do not edit'\ndef f():\n    return BANNER\n", False), ("r/a.py", '"""Writes a header that says auto-generated."""\nimport os\n\ndef f():\n    return 1\n', False),
+        ("r/lib/b.js", "// Taken from foo 1.2.3 without changes\nfunction f() { return 1; }\n", True), ("r/c.js", "function a(b,c){if(b>1){d(b);}for(var i=0;i<b.length;i++){e+=b[i]/2;}return b;}" * 5, True), ("r/d.py", "W = np.array([\n" + "    [0.123, -1.5, 2.75],\n" * 30 + "])\n", True),
+        ("r/e.json", '{"lockfileVersion": 1, "dependencies": {}}', True), ("r/e.json", '{"a": [1, 2, 3]}', False), ("r/f.py", "MEAN = [" + "0.25, " * 60 + "]\n\ndef f(x):\n    y = x + 1\n    for i in y:\n        print(i)\n    return y\n" * 3, False), ("r/__init__.py", "# package\n", False),
+        ("r/vendor_stats.py", "import os\n\ndef f():\n    return os\n", False), ("r/g.py", "def build(i):\n" + "".join(f"    t{k + 1} = op(t{k}, n={k})\n" for k in range(20)), True), ("r/h.ipynb", "{}", False),
+    ],
+)
+def test_evidence(path, code, made):
+    assert bool(handwritten.own_evidence(path, code)) is made
+
+
+def test_attribute_globs():
+    import re
+
+    hit = lambda g, p: re.match(handwritten.glob_regex(g), p) is not None
+    assert hit("*.js", "a/b/c.js") and hit("/a/*.js", "a/c.js") and not hit("/a/*.js", "a/b/c.js") and hit("gen/**", "x/gen/y/z.py") and hit("a/**/b", "a/b") and not hit("*.js", "a.jsx")
+    assert handwritten.parse_attributes("# c\n*.py linguist-generated -linguist-vendored\nx linguist-generated=false\n")[1][1:] == ("vendored", False)
+
+
+def test_files_table(spark):
+    body = "\n\n".join(f"def function_number_{k}(argument, other):\n    value = argument * {k} + other\n    return value" for k in range(6))
+    plain = "def mine(argument, other):\n    value = argument * 77 + other\n    for i in value:\n        print(i)\n    return value\n"
+    rows = [
+        (1, "a", "r/third_party/x.py", "# Taken from x 1.2.3 without changes\n" + body), (2, "b", "r/util.py", body.replace("\n", "\r\n") + "\n\n" + plain), (3, "b", "r/own.py", plain), (4, "c", "r/.gitattributes", "*.py linguist-generated\n"),
+        (5, "c", "r/t.py", plain), (6, "c", "r/sub/.gitattributes", "*.py linguist-generated=false\n"), (7, "c", "r/sub/u.py", plain), (8, "c", "r/e.py", ""), (9, "d", None, None), (3, "b", "r/own.py", plain),
+    ]
+    df = spark.createDataFrame(rows, "file_id long, stored_dir_name string, code_path string, code string").withColumn("reason", F.lit("x"))
+    assert sorted(r.file_id for r in handwritten.found(df).collect()) == [1, 2, 5]
+    assert handwritten.found(df.limit(0)).count() == 0
+
+
+# --- problem 6
+
+
+def test_sum_of_squares_rule_by_brute_force():
+    r = np.random.default_rng(1)
+    for capacity in (7, 20):
+        sizes = r.integers(1, capacity + 1, 120)
+        where, start, count = packing.sum_of_squares(sizes, capacity)
+        room = []
+        for s, w, b in zip(sizes, where, start, strict=True):
+            score = {}
+            for g in sorted({x for x in room if x >= s}) + [None]:
+                new = list(room)
+                if g is None:
+                    new.append(capacity - s)
+                else:
+                    new[new.index(g)] -= s
+                n = np.bincount([x for x in new if x > 0], minlength=capacity + 1)
+                score[g] = int((n**2).sum())
+            least = min(score.values())
+            took = None if w == len(room) else room[w]
+            assert score[took] == least
+            if took is None:
+                room.append(capacity)
+            assert capacity - room[w] == b
+            room[w] -= s
+        assert count == len(room) and min(room) >= 0
+
+
+def test_placements_are_complete(spark):
+    docs = spark.createDataFrame([(k, (k * 37) % 90) for k in range(500)] + [(900, 1050), (901, None), (902, -3), (None, 5), (3, 1)], "doc_id long, n_tokens int").withColumn("container_id", F.lit(1))
+    spec = spark.createDataFrame([(1, 100), (2, 256), (None, 5), (3, 0)], "spec_id int, capacity_tokens int")
+    rows = packing.placements(docs, spec).collect()
+    for cap in (100, 256):
+        own = [r for r in rows if r.capacity_tokens == cap]
+        boxes, parts = {}, {}
+        for r in own:
+            boxes.setdefault(r.container_id, []).append((r.start_token, r.start_token + r.n_tokens))
+            parts.setdefault(r.doc_id, []).append((r.doc_start, r.doc_start + r.n_tokens, r.part_no))
+        for b in boxes.values():
+            at = 0
+            for lo, hi in sorted(x for x in b if x[1] > x[0]):
+                assert lo == at
+                at = hi
+            assert at <= cap
+        assert len(parts) == 503 and len(parts[900]) == -(-1050 // cap) and parts[901] == [(0, 0, 0)]
+        for p in parts.values():
+            at = 0
+            for lo, hi, k in sorted(p):
+                assert lo == at
+                at = hi
+    assert {r.filled > 0.97 for r in packing.fill(docs, spec).collect()} == {True}
+    assert packing.placements(docs.limit(0), spec).count() == 0 and packing.placements(docs, spec.limit(0)).count() == 0
+
+
+# --- problem 7
+
+
+def test_index_against_scan():
+    r = np.random.default_rng(3)
+    for size, symbols in ((1, 3), (50, 2), (4000, 5), (3000, 40)):
+        text = np.r_[r.integers(0, symbols + 1, size), 0].astype(np.int32)
+        ix = leakage.FMIndex(text, symbols)
+        phrases = r.integers(1, symbols + 1, (60, 3)).astype(np.int32)
+        found = {int(k): sorted(ix.locate(np.arange(lo, hi)).tolist()) for k, lo, hi in zip(*ix.search(phrases), strict=True)}
+        for k, p in enumerate(phrases):
+            assert found.get(k, []) == [i for i in range(len(text) - 2) if (text[i : i + 3] == p).all()]
+
+
+def test_leaks(spark):
+    r = random.Random(1)
+    stock = ["".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(900)]
+    item = [r.choice(stock) for _ in range(60)]
+    other = lambda n: [r.choice(stock) for _ in range(n)]
+    noisy = [w for k, w in enumerate(item[10:45]) for w in ([w, "really"] if k % 9 == 8 else [w])]
+    texts = {
+        1: " ".join(other(30) + item + other(30)), 2: " ".join(other(20) + noisy + other(20)).upper(), 3: " ".join(other(30) + item[5:15] + other(30)), 4: " ".join(other(200)), 5: None, 6: "  ", 7: " ".join(other(3000) + item[:30] + other(3000)), 8: "-\n".join(" ".join(item)[k : k + 41] for k in range(0, 330, 41)),
+        9: " ".join(item[:22]) + " " + " ".join(other(18)) + " " + " ".join(item[22:40]),
+    }
+    docs = spark.createDataFrame([*texts.items(), (1, texts[1])], "doc_id long, text string").withColumn("item_id", F.lit(0))
+    items = spark.createDataFrame([(11, " ".join(item)), (12, None), (13, ""), (14, "one two"), (11, " ".join(item))], "item_id long, text string")
+    got = [tuple(x) for x in leakage.found(docs, items).collect()]
+    assert sorted(got) == [(1, 11), (2, 11), (7, 11), (8, 11), (9, 11)]
+    assert leakage.found(docs.limit(0), items).count() == 0 and leakage.found(docs, items.limit(0)).count() == 0
+    spans = {x.doc_id: (x.first_word, x.last_word) for x in leakage.removal_spans(docs.filter("doc_id = 1"), items).collect()}
+    assert spans == {1: (30, 89)}
+
+
+# --- problem 8
+
+
+def test_quality(spark):
+    words = spark.createDataFrame([(lang, k, w) for lang, t in {"en": "the of and to in a is that for it as was with be by on not at are this have from or an which we their", "de": "der die das und in zu den ist mit von auf nicht ein eine als auch es an wir"}.items() for k, w in enumerate(t.split())], "lang string, rank_no int, word string")
+    prose = "The model of this paper is not better than the baseline, and we have no reason for it. In the end it was as good as an older one, which is what we said at the start of this study."
+    rows = [(1, prose), (2, prose.upper()), (3, None), (4, " \n\t"), (5, "\n".join(f"- item number {k}" for k in range(30))), (6, "a=1;b=2;{x[3]}" * 40), (7, "Please try again later. " * 50), (8, "Name | 1 | 2\n" * 25), (9, "12345 67890"), (10, "Das Modell ist nicht gut und wir haben es auch mit den Daten von der Suche nicht verbessert."), (11, prose + "\n" + "- a list\n- of two"), (1, prose)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_words", F.lit(5)).withColumn("lang", F.lit("en"))
+    verdicts = {r.doc_id: r for r in quality.verdicts(docs, words).collect()}
+    assert verdicts[3].n_words is None and verdicts[4].rule_no is None
+    v = verdicts[1]
+    assert v.n_words == 40 and v.end_punct_share == 1.0 and v.digit_ratio == 0 and 0.4 < v.common_share < 0.8
+    got = {r.doc_id for r in quality.found(docs, words).collect()}
+    assert {5, 6, 7, 8} <= got and not got & {1, 2, 3, 4, 10, 11}
+    assert quality.found(docs.limit(0), words).count() == 0
+
+
+def test_rules_on_held_out_examples(spark):
+    words = spark.createDataFrame([("en", w) for w in "the of and to in is that for it as was with be by on not at are this have from or an which we their".split()], "lang string, word string")
+    common = quality.common_words(words)
+    make = lambda seed, n: quality.statistics(spark.createDataFrame(quality.examples({"en": list(common)}, n, seed), "text string, bad boolean"), common).select("bad", *quality.FEATURES).toPandas()
+    train, test = make(1, 1500), make(2, 600)
+    rules = quality.induce(train[[*quality.FEATURES]].to_numpy(float), train["bad"].to_numpy(bool))
+    x = test[[*quality.FEATURES]].to_numpy(float)
+    guess = np.zeros(len(x), bool)
+    for rule in rules:
+        guess |= quality._covers(rule, x)
+    assert (guess == test["bad"].to_numpy(bool)).mean() > 0.85
+    assert quality.case_sql([]) == "0" and quality.case_sql(rules).startswith("CASE WHEN ")
