@@ -27,6 +27,8 @@ from knotwork.session import stage_table
 
 #: Rounds of expectation maximisation.
 ROUNDS = 3
+#: Taken off every count, so that a reading can't vouch for itself by its own small share.
+DISCOUNT = 0.5
 #: Characters that part values.
 SEPARATORS = ",;|/、\t\n\r"
 _CLOSES = {'"': '"', "'": "'", "“": "”", "‘": "’", "«": "»", "„": "“"}
@@ -163,7 +165,8 @@ def is_plain(edges: list[Edge]) -> bool:
 def _logs(edges: list[Edge], freq: dict[str, float], total: float) -> list[float]:
     # an unseen value costs more the longer it is and the more separators it holds; an empty one costs nothing
     unseen = lambda v: -3.0 - 0.7 * len(v) - 3.0 * sum(map(v.count, SEPARATORS))
-    return [w + (0.0 if not v else max(math.log(freq[v.lower()] / total), unseen(v)) if freq.get(v.lower()) else unseen(v)) for _, _, v, w in edges]
+    held = lambda v: freq.get(v.lower(), 0.0) - DISCOUNT
+    return [w + (0.0 if not v else max(math.log(held(v) / total), unseen(v)) if held(v) > 0 else unseen(v)) for _, _, v, w in edges]
 
 
 def best_path(edges: list[Edge], freq: dict[str, float], total: float) -> list[str]:
