@@ -177,7 +177,7 @@ def _boxes(s, d) -> DataFrame:
 
 
 _BOX_SQL = """b AS (SELECT l_orderkey AS fig, l_linenumber AS box, CAST(k % 400 AS INTEGER) AS x1, CAST((k * 3) % 300 AS INTEGER) AS y1, CAST(k % 400 + 40 + CAST(q AS INTEGER) AS INTEGER) AS x2,
-  CAST((k * 3) % 300 + 30 + l_linenumber * 5 AS INTEGER) AS y2 FROM (SELECT l_orderkey, l_linenumber, max(l_partkey) * 13 + max(l_suppkey) * 7 + l_linenumber AS k, max(l_quantity) AS q FROM lineitem GROUP BY 1, 2))"""
+  CAST((k * 3) % 300 + 30 + l_linenumber * 5 AS INTEGER) AS y2, q AS conf FROM (SELECT l_orderkey, l_linenumber, max(l_partkey) * 13 + max(l_suppkey) * 7 + l_linenumber AS k, max(l_quantity) AS q FROM lineitem GROUP BY 1, 2))"""
 
 
 def queries() -> dict:
@@ -198,7 +198,7 @@ def queries() -> dict:
 
     return {
         "rect_overlap_join": lambda s, d: overlap_join(_boxes(s, d), "fig", "box", 64.0),
-        "rect_uncovered": lambda s, d: uncovered(_boxes(s, d).filter("box % 2 = 0"), _boxes(s, d).filter("box % 2 = 1"), "fig", "box", 64.0).select("fig", "box"),
+        "rect_uncovered": lambda s, d: uncovered(_boxes(s, d).filter("conf < 25"), _boxes(s, d).filter("conf >= 25"), "fig", "box", 64.0).select("fig", "box"),
         "nearest_component": lambda s, d: nearest(points(s, d), _boxes(s, d), "fig", "point", "box", 25.0).select("fig", "box", "distance"),
         "layer_sequence_edges": lambda s, d: layer_edges(pairs(s, d)),
         "dominant_flow": flow,
@@ -215,7 +215,7 @@ def oracle_sql() -> dict[str, str]:
     n = len(VALID_NEXT)
     return {
         "rect_overlap_join": f"WITH {_BOX_SQL} SELECT a.fig AS fig, a.box AS a, b.box AS b FROM b a JOIN b ON a.fig = b.fig AND a.box < b.box AND {over}",
-        "rect_uncovered": f"WITH {_BOX_SQL} SELECT a.fig AS fig, a.box AS box FROM b a WHERE a.box % 2 = 0 AND NOT EXISTS (SELECT 1 FROM b WHERE b.fig = a.fig AND b.box % 2 = 1 AND {over})",
+        "rect_uncovered": f"WITH {_BOX_SQL} SELECT a.fig AS fig, a.box AS box FROM b a WHERE a.conf < 25 AND NOT EXISTS (SELECT 1 FROM b WHERE b.fig = a.fig AND b.conf >= 25 AND {over})",
         "nearest_component": f"WITH {_BOX_SQL}, p AS (SELECT o_orderkey AS fig, CAST((o_custkey * 17) % 450 AS DOUBLE) AS px, CAST((o_custkey * 29) % 350 AS DOUBLE) AS py FROM orders), m AS (SELECT p.fig, box, round(sqrt(pow(greatest(0.0, x1 - px, px - x2), 2) + pow(greatest(0.0, y1 - py, py - y2), 2)), 6) AS distance FROM p JOIN b ON p.fig = b.fig) SELECT fig, box, distance FROM (SELECT *, row_number() OVER (PARTITION BY fig ORDER BY distance, box) AS rn FROM m WHERE distance <= 25) WHERE rn = 1",
         "layer_sequence_edges": f"WITH v AS (SELECT * FROM (VALUES {valid}) t(u, v)), p AS (SELECT p_partkey AS a, p_partkey + 1 AS b, {layers}[(p_partkey * 5) % {n} + 1] AS la, {layers}[(p_partkey * 3 + p_size) % {n} + 1] AS lb FROM part), q AS (SELECT *, EXISTS (SELECT 1 FROM v WHERE u = la AND v.v = lb) AS f, EXISTS (SELECT 1 FROM v WHERE u = lb AND v.v = la) AS r FROM p) SELECT CASE WHEN f THEN a ELSE b END AS src, CASE WHEN f THEN b ELSE a END AS dst, CASE WHEN f THEN la ELSE lb END AS src_layer, CASE WHEN f THEN lb ELSE la END AS dst_layer FROM q WHERE f OR r",
         "dominant_flow": f"WITH {_BOX_SQL}, st AS (SELECT a.fig, a.box, CASE WHEN a.x1 < b.x1 THEN 1 ELSE -1 END AS v FROM b a JOIN b ON a.fig = b.fig AND b.box = a.box + 1), r AS (SELECT fig, sum(v) OVER (PARTITION BY fig ORDER BY box) AS run FROM st) SELECT fig, CASE WHEN min(run) < 0 THEN 'right-to-left' ELSE 'left-to-right' END AS flow FROM r GROUP BY fig",

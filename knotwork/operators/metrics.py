@@ -91,8 +91,8 @@ def _guess(s, d) -> DataFrame:
 def queries() -> dict:
     def spans(s, d):
         e = table(s, d, "entity").filter("entitytext is not null and stored_dir_name is not null and ent_type is not null")
-        e = e.select(F.col("stored_dir_name").alias("doc"), F.col("start_pos").alias("start"), F.col("end_pos").alias("end"), F.col("ent_type").alias("label"), "entity_id")
-        return span_scores(e.filter("entity_id % 5 <> 0"), e.filter("entity_id % 7 <> 0"))
+        e = e.select(F.col("stored_dir_name").alias("doc"), F.col("start_pos").alias("start"), F.col("end_pos").alias("end"), F.col("ent_type").alias("label"), F.length("entitytext").alias("size"))
+        return span_scores(e.filter("size < 20"), e.filter("size > 8"))
 
     def names(s, d):
         p = table(s, d, "part")
@@ -121,7 +121,7 @@ def oracle_sql() -> dict[str, str]:
         "class_report": f"{guess}, t AS (SELECT truth AS class, count(*) AS support, count(*) FILTER (truth = guess) AS hits FROM g GROUP BY 1), u AS (SELECT guess AS class, count(*) AS guessed FROM g GROUP BY 1) SELECT class, support, round(hits / guessed, 6) AS precision, round(hits / support, 6) AS recall, round(2 * (hits / guessed) * (hits / support) / (hits / guessed + hits / support), 6) AS f1 FROM t JOIN u USING (class)",
         "mean_reciprocal_rank": "SELECT round(avg(l_linenumber), 6) AS mean_rank, round(avg(1.0 / l_linenumber), 6) AS mrr, round(avg(CASE WHEN l_linenumber <= 10 THEN 1.0 ELSE 0.0 END), 6) AS hits_at_10 FROM lineitem",
         "subtoken_scores": "WITH p AS (SELECT string_split(p_name, ' ') AS t, [string_split(p_name, ' ')[1], lower(p_type)] AS g FROM part), s AS (SELECT sum(len(list_intersect(t, g))) AS tp, sum(len(g) - len(list_intersect(t, g))) AS fp, sum(len(t) - len(list_intersect(t, g))) AS fn FROM p) SELECT round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall, round(2 * (tp / (tp + fp)) * (tp / (tp + fn)) / (tp / (tp + fp) + tp / (tp + fn)), 6) AS f1 FROM s",
-        "span_scores": "WITH e AS (SELECT stored_dir_name AS doc, start_pos, end_pos, ent_type, entity_id FROM entity WHERE entitytext IS NOT NULL AND stored_dir_name IS NOT NULL AND ent_type IS NOT NULL), g AS (SELECT DISTINCT doc, start_pos, end_pos, ent_type FROM e WHERE entity_id % 5 <> 0), f AS (SELECT DISTINCT doc, start_pos, end_pos, ent_type FROM e WHERE entity_id % 7 <> 0), b AS (SELECT (SELECT count(*) FROM g) AS ng, (SELECT count(*) FROM f) AS nf, (SELECT count(*) FROM g JOIN f USING (doc, start_pos, end_pos, ent_type)) AS nb) SELECT round(nb / nf, 6) AS precision, round(nb / ng, 6) AS recall, round(2 * (nb / nf) * (nb / ng) / (nb / nf + nb / ng), 6) AS f1 FROM b",
+        "span_scores": "WITH e AS (SELECT stored_dir_name AS doc, start_pos, end_pos, ent_type, length(entitytext) AS size FROM entity WHERE entitytext IS NOT NULL AND stored_dir_name IS NOT NULL AND ent_type IS NOT NULL), g AS (SELECT DISTINCT doc, start_pos, end_pos, ent_type FROM e WHERE size < 20), f AS (SELECT DISTINCT doc, start_pos, end_pos, ent_type FROM e WHERE size > 8), b AS (SELECT (SELECT count(*) FROM g) AS ng, (SELECT count(*) FROM f) AS nf, (SELECT count(*) FROM g JOIN f USING (doc, start_pos, end_pos, ent_type)) AS nb) SELECT round(nb / nf, 6) AS precision, round(nb / ng, 6) AS recall, round(2 * (nb / nf) * (nb / ng) / (nb / nf + nb / ng), 6) AS f1 FROM b",
         "edge_weights": "SELECT round((4000000.0 - count(*)) / count(*), 6) AS pos_weight, round(4000000.0 / ((4000000.0 - count(*)) * 2), 6) AS norm FROM orders",
         "early_stops": "WITH c AS (SELECT CAST(o_orderdate AS DATE) AS day, round(avg(o_totalprice), 2) AS cost FROM orders GROUP BY 1) SELECT day FROM (SELECT *, avg(cost) OVER w AS m, count(cost) OVER w AS n FROM c WINDOW w AS (ORDER BY day ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING)) WHERE n = 10 AND cost > m",
     }
