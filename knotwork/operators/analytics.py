@@ -62,33 +62,33 @@ def publication_graph(spark: SparkSession, d: str) -> Graph:
             EdgeTable("hasFunction", lambda: lines().select(uri("repo/", "l_orderkey").alias("s"), uri("fn/", "l_orderkey", "l_linenumber").alias("o")), "repo/"),
             EdgeTable("type", functions, "fn/"),
         ],
-        namespaces={"dcc": schema.DCC, "rdf": "http://www.w3.org/1999/02/22-rdf-syntax-ns#"},
+        namespaces={"kg": schema.KG, "rdf": "http://www.w3.org/1999/02/22-rdf-syntax-ns#"},
         ranges={"hasEntity": "ent/", "hasRepository": "repo/", "hasFunction": "fn/", "hasFigure": "fig/"},
     )
 
 
-_STAR = "?s a dcc:Publication ; dcc:conferenceSeries ?conference ; dcc:yearOfPublication ?year"
-_CALLS = "?s dcc:conferenceSeries ?conference ; dcc:yearOfPublication ?year ; dcc:hasRepository ?repository . ?repository dcc:hasFunction ?y . ?y a ?type FILTER(!(STR(?type) = \"UserDefined\"))"
-_PAIR = "?publication dcc:hasEntity ?{a}entity ; dcc:hasEntity ?{b}entity . ?{a}entity a dcc:{A} . ?{b}entity a dcc:{B}"
+_STAR = "?s a kg:Publication ; kg:conferenceSeries ?conference ; kg:yearOfPublication ?year"
+_CALLS = "?s kg:conferenceSeries ?conference ; kg:yearOfPublication ?year ; kg:hasRepository ?repository . ?repository kg:hasFunction ?y . ?y a ?type FILTER(!(STR(?type) = \"UserDefined\"))"
+_PAIR = "?publication kg:hasEntity ?{a}entity ; kg:hasEntity ?{b}entity . ?{a}entity a kg:{A} . ?{b}entity a kg:{B}"
 
 #: Questions in SPARQL by name; counts are named as the columns of the result.
 TEXTS = {
     "pubs_by_year": f"SELECT ?year COUNT(DISTINCT ?s) AS ?Count WHERE {{ {_STAR} }} GROUP BY ?year ORDER BY DESC(?year)",
     "pubs_by_conf_year": f"SELECT COUNT(DISTINCT ?s) AS ?Count ?conference ?year WHERE {{ {_STAR} }}",
-    "platform_by_year": f"SELECT COUNT(?platform) AS ?Count ?platform ?year WHERE {{ {_STAR} ; dcc:platform ?platform }} GROUP BY ?platform ?year",
-    "pytorch_by_year": f"SELECT COUNT(?platform) AS ?pytorch ?year WHERE {{ {_STAR} ; dcc:platform ?platform FILTER(STR(?platform) = \"pytorch\") }} GROUP BY ?year",
-    "tensorflow_by_year": f"SELECT COUNT(?platform) AS ?tensorflow ?year WHERE {{ {_STAR} ; dcc:platform ?platform FILTER(STR(?platform) = \"tensorflow\") }} GROUP BY ?year",
+    "platform_by_year": f"SELECT COUNT(?platform) AS ?Count ?platform ?year WHERE {{ {_STAR} ; kg:platform ?platform }} GROUP BY ?platform ?year",
+    "pytorch_by_year": f"SELECT COUNT(?platform) AS ?pytorch ?year WHERE {{ {_STAR} ; kg:platform ?platform FILTER(STR(?platform) = \"pytorch\") }} GROUP BY ?year",
+    "tensorflow_by_year": f"SELECT COUNT(?platform) AS ?tensorflow ?year WHERE {{ {_STAR} ; kg:platform ?platform FILTER(STR(?platform) = \"tensorflow\") }} GROUP BY ?year",
     "function_by_conf": f"SELECT COUNT(?type) AS ?counttype ?type ?conference WHERE {{ {_CALLS} }} GROUP BY ?type ?conference ORDER BY DESC(?counttype)",
     "function_by_year": f"SELECT COUNT(?type) AS ?counttype ?type ?year WHERE {{ {_CALLS} }} GROUP BY ?type ?year ORDER BY DESC(?counttype)",
-    "cso_types": "SELECT ?cso ?type WHERE { ?o dcc:hasCSOEquivalent ?cso . ?o a ?type }",
-    "cso_count_by_pub": "SELECT ?publication COUNT(?cso) AS ?countcso WHERE { ?publication a dcc:Publication . ?publication dcc:hasEntity ?entity . ?entity dcc:hasCSOEquivalent ?cso } ORDER BY DESC(?countcso)",
-    "cso_image": "SELECT DISTINCT ?publication ?cso WHERE { ?publication dcc:hasFigure ?f . ?component dcc:partOf ?f . ?component dcc:hasCSOEquivalent ?cso }",
-    "entity_type_cso": "SELECT ?type ?cso WHERE { ?s a dcc:Publication . ?s dcc:hasEntity ?o . ?o a ?type . ?o dcc:hasCSOEquivalent ?cso }",
-    "cso_distinct_by_type": "SELECT DISTINCT ?type COUNT(DISTINCT ?cso) AS ?csocount WHERE { ?s a dcc:Publication . ?s dcc:hasEntity ?o . ?o a ?type . ?o dcc:hasCSOEquivalent ?cso } ORDER BY DESC(?csocount)",
-    "task_dataset": f"SELECT DISTINCT ?task ?datasetentity WHERE {{ {_PAIR.format(a='task', b='dataset', A='Task', B='Material')} . ?taskentity dcc:hasCSOEquivalent ?task }}",
-    "task_dataset_text": f"SELECT DISTINCT ?tasktext ?datasettext WHERE {{ {_PAIR.format(a='task', b='dataset', A='Task', B='Material')} . ?taskentity dcc:hasText ?tasktext . ?datasetentity dcc:hasText ?datasettext }}",
-    "method_task": f"SELECT DISTINCT ?method ?task WHERE {{ {_PAIR.format(a='method', b='task', A='Method', B='Task')} . ?methodentity dcc:hasCSOEquivalent ?method . ?taskentity dcc:hasCSOEquivalent ?task }}",
-    "attention_audio": "SELECT DISTINCT ?publication, ?figure WHERE { ?publication dcc:hasEntity ?method ; dcc:hasEntity ?material . ?method a dcc:Method . ?method dcc:hasText \"red widget\" . ?material a dcc:Material . ?material dcc:hasText \"small ring\" }",
+    "cso_types": "SELECT ?cso ?type WHERE { ?o kg:hasCSOEquivalent ?cso . ?o a ?type }",
+    "cso_count_by_pub": "SELECT ?publication COUNT(?cso) AS ?countcso WHERE { ?publication a kg:Publication . ?publication kg:hasEntity ?entity . ?entity kg:hasCSOEquivalent ?cso } ORDER BY DESC(?countcso)",
+    "cso_image": "SELECT DISTINCT ?publication ?cso WHERE { ?publication kg:hasFigure ?f . ?component kg:partOf ?f . ?component kg:hasCSOEquivalent ?cso }",
+    "entity_type_cso": "SELECT ?type ?cso WHERE { ?s a kg:Publication . ?s kg:hasEntity ?o . ?o a ?type . ?o kg:hasCSOEquivalent ?cso }",
+    "cso_distinct_by_type": "SELECT DISTINCT ?type COUNT(DISTINCT ?cso) AS ?csocount WHERE { ?s a kg:Publication . ?s kg:hasEntity ?o . ?o a ?type . ?o kg:hasCSOEquivalent ?cso } ORDER BY DESC(?csocount)",
+    "task_dataset": f"SELECT DISTINCT ?task ?datasetentity WHERE {{ {_PAIR.format(a='task', b='dataset', A='Task', B='Material')} . ?taskentity kg:hasCSOEquivalent ?task }}",
+    "task_dataset_text": f"SELECT DISTINCT ?tasktext ?datasettext WHERE {{ {_PAIR.format(a='task', b='dataset', A='Task', B='Material')} . ?taskentity kg:hasText ?tasktext . ?datasetentity kg:hasText ?datasettext }}",
+    "method_task": f"SELECT DISTINCT ?method ?task WHERE {{ {_PAIR.format(a='method', b='task', A='Method', B='Task')} . ?methodentity kg:hasCSOEquivalent ?method . ?taskentity kg:hasCSOEquivalent ?task }}",
+    "attention_audio": "SELECT DISTINCT ?publication, ?figure WHERE { ?publication kg:hasEntity ?method ; kg:hasEntity ?material . ?method a kg:Method . ?method kg:hasText \"red widget\" . ?material a kg:Material . ?material kg:hasText \"small ring\" }",
 }
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 #: Name space of the project's predicates and classes.
-DCC = "https://github.com/deepcurator/DCC/"
+KG = "http://example.org/kg/"
 RDF_TYPE = "http://www.w3.org/1999/02/22-rdf-syntax-ns#type"
 
 
