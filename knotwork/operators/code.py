@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from knotwork.session import table
+from knotwork.session import stage_table, table
 
 FACT = "repo string, file_id long, kind string, src string, dst string, flavor string, line int"
 #: Nodes of the shortest and the longest path between two leaves.
@@ -179,21 +179,119 @@ def facts(repo: DataFrame) -> DataFrame:
     return files.mapInArrow(_facts_task, FACT)
 
 
+def star_targets(found: DataFrame) -> DataFrame:
+    """(repo, module, target, way): modules whose names ``from m import *`` brings into a module, through modules that do the same.
+
+    The least ``way`` binds: the latest import first, what a module defines before what it imports.
+    """
+    direct = found.filter("kind = 'imports' and dst like '%.*'").select("repo", F.col("src").alias("module"), F.expr("left(dst, length(dst) - 2)").alias("target"), F.array(-F.col("line")).alias("way"))
+    direct = stage_table(direct.groupBy("repo", "module", "target").agg(F.min("way").alias("way")), "stars")
+    seen = front = direct
+    while not front.isEmpty():
+        on = direct.select("repo", F.col("module").alias("target"), F.col("target").alias("next"), F.col("way").alias("step"))
+        step = front.join(on, ["repo", "target"]).filter("next <> module").groupBy("repo", "module", F.col("next").alias("target")).agg(F.min(F.concat("way", "step")).alias("way"))
+        front = stage_table(step.join(seen, ["repo", "module", "target"], "left_anti"), "stars")
+        seen = seen.unionByName(front)
+    return seen
+
+
+def _starred(names: DataFrame, stars: DataFrame, defined: DataFrame) -> DataFrame:
+    """(repo, file_id, dst, full) of names that no file defines and that a star import binds in their file or in the module they name."""
+    files = names.select("repo", "file_id", "module").distinct().join(stars, ["repo", "module"]).select("repo", "file_id", "target", "way")
+    bare = names.join(files, ["repo", "file_id"]).select("repo", "file_id", "dst", F.concat("target", F.lit("."), "dst").alias("full"), "way")
+    parts = F.split("dst", r"\.")
+    heads = names.filter(F.contains("dst", F.lit("."))).select("repo", "file_id", "dst", F.explode(F.sequence(F.lit(1), F.size(parts) - 1)).alias("k"))
+    heads = heads.select("repo", "file_id", "dst", F.expr("substring_index(dst, '.', k)").alias("module"), F.expr("substring(dst, length(substring_index(dst, '.', k)) + 2)").alias("rest"))
+    dotted = heads.join(stars, ["repo", "module"]).select("repo", "file_id", "dst", F.concat("target", F.lit("."), "rest").alias("full"), "way")
+    met = bare.unionByName(dotted).join(defined.select("repo", "full"), ["repo", "full"], "left_semi")
+    return met.groupBy("repo", "file_id", "dst").agg(F.min_by("full", F.struct("way", "full")).alias("full"))
+
+
+def _resolution_orders(wanted: DataFrame, bases: DataFrame) -> DataFrame:
+    """(repo, cls, base, place): the bases of the wanted classes in C3 order; only what lies above these classes is gathered."""
+    bases = stage_table(bases, "bases")
+    front = stage_table(wanted.select("repo", "cls", F.col("cls").alias("node")).distinct(), "above")
+    seen = front
+    while not front.isEmpty():
+        step = front.join(bases, ["repo", "node"]).select("repo", "cls", F.col("base").alias("node")).distinct()
+        front = stage_table(step.join(seen, ["repo", "cls", "node"], "left_anti"), "above")
+        seen = seen.unionByName(front)
+    above = seen.join(bases, ["repo", "node"]).groupBy("repo", "cls").agg(F.collect_list(F.struct("node", "k", "base")).alias("edges"))
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for repo, cls, edges in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+                parents: dict[str, list[str]] = {}
+                for e in sorted(edges, key=lambda e: (e["node"], e["k"], e["base"])):
+                    if e["base"] not in parents.setdefault(e["node"], []):
+                        parents[e["node"]].append(e["base"])
+                rows += [(repo, cls, base, place) for place, base in enumerate(linearize(parents, cls)[1:])]
+            kinds = (pa.string(), pa.string(), pa.string(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["repo", "cls", "base", "place"])
+
+    return above.mapInArrow(task, "repo string, cls string, base string, place int")
+
+
+def _resolved(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Calls as (repo, src, dst, how, short), ``how`` null where only the short name is known, and definitions (repo, full, short)."""
+    found = stage_table(found.filter("kind in ('calls', 'defines', 'inherits', 'imports')"), "facts")
+    defined = stage_table(found.filter("kind = 'defines'").select("repo", F.col("dst").alias("full")).distinct().withColumn("short", F.substring_index("full", ".", -1)), "defined")
+    known = defined.select("repo", F.col("full").alias("dst"))
+    stars = star_targets(found)
+    modules = found.filter("kind = 'imports' and dst like '%.*'").select("repo", "file_id", F.col("src").alias("module")).distinct()
+    named = found.filter("kind in ('calls', 'inherits') and not startswith(dst, '*.')").select("repo", "file_id", "dst").distinct().join(known, ["repo", "dst"], "left_anti")
+    starred = stage_table(_starred(named.join(modules, ["repo", "file_id"], "left"), stars, defined), "starred")
+
+    inherits = found.filter("kind = 'inherits'").select("repo", "file_id", "src", "dst", "flavor").withColumnRenamed("src", "node")
+    bases = inherits.join(starred, ["repo", "file_id", "dst"], "left").select("repo", "node", F.col("flavor").cast("int").alias("k"), F.coalesce("full", "dst").alias("base")).distinct()
+
+    calls = found.filter("kind = 'calls'").select("repo", "file_id", "src", "dst").distinct().join(starred, ["repo", "file_id", "dst"], "left")
+    exact = calls.join(known, ["repo", "dst"], "left_semi").select("repo", "src", "dst", F.lit("exact").alias("how"))
+    star = calls.filter("full is not null").select("repo", "src", F.col("full").alias("dst"), F.lit("star").alias("how"))
+    rest = calls.filter("full is null").select("repo", "src", "dst").distinct().join(known, ["repo", "dst"], "left_anti").withColumn("short", F.substring_index("dst", ".", -1))
+
+    # C.name where C is a class that does not define name: the first class of its order that does
+    owned = rest.withColumn("cls", F.expr("left(dst, greatest(length(dst) - length(short) - 1, 0))"))
+    aims = owned.select("repo", "cls", "short").distinct().join(bases.select("repo", F.col("node").alias("cls")).distinct(), ["repo", "cls"], "left_semi")
+    above = aims.join(_resolution_orders(aims, bases), ["repo", "cls"]).withColumn("full", F.concat("base", F.lit("."), "short"))
+    first = above.join(defined.select("repo", "full"), ["repo", "full"], "left_semi").groupBy("repo", "cls", "short").agg(F.min_by("full", "place").alias("full"))
+    rest = stage_table(owned.join(first, ["repo", "cls", "short"], "left"), "rest")
+    inherited = rest.filter("full is not null").select("repo", "src", F.col("full").alias("dst"), F.lit("inherited").alias("how"))
+
+    # a bare name, or one below a module, class or function of the repository, is contracted; what hangs on other names is not
+    inner = found.filter("kind = 'defines'").select("repo", F.col("src").alias("cls")).union(defined.select("repo", "full")).distinct().withColumn("inner", F.lit(True))
+    left = rest.filter("full is null").select("repo", "src", "dst", "short", "cls").join(inner, ["repo", "cls"], "left").withColumn("open", F.startswith("dst", F.lit("*.")) | (F.col("cls") == "") | F.col("inner").isNotNull())
+    left = left.join(defined.select("repo", "short").distinct().withColumn("met", F.lit(True)), ["repo", "short"], "left").withColumn("met", F.col("open") & F.col("met").isNotNull())
+    how = F.when(~F.col("met"), F.when(F.startswith("dst", F.lit("*.")), "unknown").otherwise("external"))
+    left = left.select("repo", "src", "dst", how.alias("how"), "short")
+    done = exact.unionByName(star).unionByName(inherited).withColumn("short", F.substring_index("dst", ".", -1))
+    return done.unionByName(left).distinct(), defined
+
+
 def call_graph(found: DataFrame) -> DataFrame:
     """(repo, src, dst, how): call edges between definitions of a repository.
 
-    A callee that is defined under its full name gives an edge; one whose end only is known (``*.name`` or a name that
-    no file defines) meets every definition of that short name; a name that no file defines stays as ``*.name``.
+    A callee that is defined under its full name gives an ``exact`` edge; a name bound by ``from m import *`` one to the
+    definition in ``m`` (``star``); an attribute that a class does not define one to the first class of its C3 order that
+    does (``inherited``). One whose end only is known (``*.name``, or an undefined name that is bare or below a module, class
+    or function of the repository) meets every definition of that short name (``expanded``). What else is undefined,
+    such as attributes of variables and of modules that are not there, stays as it is, ``unknown`` or ``external``.
     Edges repeat no more than once; the short names are distinct on the side that is looked up.
     """
-    calls = found.filter("kind = 'calls'").select("repo", "src", "dst").distinct()
-    defined = found.filter("kind = 'defines'").select("repo", F.col("dst").alias("full")).distinct().withColumn("short", F.substring_index("full", ".", -1))
-    exact = calls.join(defined.select("repo", F.col("full").alias("dst")), ["repo", "dst"], "left_semi").select("repo", "src", "dst", F.lit("exact").alias("how"))
-    rest = calls.join(defined.select("repo", F.col("full").alias("dst")), ["repo", "dst"], "left_anti").withColumn("short", F.substring_index("dst", ".", -1))
-    wild = rest.filter(F.startswith("dst", F.lit("*."))).join(defined, ["repo", "short"], "left")
-    wild = wild.select("repo", "src", F.coalesce("full", F.concat(F.lit("*."), "short")).alias("dst"), F.when(F.col("full").isNull(), "unknown").otherwise("expanded").alias("how"))
-    external = rest.filter(~F.startswith("dst", F.lit("*."))).select("repo", "src", "dst", F.lit("external").alias("how"))
-    return exact.unionByName(wild).unionByName(external).distinct()
+    edges, defined = _resolved(found)
+    told = edges.filter("how is not null").select("repo", "src", "dst", "how")
+    wild = edges.filter("how is null").select("repo", "src", "short").distinct().join(defined, ["repo", "short"]).select("repo", "src", F.col("full").alias("dst"), F.lit("expanded").alias("how"))
+    return told.unionByName(wild).distinct()
+
+
+def edge_counts(found: DataFrame) -> DataFrame:
+    """(repo, how, n): edges of :func:`call_graph`; a caller of a short name counts once per definition without making the pairs."""
+    edges, defined = _resolved(found)
+    told = edges.filter("how is not null").groupBy("repo", "how").agg(F.count(F.lit(1)).alias("n"))
+    many = defined.groupBy("repo", "short").agg(F.count(F.lit(1)).alias("n"))
+    wild = edges.filter("how is null").groupBy("repo", "short").agg(F.count_distinct("src").alias("callers")).join(many, ["repo", "short"])
+    return told.unionByName(wild.groupBy("repo", F.lit("expanded").alias("how")).agg(F.sum(F.col("callers") * F.col("n")).alias("n")))
 
 
 def linearize(bases: dict[str, list[str]], name: str, seen: tuple[str, ...] = ()) -> list[str]:
@@ -328,7 +426,7 @@ def queries() -> dict:
     repo = lambda s, d: table(s, d, "repo")
     return {
         "code_definitions": lambda s, d: facts(repo(s, d)).filter("kind = 'defines'").groupBy("repo", "flavor").agg(F.count(F.lit(1)).alias("n")),
-        "code_call_graph": lambda s, d: call_graph(facts(repo(s, d))).groupBy("repo", "how").agg(F.count(F.lit(1)).alias("n")),
+        "code_call_graph": lambda s, d: edge_counts(facts(repo(s, d))),
         "code_imports": lambda s, d: facts(repo(s, d)).filter("kind = 'imports'").groupBy(F.col("dst").alias("module")).agg(F.count_distinct("file_id").alias("files")),
         "code_arguments": lambda s, d: facts(repo(s, d)).filter(F.startswith("kind", F.lit("has_"))).groupBy("kind", F.col("src").alias("call")).agg(F.count(F.lit(1)).alias("n")),
         "code_path_contexts": lambda s, d: context_counts(repo(s, d)),

@@ -111,6 +111,23 @@ def test_code_facts(spark):
     assert ("pkg.mod.Base.step", "numpy.zeros", "external") in graph
 
 
+def test_calls_through_bases_stars_and_short_names(spark):
+    files = {
+        "root/base.py": "class Base:\n    def run(self): pass\n    def stop(self): pass\nclass Mixin:\n    def run(self): pass\ndef tool(): pass\n",
+        "root/mid.py": "from base import *\nclass Mid(Base): pass\n",
+        "root/top.py": "from mid import *\nclass Top(Mixin, Mid):\n    def go(self):\n        self.run()\n        self.stop()\n        tool()\n        lone()\n        self.step()\n        print(1)\n",
+        "root/lone.py": "def lone(): pass\ndef step(): pass\n",
+    }
+    rows = [("r", k, path, text) for k, (path, text) in enumerate(files.items())]
+    facts = code.facts(spark.createDataFrame(rows, "stored_dir_name string, file_id long, code_path string, code string"))
+    got = {(r.src, r.dst, r.how) for r in code.call_graph(facts).collect()}
+    assert got == {
+        ("top.Top.go", "base.Mixin.run", "inherited"), ("top.Top.go", "base.Base.stop", "inherited"), ("top.Top.go", "base.tool", "star"),
+        ("top.Top.go", "lone.lone", "expanded"), ("top.Top.go", "lone.step", "expanded"), ("top.Top.go", "print", "external"),
+    }
+    assert {(r.how, r.n) for r in code.edge_counts(facts).collect()} == {("inherited", 2), ("star", 1), ("expanded", 2), ("external", 1)}
+
+
 def test_resolution_order():
     bases = {"D": ["B", "C"], "B": ["A"], "C": ["A"], "A": []}
     assert code.linearize(bases, "D") == ["D", "B", "C", "A"]
