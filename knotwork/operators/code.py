@@ -8,7 +8,8 @@ from __future__ import annotations
 
 import ast
 import warnings
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import pyarrow as pa
@@ -310,38 +311,79 @@ def linearize(bases: dict[str, list[str]], name: str, seen: tuple[str, ...] = ()
     return out
 
 
+def _fields(node: ast.AST) -> tuple[list[str], list[ast.AST]]:
+    """Plain field values of a node, which are its leaves, and the nodes below it; texts that document go."""
+    values, below = [], []
+    for _, value in ast.iter_fields(node):
+        for x in value if isinstance(value, list) else [value] if value is not None else []:
+            if not isinstance(x, ast.AST):
+                values.append(repr(x) if isinstance(node, ast.Constant) else str(x))
+            elif not (isinstance(x, ast.Expr) and isinstance(x.value, ast.Constant) and isinstance(x.value.value, str)):
+                below.append(x)
+    return values, below
+
+
 def _leaves(node: ast.AST, trail: tuple) -> Iterator[tuple[str, tuple]]:
     here = (*trail, (id(node), type(node).__name__))
-    if isinstance(node, ast.Name):
-        yield node.id, here
-    elif isinstance(node, ast.arg):
-        yield node.arg, here
-    elif isinstance(node, ast.Constant):
-        yield repr(node.value), here
-    else:
-        for child in ast.iter_child_nodes(node):
-            if not (isinstance(child, ast.Expr) and isinstance(child.value, ast.Constant) and isinstance(child.value.value, str)):
-                yield from _leaves(child, here)
+    values, below = _fields(node)
+    for value in values:
+        yield value, here
+    for child in below:
+        yield from _leaves(child, here)
+
+
+def _path(up: Iterable[str], down: Iterable[str]) -> str:
+    return "_".join(["^".join(up), *down])
 
 
 def path_contexts(tree: ast.Module) -> Iterator[tuple[str, str, str, str]]:
-    """(function, left, path, right) of leaf pairs of every function whose path has an allowed length; texts that document go."""
+    """(function, left, path, right) of leaf pairs of every function, in both directions, whose path has an allowed length."""
     for f in ast.walk(tree):
         if isinstance(f, (ast.FunctionDef, ast.AsyncFunctionDef)):
-            leaves = list(_leaves(f, ()))
-            for k, (left, a) in enumerate(leaves):
-                for right, b in leaves[k + 1 :]:
-                    same = 0
-                    while same < min(len(a), len(b)) and a[same] == b[same]:
-                        same += 1
-                    length = len(a) + len(b) - 2 * same + 1
-                    if length > LONGEST:
-                        # leaves come in order, so a later one can be near again only below a common parent
-                        continue
-                    if length >= SHORTEST:
-                        up = [n for _, n in reversed(a[same - 1 :])]
-                        down = [n for _, n in b[same:]]
-                        yield f.name, left, "^".join(up) + ("_" + "_".join(down) if down else ""), right
+            for (left, a), (right, b) in combinations(_leaves(f, ()), 2):
+                same = 0
+                while same < min(len(a), len(b)) and a[same] == b[same]:
+                    same += 1
+                if SHORTEST <= len(a) + len(b) - 2 * same + 1 <= LONGEST:
+                    x, y = [n for _, n in a[same - 1 :]], [n for _, n in b[same - 1 :]]
+                    yield f.name, left, _path(reversed(x), y[1:]), right
+                    yield f.name, right, _path(reversed(y), x[1:]), left
+
+
+def path_counts(tree: ast.Module) -> Counter[str]:
+    """How often each path of :func:`path_contexts` stands in a module.
+
+    Leaves with the same node types between them and a common parent are counted together, so pairs are multiplied
+    instead of made; a pair counts once for every function around it.
+    """
+    counts: Counter[tuple] = Counter()
+    done: dict[int, Counter[tuple]] = {}  # types from a leaf up to the node
+    stack: list[tuple] = [(tree, 0, None)]
+    while stack:
+        node, around, below = stack.pop()
+        if below is None:
+            around += isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef))
+            values, below = _fields(node)
+            stack.append((node, around, (len(values), below)))
+            stack += [(x, around, None) for x in below]
+            continue
+        size, below = below
+        name = type(node).__name__
+        held: Counter[tuple] = Counter({(): size} if size else {})
+        for x in below:
+            own = done.pop(id(x), Counter())  # nodes without fields, such as Load, are shared and hold no leaf
+            if around:
+                for p, n in own.items():
+                    for q, m in held.items():
+                        if SHORTEST <= len(p) + len(q) + 1 <= LONGEST:
+                            counts[q, name, p] += n * m * around
+                            counts[p, name, q] += n * m * around
+            held.update(own)
+        done[id(node)] = Counter({(*p, name): n for p, n in held.items() if len(p) + 1 < LONGEST})
+    out: Counter[str] = Counter()
+    for (p, name, q), n in counts.items():
+        out[_path((*p, name), reversed(q))] += n
+    return out
 
 
 def context_counts(repo: DataFrame) -> DataFrame:
@@ -349,11 +391,11 @@ def context_counts(repo: DataFrame) -> DataFrame:
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            counts: dict[str, int] = {}
+            counts: Counter[str] = Counter()
             for code in b.column(0).to_pylist():
                 tree = parsed(code)
-                for _, _, path, _ in path_contexts(tree) if tree is not None else ():
-                    counts[path] = counts.get(path, 0) + 1
+                if tree is not None:
+                    counts.update(path_counts(tree))
             yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["path", "n"])
 
     files = repo.filter(F.lower("code_path").endswith(".py") & F.col("code").isNotNull()).select("code")

@@ -142,6 +142,39 @@ def test_path_contexts_have_bounds():
     assert all(code.SHORTEST <= len(p.replace("_", "^").split("^")) <= code.LONGEST for _, _, p, _ in got)
 
 
+def test_path_contexts_against_brute_force():
+    import ast
+    from collections import Counter
+    from itertools import combinations
+
+    text = "@d\nclass A:\n  async def f(s, a, *, k, b=None):\n    'text'\n    from m import x as y\n    def g(q):\n      global z\n      return {**q, 'u': a.b.c}\n    return s.run(g(a), key=[b + 1.5, None])\n"
+
+    def leaves(node, path):
+        path = [*path, node]
+        items = [x for _, v in ast.iter_fields(node) for x in (v if isinstance(v, list) else [] if v is None else [v])]
+        here = [(x, path) for x in items if not isinstance(x, ast.AST)]
+        return here + [y for x in items if isinstance(x, ast.AST) for y in leaves(x, path)]
+
+    want = Counter()
+    for f in ast.walk(ast.parse(text)):
+        if isinstance(f, (ast.FunctionDef, ast.AsyncFunctionDef)):
+            for (_, a), (_, b) in combinations(leaves(f, []), 2):
+                if any(isinstance(p[-2], ast.Expr) and p[-1].value == "text" for p in (a, b) if len(p) > 1):
+                    continue
+                k = max(i for i in range(min(len(a), len(b))) if a[i] is b[i])
+                path = [type(x).__name__ for x in a[k + 1 :][::-1] + b[k:]]
+                if code.SHORTEST <= len(path) <= code.LONGEST:
+                    want.update(["_".join(path), "_".join(path[::-1])])
+    tree, flat = ast.parse(text), Counter()
+    for path, n in code.path_counts(tree).items():
+        flat[path.replace("^", "_")] += n
+    assert flat == want
+    got = list(code.path_contexts(tree))
+    assert Counter(x[2] for x in got) == code.path_counts(tree)
+    assert ("f", "c", "Attribute^Attribute^Attribute_Name", "a") not in got and ("g", "b", "Attribute^Attribute_Name", "a") not in got
+    assert {("g", "c", "Attribute_Attribute_Name", "a"), ("g", "a", "Name^Attribute^Attribute", "c")} <= set(got)
+
+
 def test_api_scores():
     assert code.api_score("nn.relu", "tf.nn.relu") > code.api_score("nn.Relu", "tf.nn.relu") > 0 == code.api_score("tf.nn.relu6", "tf.nn.relu")
 
