@@ -281,13 +281,24 @@ def _shard(items: Items, docs: list[np.ndarray]) -> Iterator[tuple[int, int, flo
         d, i = int(doc[order[a]]), int(item[order[a]])
         own = position[order[a:b]] - starts[d]
         size = len(items.text[i])
-        best = (0, 0, 0)
+        spans = []
         # hits further apart than a passage can reach are looked at one by one
         for part in np.split(own, np.flatnonzero(np.diff(own) > size + 4 * GAP) + 1):
             begin = max(0, int(part[0]) - size - GAP)
-            best = max(best, passage(items.text[i], items.grams[i], docs[d][begin : int(part[-1]) + size + GAP].tolist(), begin))
-        if best[0] >= SHARE * size:
-            yield d, items.ids[i], best[0] / size, best[1], best[2]
+            spans += _passages(items.text[i], items.grams[i], docs[d][begin : int(part[-1]) + size + GAP].tolist(), begin)
+        for held, first, last in sorted(set(spans), key=lambda x: x[1:]):
+            yield d, items.ids[i], held / size, first, last
+
+
+def _passages(item: list[int], grams: dict, doc: list[int], base: int) -> Iterator[tuple[int, int, int]]:
+    """Every disjoint passage that holds enough of the item: the best one, then those before and after it."""
+    todo = [(0, len(doc))]
+    while todo:
+        a, b = todo.pop()
+        held, first, last = passage(item, grams, doc[a:b], base + a)
+        if held and held >= SHARE * len(item):
+            yield held, first, last
+            todo += [(a, first - base), (last + 1 - base, b)]
 
 
 def _task(rows: list[tuple[int, str]]):

@@ -235,3 +235,14 @@ def test_rules_on_held_out_examples(spark):
         guess |= quality._covers(rule, x)
     assert (guess == test["bad"].to_numpy(bool)).mean() > 0.85
     assert quality.case_sql([]) == "0" and quality.case_sql(rules).startswith("CASE WHEN ")
+
+
+def test_leaks_of_a_repeated_passage(spark):
+    item = "the seven grey herons of the lower marsh were counted again by two wardens who had never agreed on any number before"
+    rest = " ".join(f"word{k}" for k in range(600))
+    docs = spark.createDataFrame([(1, f"{rest} {item} some more {item} {rest} {item}")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, item)], "item_id long, text string")
+    n = len(item.split())
+    spans = sorted((x.first_word, x.last_word) for x in leakage.removal_spans(docs, items).collect())
+    assert spans == [(600, 599 + n), (602 + n, 601 + 2 * n), (1202 + 2 * n, 1201 + 3 * n)]
+    assert leakage.found(docs, items).count() == 1
