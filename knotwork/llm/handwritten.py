@@ -87,21 +87,27 @@ def own_evidence(path: str, code: str) -> str | None:
     if not lines:
         return None
     seen_code = 0
-    for line in lines[:12]:
-        m = _COMMENT.match(line)
+    closes = ""  # end mark of an open block comment
+    for line in lines:
+        m = re.match(r"(.*)", line) if closes else _COMMENT.match(line)
+        if closes:
+            closes = "" if closes in line else closes
+        elif m and (block := re.match(r"\s*(/\*|<!--)", line)):
+            end = "*/" if block[1] == "/*" else "-->"
+            closes = "" if end in line[block.end() :] else end
         if not m:
             # a notice may stand after a first import or package line
-            seen_code += not line.strip().startswith(("import ", "from ", "package ", '"""', "'use strict'", "#!"))
+            seen_code += not line.strip().startswith(("import ", "from ", "package ", '"""', "'use strict'", "#!", "<?xml"))
             if seen_code or ext in ("json", "ipynb"):
                 break
             continue
-        note = m[1].strip().rstrip("*/->").strip()
+        note = m[1].strip().lstrip("*").rstrip("*/->").strip()
         if _TOOL.search(note) and not _AUTHORED.search(note):
             return "generator notice"
         if _OTHER.search(note):
             return "third-party notice"
     if ext == "json":
-        if re.search(r'"lockfileVersion"|"_meta"\s*:\s*\{\s*"hash"', code[:2000]) or (code.count('"resolved"') >= 3 and code.count('"version"') >= 3) or code.count('"integrity"') >= 3:
+        if re.search(r'"lockfileVersion"|"_meta"\s*:\s*\{\s*"hash"', code) or (code.count('"resolved"') >= 3 and code.count('"version"') >= 3) or code.count('"integrity"') >= 3:
             return "lock file"
         return None
     if ext not in ("py", "js", "java"):

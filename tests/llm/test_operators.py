@@ -246,3 +246,12 @@ def test_leaks_of_a_repeated_passage(spark):
     spans = sorted((x.first_word, x.last_word) for x in leakage.removal_spans(docs, items).collect())
     assert spans == [(600, 599 + n), (602 + n, 601 + 2 * n), (1202 + 2 * n, 1201 + 3 * n)]
     assert leakage.found(docs, items).count() == 1
+
+
+def test_notices_below_a_licence_header():
+    head = "".join(f"# line {k} of a licence\n" for k in range(20))
+    assert handwritten.own_evidence("a.py", head + "# DO NOT EDIT\nx = 1\n") == "generator notice"
+    assert handwritten.own_evidence("a.py", head + "x = 1\n# DO NOT EDIT\n") is None
+    assert handwritten.own_evidence("a.xml", "<?xml version='1.0'?>\n<!--\n" + "some words\n" * 20 + "DO NOT EDIT\n-->\n<a/>\n") == "generator notice"
+    lock = '{"a": "' + "x" * 3000 + '", "lockfileVersion": 3}'
+    assert handwritten.own_evidence("b.json", lock) == "lock file"
