@@ -10,9 +10,6 @@ from pyspark.sql import functions as F
 
 from knotwork.session import table
 
-#: Words of the longest dictionary entry that is looked up.
-LONGEST_TERM = 8
-
 
 def words(c: Column) -> Column:
     """Lower-case words of two characters or more."""
@@ -74,31 +71,55 @@ def keep_outer(spans: list[tuple[int, int, int, int]]) -> list[int]:
 def annotate(docs: DataFrame, dictionary: DataFrame, key: str, text: str) -> DataFrame:
     """(key, start, end, text, uri): dictionary terms found in texts, an ``s`` more allowed, overlaps resolved.
 
-    Texts are read once; every run of up to ``LONGEST_TERM`` words that starts at a word is a candidate and is joined to
-    the dictionary by equality, so no text meets a term that it does not have. A term needs a non-word character on
-    both sides; the text is padded, so terms at its ends count too.
+    Texts are read once; every run of up to as many words as the longest term has, with the non-word characters that terms
+    begin and end with, is a candidate and is joined to the dictionary by equality, so no text meets a term that it does
+    not have. A term needs a non-word character on both sides; the text is padded, so terms at its ends count too.
     """
 
+    def shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import re
+
+        for b in batches:
+            out = set()
+            for t in filter(None, b.column(0).to_pylist()):
+                n = len(re.findall(r"\w+", t))
+                out.add((n, re.match(r"\W*", t)[0], re.search(r"\W*\Z", t)[0] if n else ""))
+            cols = list(zip(*out, strict=True)) or [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, (pa.int32(), pa.string(), pa.string()), strict=True)], ["words", "lead", "trail"])
+
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import re
 
-        word = re.compile(r"\w+")
+        word, edge = re.compile(r"\w+"), re.compile(r"\w")
+        free = lambda t, k: not 0 <= k < len(t) or not edge.match(t[k])
         for b in batches:
             keys, starts, ends, terms = [], [], [], []
             for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 spans = [m.span() for m in word.finditer(t)]
-                for i, (a, _) in enumerate(spans):
-                    for j in range(i, min(i + LONGEST_TERM, len(spans))):
-                        keys.append(k)
-                        starts.append(a)
-                        ends.append(spans[j][1])
-                        terms.append(t[a : spans[j][1]])
+                begins = [[a - len(x) for x in leads if t.endswith(x, 0, a) and free(t, a - len(x) - 1)] for a, _ in spans]
+                stops = [[e + len(x) for x in trails if t.startswith(x, e) and free(t, e + len(x))] for _, e in spans]
+                runs = [(a, e) for i in range(len(spans)) for a in begins[i] for j in range(i, min(i + longest, len(spans))) for e in stops[j]]
+                for x in bare:  # terms without a word
+                    a = t.find(x)
+                    while a >= 0:
+                        if free(t, a - 1) and free(t, a + len(x)):
+                            runs.append((a, a + len(x)))
+                        a = t.find(x, a + 1)
+                for a, e in runs:
+                    keys.append(k)
+                    starts.append(a)
+                    ends.append(e)
+                    terms.append(t[a:e])
             yield pa.RecordBatch.from_arrays([pa.array(keys, b.column(0).type), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(terms, pa.string())], ["key", "start", "end", "text"])
 
     kind = dict(docs.dtypes)[key]
     terms = dictionary.select(F.lower("term").alias("term"), "uri")
     plural = terms.select(F.concat("term", F.lit("s")).alias("term"), "uri")
     forms = terms.unionByName(plural).groupBy("term").agg(F.min("uri").alias("uri"))
+    found = forms.select("term").mapInArrow(shapes, "words int, lead string, trail string").groupBy("lead", "trail", F.col("words") > 0).agg(F.max("words").alias("words")).collect()
+    longest = max((x.words for x in found), default=0)
+    leads, trails = sorted({x.lead for x in found if x.words}), sorted({x.trail for x in found if x.words})
+    bare = sorted({x.lead for x in found if not x.words})
     texts = docs.filter(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.lower(text).alias("t"))
     found = texts.mapInArrow(grams, f"key {kind}, start int, end int, text string").join(forms.withColumnRenamed("term", "text"), "text")
     spans = found.groupBy("key").agg(F.collect_list(F.struct("start", "end", "text", "uri")).alias("s"))

@@ -54,6 +54,13 @@ def test_dictionary_annotation_against_regex(spark):
     assert got == want and len(got) == 5
 
 
+def test_dictionary_annotation_takes_long_terms_and_other_ends(spark):
+    docs = [(1, "Dropout (Axial), C++ or one two three four five six seven eight nine tens; .net ++ asp.net")]
+    terms = [("dropout (axial)", "u1"), ("c++", "u2"), ("one two three four five six seven eight nine ten", "u3"), (".net", "u4"), ("++", "u5")]
+    got = {(r.text, r.uri) for r in texts.annotate(spark.createDataFrame(docs, "doc_id int, text string"), spark.createDataFrame(terms, "term string, uri string"), "doc_id", "text").collect()}
+    assert got == {("dropout (axial)", "u1"), ("c++", "u2"), ("one two three four five six seven eight nine tens", "u3"), (".net", "u4"), ("++", "u5")}
+
+
 def test_abbreviations():
     assert texts.is_abbreviation("cnn", "convolutional neural network")
     assert texts.is_abbreviation("cnns", "convolutional neural networks")
