@@ -259,8 +259,9 @@ def links(new: DataFrame, old: DataFrame) -> DataFrame:
         (F.levenshtein("flat_a", "flat_b", MOST_EDITS) >= 0)
         | (F.levenshtein(tail(F.col("flat_a")), F.col("flat_b"), 3) >= 0)
         | (F.levenshtein(F.col("flat_a"), tail(F.col("flat_b")), 3) >= 0)
-        | F.startswith("flat_a", F.col("flat_b"))
-        | F.startswith("flat_b", F.col("flat_a"))
+        | (F.levenshtein(F.expr("left(flat_a, length(flat_b))"), F.col("flat_b"), 4) >= 0)
+        | (F.levenshtein(F.expr("left(flat_b, length(flat_a))"), F.col("flat_a"), 4) >= 0)
+        | (F.replace("flat_a", F.lit(" "), F.lit("")) == F.replace("flat_b", F.lit(" "), F.lit("")))
     )
     met = meet("fields").unionByName(meet("bands").filter(like))
     pairs = met.select(F.col("place_a.paper_id").alias("paper_id_a"), F.col("place_b.paper_id").alias("paper_id_b")).distinct()

@@ -255,3 +255,14 @@ def test_notices_below_a_licence_header():
     assert handwritten.own_evidence("a.xml", "<?xml version='1.0'?>\n<!--\n" + "some words\n" * 20 + "DO NOT EDIT\n-->\n<a/>\n") == "generator notice"
     lock = '{"a": "' + "x" * 3000 + '", "lockfileVersion": 3}'
     assert handwritten.own_evidence("b.json", lock) == "lock file"
+
+
+def test_band_pairs_of_cut_and_glued_titles(spark):
+    long = "a deep network for the robust segmentation of medical images with very few labelled examples in practice"
+    cut = "a deep netwrok for the robust segmentation of medical images with very few labelled..."
+    glued = "a deepnetwork forthe robustsegmentation ofmedical imageswith veryfew labelledexamples inpractice everywhere"
+    rows = [(1, long, None, None, 0), (2, cut, None, None, 1), (3, long + " everywhere", None, None, 2), (4, glued, None, None, 3)]
+    paper = spark.createDataFrame(rows, "paper_id long, title string, stored_dir_name string, code string, batch_no int")
+    hashed = incremental.hashed(paper).withColumn("bands", F.array(F.lit(1).cast("long")))
+    got = {tuple(x) for x in incremental.links(hashed, hashed).collect()}
+    assert {(1, 2), (3, 4)} <= got
