@@ -1,32 +1,37 @@
 """Generated, minified, packed and vendored source files, and files that only hold data (problem 5).
 
-Three sources of evidence, in this order:
-
-1. **Declared attributes.** Rows of the table that are repository attribute files (``.gitattributes`` in any
-   directory) are parsed; globs are resolved per directory, deeper directories and later lines taking precedence, and
-   ``-attr``, ``!attr`` and ``attr=false`` take a mark away. A declared verdict overrides everything else.
-2. **Patterns for undeclared repositories.** The bundled list ``attributes.txt`` in the same syntax, and patterns of
-   content: notices of a generator in the leading comments, notices of another project, structure that only tools
-   write (numbered members or calls, module tables, lock files), density of packed code, share of literal data.
-3. **Mined equivalents.** Paragraph fingerprints of all files with evidence of a third party form a table; a file
-   elsewhere at least half of whose text (by length) lies in such paragraphs is a copy too, notice or not. Path
-   patterns (one directory name) are mined the same way: a name whose files carry evidence of their own in at least
-   ``PATH_SHARE`` of at least ``PATH_SUPPORT`` files marks the rest of its files.
-
-Everything of a file is computed in one pass of Arrow batches; what is kept per file (a verdict and fingerprints of 8
-bytes per paragraph) is written once to the shared folder, so the fingerprint join never sees the texts again. The
-fingerprint table is distinct before the join, so a paragraph that a third of all files holds stays one row of it.
-
-Defined results: null or empty ``code`` is no case; notebooks, XML and JSON other than lock files are judged by their
-path and notices only; whole texts are read; line ends do not matter; repeated rows give one row of ``found``.
+1. **Declared files.** Rows of the table that are repository attribute files (``.gitattributes`` in any directory) are
+   parsed; globs are resolved per directory, deeper directories and later lines taking precedence, ``-attr`` and
+   ``attr=false`` take a mark away, ``!attr`` leaves it unsaid. What a repository says overrides everything else. Where
+   it says nothing, the bundled attribute file ``attributes.txt`` (paths that tools are documented to use) speaks, and
+   the few markers that generators are documented to write (``MARKERS``).
+2. **Mined equivalents.** What declared files look like is learned from the whole table and applied to all others:
+   * *notes*: pairs of neighbouring words in the leading comments. Each file counts for its most telling pair only (by
+     the information gain about being declared), so that words which merely stand beside a notice are explained away; a
+     pair is adopted if at least ``LEAST_SHARE`` of its files are declared.
+   * *shapes*: packed lines, literal data, counted names, module tables, pinned versions, each a share of the file in
+     steps of ``STEP``; the threshold of each is the first step where at least ``LEAST_SHARE`` of the files are declared.
+   Only a part of all generated files stands under a telling path, and hardly any hand-written one does, so a small share
+   of declared files tells a pattern of tools: ``LEAST_SHARE`` is far above the share that hand-written looks reach.
+3. **Copies.** Paragraph fingerprints of all vendored files form a table; a file elsewhere at least half of whose text (by
+   length) lies in such paragraphs is a copy too. A directory name whose files are found in at least ``PATH_SHARE`` of at
+   least ``PATH_SUPPORT`` files marks the rest of its files.
+
+Everything of a file is computed in one pass of Arrow batches; what is kept (hashes of pairs, shapes, fingerprints of 8
+bytes per paragraph) is written once to the shared folder, so texts are read once. Statistics are pre-aggregated; rules
+of a repository meet its files as one row, so a repository that holds a third of all files makes no pairs.
+
+Defined results: null or empty ``code`` is no case; notebooks and XML have no shapes, JSON only that of pinned versions;
+whole texts are read; line ends do not matter; repeated rows give one row of ``found``; attribute files are no cases.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, lru_cache
 from pathlib import Path
 
 import pyarrow as pa
@@ -35,33 +40,30 @@ from pyspark.sql import functions as F
 
 from knotwork.session import stage_table
 
-#: A directory name is mined as a pattern from so many files on, if this share of them has evidence of its own.
+#: Share and number of declared files from which on a pattern is adopted, and the step of shapes.
+LEAST_SHARE, LEAST_FILES, STEP = 0.08, 2, 0.05
+#: A directory name is mined as a pattern from so many files on, if this share of them is found.
 PATH_SUPPORT, PATH_SHARE = 20, 0.9
-#: Share of a file's text that lies in paragraphs of third-party files.
-COPY_SHARE = 0.5
-
-EVIDENCE = "file_id long, stored_dir_name string, code_path string, reason string, prints array<struct<h:long,n:int>>"
-RULES = "stored_dir_name string, base string, line int, rule string, kind string, is_set boolean"
+#: Share of a file's text that lies in paragraphs of third-party files, and least characters of a paragraph.
+COPY_SHARE, PARAGRAPH = 0.5, 60
+#: Pairs of words that generators are documented to write.
+MARKERS = ("^ @generated", "not edit", "^ autogenerated", "automatically generated")
+
+EVIDENCE = (
+    "file_id long, stored_dir_name string, code_path string, bundled string, notes array<long>, shapes array<struct<shape:string,step:int>>, "
+    "prints array<struct<h:long,n:int>>, attributes string"
+)
 
 _COMMENT = re.compile(r"\s*(?:#(?!!)|//+|/\*+!?|\*+/?|<!--+|--+|;+)\s?(.*)")
-_TOOL = re.compile(
-    r"(?i)@generated\b|<auto-?generated|\bauto-?\s?gen(?:erated)?\b|\bmachine[- ](?:made|generated|written)\b|\bdo(?:n['’]t| not) (?:edit|modify|change|touch)\b"
-    r"|\b(?:changes|edits|modifications) (?:\w+ ){0,4}(?:be|get) (?:lost|overwritten|discarded)\b|\bedit the (?:template|source|schema|input)\b"
-    r"|^\s*(?:this (?:file|code|module) (?:was|is|has been) )?(?:generated|created|produced|emitted|written|built|output|compiled|converted|exported)(?: automatically)? (?:by|from|with|using)\b(?! (?:hand|me|us|the authors?\b))"
-)
-_AUTHORED = re.compile(r"(?i)\b(?:written|created|made|built) by (?!the |a |an )(?:[A-Z][\w.]* ){1,2}[A-Z][\w.]*\s*(?:<|$)")
-_OTHER = re.compile(
-    r"(?i)\b(?:taken|copied|vendored|imported|borrowed|adapted|bundled|ported) (?:verbatim )?from\b.*\d+\.\d+|\bwithout changes\b|\bdistributed under the\b.*\b(?:licen[cs]e|terms)\b|\bsee upstream\b"
-    r"|\bhttps?://[\w.-]*upstream[\w.-]*|\bcopyright\b.*\bproject contributors\b|^\s*[\w.-]+ v?\d+\.\d+\.\d+\s*$"
-)
-_BANNER = re.compile(r"/\*!")
 _TABLE = re.compile(r"/\*{3}/|\b__webpack_require__\b|^\s*\d+:\s*\[?\s*function\s*\(\s*\w+,\s*\w+,\s*\w+\s*\)", re.M)
+_PINNED = re.compile(r'"[\^~]?\d+\.\d+\.\d+[^"]*"|https?://|"sha\d+-|"[\da-f]{32,}"')
 _NUMBERED = re.compile(r"([A-Za-z_][A-Za-z_]*?)(\d+)_?\b")
 _LITERAL = re.compile(r""""(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|(?<![\w.])[-+]?(?:0[xX][\da-fA-F]+|\d+\.?\d*(?:[eE][+-]?\d+)?|\.\d+)|[\s\[\](){},:;=]+""")
 _ASSIGNS = re.compile(r"\s*(?:(?:var|let|const)\s+)?[\w.]+\s*=")
 _ENDS_IN_DIGIT = re.compile(r"[A-Za-z_]\d")
 _STATEMENTS = ("return", "def ", "function", "import ", "class ", "for (", "for ", "if ", "print")
 _PARA = re.compile(r"\n[ \t]*\n")
+_PAIR_WORD = re.compile(r"@?[^\W\d_]+(?:['’][^\W\d_]+)?|\d+")
 
 
 def _numbered_share(lines: list[str]) -> float:
@@ -80,73 +82,77 @@ def _numbered_share(lines: list[str]) -> float:
     return hits / max(1, len(lines)) if runs >= 6 else 0.0
 
 
-def own_evidence(path: str, code: str) -> str | None:
-    """What the content of one file tells about who made it; None for a hand-written look."""
-    ext = path.rsplit(".", 1)[-1].lower()
-    lines = [x for x in code.split("\n") if x.strip()]
-    if not lines:
-        return None
-    seen_code = 0
+def leading_comments(path: str, code: str) -> Iterator[str]:
+    """Lines of all comments before the first line of code; imports, package lines and text literals may stand between."""
+    if path.lower().endswith((".json", ".ipynb")):
+        return
     closes = ""  # end mark of an open block comment
-    for line in lines:
+    for line in code.split("\n"):
+        if not line.strip():
+            continue
         m = re.match(r"(.*)", line) if closes else _COMMENT.match(line)
         if closes:
             closes = "" if closes in line else closes
         elif m and (block := re.match(r"\s*(/\*|<!--)", line)):
             end = "*/" if block[1] == "/*" else "-->"
             closes = "" if end in line[block.end() :] else end
-        if not m:
-            # a notice may stand after a first import or package line
-            seen_code += not line.strip().startswith(("import ", "from ", "package ", '"""', "'use strict'", "#!", "<?xml"))
-            if seen_code or ext in ("json", "ipynb"):
-                break
-            continue
-        note = m[1].strip().lstrip("*").rstrip("*/->").strip()
-        if _TOOL.search(note) and not _AUTHORED.search(note):
-            return "generator notice"
-        if _OTHER.search(note):
-            return "third-party notice"
+        if m:
+            yield m[1].strip().lstrip("*").rstrip("*/->").strip()
+        elif not line.strip().startswith(("import ", "from ", "package ", '"""', "'use strict'", "#!", "<?xml")):
+            return
+
+
+def notes(path: str, code: str) -> set[str]:
+    """Pairs of neighbouring words of the leading comments, with ``^`` for the begin of a line and 0 for any number."""
+    out = set()
+    for line in leading_comments(path, code):
+        words = ["^", *("0" if w.isdigit() else w for w in _PAIR_WORD.findall(line.lower()))]
+        out.update(map(" ".join, zip(words, words[1:])))  # noqa: B905
+    return out
+
+
+def shapes(path: str, code: str) -> dict[str, float]:
+    """Shares from 0 to 1 of what tools rather than people write; none for languages without shapes."""
+    ext = path.rsplit(".", 1)[-1].lower()
+    lines = [x for x in code.split("\n") if x.strip()]
+    if not lines:
+        return {}
     if ext == "json":
-        if re.search(r'"lockfileVersion"|"_meta"\s*:\s*\{\s*"hash"', code) or (code.count('"resolved"') >= 3 and code.count('"version"') >= 3) or code.count('"integrity"') >= 3:
-            return "lock file"
-        return None
+        return {"pinned versions": sum(1 for x in lines if _PINNED.search(x)) / len(lines)}
     if ext not in ("py", "js", "java"):
-        return None
-    if len(_TABLE.findall(code)) >= 3:
-        return "module table"
-    total = len(code)
-    if total >= 200 and ext != "java":
-        # few statements and nearly nothing besides literals and punctuation
-        few = max(3, len(lines) // 10)
-        if sum(map(code.count, _STATEMENTS)) <= 2 * few and lines[0].lstrip()[:1] not in "<#-|":
-            heads = sum(1 for x in lines if _ASSIGNS.match(x))
-            if heads <= few and len(_LITERAL.sub("", code)) < 0.08 * total:
-                return "only data"
-        dense = sum(len(x) for x in lines if len(x) > 80 and x.count(" ") < 0.08 * len(x) and sum(map(x.count, ";{}")) > len(x) / 60)
-        if dense > 0.6 * total or (dense > 0.4 * total and _BANNER.match(code)):
-            return "packed code"
-    if len(lines) >= 8 and len(_ENDS_IN_DIGIT.findall(code)) >= 0.45 * len(lines) and _numbered_share(lines) >= 0.45:
-        return "numbered structure"
-    return None
+        return {}
+    out = {"module table": min(1.0, len(_TABLE.findall(code)) / len(lines))}
+    # few statements and nearly nothing besides literals and punctuation
+    few = max(3, len(lines) // 10)
+    if sum(map(code.count, _STATEMENTS)) <= 2 * few and lines[0].lstrip()[:1] not in "<#-|" and sum(1 for x in lines if _ASSIGNS.match(x)) <= few:
+        out["only data"] = 1 - len(_LITERAL.sub("", code)) / len(code)
+    out["packed code"] = sum(len(x) for x in lines if len(x) > 80 and x.count(" ") < 0.08 * len(x) and sum(map(x.count, ";{}")) > len(x) / 60) / len(code)
+    if len(lines) >= 8 and len(_ENDS_IN_DIGIT.findall(code)) >= 0.4 * len(lines):
+        out["counted names"] = _numbered_share(lines)
+    return out
 
 
+@lru_cache(1 << 16)
 def _hash(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
 
 
 def fingerprints(code: str) -> list[dict[str, int]]:
-    """One print per paragraph of 60 characters or more, blind to line ends, indents and comments."""
+    """One print per paragraph of ``PARAGRAPH`` characters or more, blind to line ends, indents and comments."""
     out = []
     for p in _PARA.split(code.replace("\r\n", "\n")):
         flat = " ".join(x for x in (y.strip() for y in p.split("\n")) if not x.startswith(("#", "//")))
-        if len(flat) >= 60:
+        if len(flat) >= PARAGRAPH:
             out.append({"h": _hash(flat), "n": len(flat)})
     return out
 
 
 def glob_regex(pattern: str) -> str:
-    """Regular expression of one attribute glob, for paths relative to the directory of its file."""
-    anchored = "/" in pattern.rstrip("/")[:-1] if not pattern.endswith("/**") else "/" in pattern[:-3]
+    """Regular expression of one attribute glob, for paths relative to the directory of its file.
+
+    A glob with a slash before its last character is bound to that directory, any other meets the name at any depth.
+    """
+    anchored = "/" in pattern[:-1]
     pattern = pattern.removeprefix("/")
     out, k = "", 0
     while k < len(pattern):
@@ -162,6 +168,9 @@ def glob_regex(pattern: str) -> str:
         elif pattern[k] == "?":
             out += "[^/]"
             k += 1
+        elif pattern[k] == "\\" and k + 1 < len(pattern):
+            out += re.escape(pattern[k + 1])
+            k += 2
         elif pattern[k] == "[" and "]" in pattern[k:]:
             e = pattern.index("]", k)
             out += "[" + pattern[k + 1 : e].replace("!", "^", 1) + "]"
@@ -172,17 +181,21 @@ def glob_regex(pattern: str) -> str:
     return ("" if anchored else "(?:.*/)?") + out + r"\Z"
 
 
-def parse_attributes(text: str) -> list[tuple[str, str, bool]]:
-    """(regular expression, generated or vendored, whether set) of each line, in order."""
+def parse_attributes(text: str) -> list[tuple[str, str, bool | None]]:
+    """(regular expression, generated or vendored, set, unset or None for unsaid) of each line, in order.
+
+    A pattern in double quotes may hold blanks and escapes.
+    """
     rules = []
     for line in (text or "").replace("\r\n", "\n").split("\n"):
-        parts = line.split()
-        if len(parts) < 2 or parts[0].startswith("#"):
+        m = re.match(r'\s*(?:"((?:[^"\\]|\\.)*)"|([^\s#"]\S*))\s+(\S.*)', line)
+        if not m:
             continue
-        for attr in parts[1:]:
-            m = re.fullmatch(r"([-!]?)(?:linguist-)?(generated|vendored)(?:=(\w+))?", attr)
-            if m:
-                rules.append((glob_regex(parts[0]), m[2], not m[1] and (m[3] or "true").lower() != "false"))
+        pattern = re.sub(r"\\(.)", r"\1", m[1]) if m[1] is not None else m[2]
+        for attr in m[3].split():
+            a = re.fullmatch(r"([-!]?)(?:linguist-)?(generated|vendored)(?:=(\w+))?", attr)
+            if a:
+                rules.append((glob_regex(pattern), a[2], None if a[1] == "!" else not a[1] and (a[3] or "true").lower() != "false"))
     return rules
 
 
@@ -191,70 +204,125 @@ def _bundled() -> list[tuple[re.Pattern, str]]:
     return [(re.compile(r), kind) for r, kind, _ in parse_attributes((Path(__file__).parent / "attributes.txt").read_text())]
 
 
-def path_evidence(path: str) -> str | None:
-    for rule, kind in _bundled():
-        if rule.match(path):
-            return f"{kind} path"
-    return None
+def bundled_kind(path: str) -> str | None:
+    """generated or vendored, as the bundled attribute file says of a path."""
+    return next((kind for rule, kind in _bundled() if rule.match(path)), None)
 
 
 def _evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kind = pa.list_(pa.struct([("h", pa.int64()), ("n", pa.int32())]))
+    prints_type, shapes_type = pa.list_(pa.struct([("h", pa.int64()), ("n", pa.int32())])), pa.list_(pa.struct([("shape", pa.string()), ("step", pa.int32())]))
+    keep = ["file_id", "stored_dir_name", "code_path"]
     for b in batches:
-        reasons, prints = [], []
+        kinds, pairs, steps, prints, attributes = [], [], [], [], []
         for path, code in zip(b.column("code_path").to_pylist(), b.column("code").to_pylist(), strict=True):
             path = path or ""
-            # the reasons of the content come first: they tell a generator from a third party more surely than a path
-            reasons.append(own_evidence(path, code) or path_evidence(path))
-            prints.append(fingerprints(code) if path.lower().endswith((".py", ".js", ".java")) else [])
-        keep = ["file_id", "stored_dir_name", "code_path"]
-        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(reasons, pa.string()), pa.array(prints, kind)], [*keep, "reason", "prints"])
+            if path.rsplit("/", 1)[-1] == ".gitattributes":
+                kind, pair, step, print_, rules = None, [], [], [], code
+            else:
+                words = notes(path, code)
+                kind = bundled_kind(path) or ("generated" if words.intersection(MARKERS) else None)
+                pair = sorted(map(_hash, words))
+                step = [{"shape": k, "step": int(v / STEP + 1e-9)} for k, v in shapes(path, code).items() if v >= STEP]
+                print_ = fingerprints(code) if path.lower().endswith((".py", ".js", ".java")) else []
+                rules = None
+            for column, value in zip((kinds, pairs, steps, prints, attributes), (kind, pair, step, print_, rules), strict=True):
+                column.append(value)
+        arrays = [pa.array(kinds, pa.string()), pa.array(pairs, pa.list_(pa.int64())), pa.array(steps, shapes_type), pa.array(prints, prints_type), pa.array(attributes, pa.string())]
+        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *arrays], [*keep, "bundled", "notes", "shapes", "prints", "attributes"])
+
+
+@lru_cache(1 << 10)
+def _rules(files: tuple[tuple[str, str], ...]) -> list[tuple[str, re.Pattern, str, bool | None]]:
+    """(directory, expression, attribute, value) of the attribute files of a repository, the strongest last."""
+    return [(base, re.compile(rule), kind, value) for base, text in sorted(files, key=lambda f: (f[0].count("/"), f[0])) for rule, kind, value in parse_attributes(text)]
+
+
+def declared_kind(path: str, files: tuple[tuple[str, str], ...]) -> str | None:
+    """generated, vendored or by hand, as attribute files ((directory, text) pairs) say of a path; None if unsaid."""
+    said: dict[str, bool | None] = {}
+    for base, rule, kind, value in _rules(files):
+        if path.startswith(base) and rule.match(path[len(base) :]):
+            said[kind] = value
+    set_to = [k for k in ("vendored", "generated") if said.get(k)]
+    return set_to[0] if set_to else "by hand" if False in said.values() else None
+
+
+def _declared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        rows = zip(b.column("code_path").to_pylist(), b.column("files").to_pylist(), strict=True)
+        kinds = [declared_kind(path or "", tuple((f["base"], f["attributes"]) for f in files)) for path, files in rows]
+        yield pa.RecordBatch.from_arrays([b.column("file_id"), pa.array(kinds, pa.string())], ["file_id", "declared"])
 
 
-def declared(repo: DataFrame) -> DataFrame:
-    """(file_id, declared) for files that an attribute file of their repository speaks of; true means not by hand.
+def declared(seen: DataFrame) -> DataFrame:
+    """(file_id, declared) for files that an attribute file of their repository speaks of.
 
-    The rules are joined to the files of their repository only; the last rule in order of directory depth and line
-    that matches decides for each attribute.
+    The attribute files of a repository become one row, which its files meet where they lie; no pairs of files and
+    rules are made.
     """
-    notes = repo.filter(F.col("code_path").rlike(r"(^|/)\.gitattributes$") & F.col("code").isNotNull())
-    rules = notes.select("stored_dir_name", "code_path", "code").mapInArrow(_rules, RULES)
-    rules = rules.withColumn("rank", F.size(F.split("base", "/")) * 1_000_000 + F.col("line"))
-    files = repo.select("file_id", "stored_dir_name", "code_path").distinct()
-    hit = files.join(rules, "stored_dir_name").filter(F.expr("startswith(code_path, base) and rlike(substring(code_path, length(base) + 1), concat('^', rule))"))
-    each = hit.groupBy("file_id", "kind").agg(F.max_by("is_set", "rank").alias("is_set"))
-    return each.groupBy("file_id").agg(F.max("is_set").alias("declared"))
+    base = F.regexp_extract("code_path", r"^(.*/)?[^/]*$", 1).alias("base")
+    rules = seen.filter("attributes is not null").groupBy("stored_dir_name").agg(F.sort_array(F.collect_set(F.struct(base, "attributes"))).alias("files"))
+    files = seen.filter("attributes is null").select("file_id", "stored_dir_name", "code_path").join(rules, "stored_dir_name")
+    said = files.select("file_id", "code_path", "files").mapInArrow(_declared, "file_id long, declared string")
+    return said.groupBy("file_id").agg(F.max("declared").alias("declared"))
 
 
-def _rules(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        rows = []
-        for repo, path, code in zip(*(b.column(c).to_pylist() for c in ("stored_dir_name", "code_path", "code")), strict=True):
-            base = path[: path.rfind("/") + 1]
-            rows += [(repo, base, k, rule.replace(r"\Z", "$"), kind, is_set) for k, (rule, kind, is_set) in enumerate(parse_attributes(code))]
-        names = ("stored_dir_name", "base", "line", "rule", "kind", "is_set")
-        kinds = (pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.bool_())
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names)
+def mined_notes(seen: DataFrame) -> DataFrame:
+    """(file_id, note, kind) of files whose most telling pair of words is one of tools, with the attribute it goes with.
+
+    ``seen`` has kind, the declared attribute or null.
+    """
+    told = F.count("kind")
+    total = seen.agg(F.count(F.lit(1)).alias("files"), told.alias("told"))
+    words = seen.select("file_id", "kind", F.explode("notes").alias("h"))
+    share = F.col("told") / F.col("files")
+    each = words.groupBy("h").agg(F.count(F.lit(1)).alias("files"), told.alias("told")).filter((F.col("told") >= LEAST_FILES) & (share >= LEAST_SHARE))
+    each = each.crossJoin(F.broadcast(total.select((F.col("told") / F.col("files")).alias("base")))).filter(share > F.col("base"))  # one row
+    each = each.select("h", (F.col("told") * F.log2(share / F.col("base"))).alias("gain"))
+    best = words.join(each, "h").groupBy("file_id").agg(F.max(F.struct("gain", "h")).alias("b"), F.max("kind").alias("kind")).select("file_id", "kind", F.col("b.h").alias("h"))
+    kept = best.groupBy("h").agg(F.count(F.lit(1)).alias("files"), told.alias("told"), F.count(F.when(F.col("kind") == "vendored", 1)).alias("vendored"))
+    kept = kept.filter((F.col("told") >= LEAST_FILES) & (share >= LEAST_SHARE))
+    return best.select("file_id", "h").join(kept.select("h", F.when(F.col("vendored") * 2 > F.col("told"), "vendored").otherwise("generated").alias("note_kind")), "h")
+
+
+def mined_shapes(seen: DataFrame) -> dict[str, int]:
+    """The step from which on a shape is one of tools. At most five shapes of twenty steps come to the driver."""
+    steps = seen.select("kind", F.explode("shapes").alias("s")).groupBy("s.shape", "s.step").agg(F.count(F.lit(1)).alias("files"), F.count("kind").alias("told"))
+    kept = steps.filter((F.col("told") >= LEAST_FILES) & (F.col("told") >= LEAST_SHARE * F.col("files"))).groupBy("shape").agg(F.min("step").alias("step"))
+    return {r["shape"]: r["step"] for r in kept.collect()}
 
 
 def reasons(repo: DataFrame) -> DataFrame:
     """(file_id, stored_dir_name, code_path, reason) for every file that is not hand-written."""
-    files = repo.filter(F.col("code").isNotNull() & (F.length(F.trim("code")) > 0)).select("file_id", "stored_dir_name", "code_path", "code")
-    seen = stage_table(files.mapInArrow(_evidence, EVIDENCE), "evidence")
-    third = F.col("reason").isin("third-party notice", "vendored path")
-    known = seen.filter(third).select(F.explode("prints.h").alias("h")).distinct()
+    files = repo.filter(F.col("code").isNotNull() & (F.length(F.trim("code")) > 0) & F.col("file_id").isNotNull()).select("file_id", "stored_dir_name", "code_path", "code")
+    seen = stage_table(files.mapInArrow(_evidence, EVIDENCE).dropDuplicates(["file_id"]), "evidence")
+    if seen.filter("attributes is not null").isEmpty():
+        seen = seen.withColumn("declared", F.lit(None).cast("string"))
+    else:
+        seen = stage_table(seen.filter("attributes is null").join(declared(seen), "file_id", "left"), "declared")
+    kind = F.when(F.col("declared").isNull(), F.col("bundled")).when(F.col("declared") != "by hand", F.col("declared"))
+    seen = seen.withColumn("kind", kind)
+    seen = seen.join(mined_notes(seen).select("file_id", "note_kind"), "file_id", "left")
+    from_step = mined_shapes(seen.select("kind", "shapes"))
+    is_shape = lambda x: F.array(F.lit(False), *((x["shape"] == k) & (x["step"] >= v) for k, v in from_step.items()))
+    shape = F.element_at(F.filter("shapes", lambda x: F.array_contains(is_shape(x), True)), 1)["shape"]
+    reason = F.when(F.col("declared").isNotNull(), F.concat(F.lit("declared "), "declared")).otherwise(
+        F.coalesce(F.concat(F.lit("mined shape: "), shape), F.concat(F.lit("mined note: "), "note_kind"), F.concat("bundled", F.lit(" path")))
+    )
+    seen = stage_table(seen.select("file_id", "stored_dir_name", "code_path", "prints", "declared", reason.alias("reason"), F.coalesce("kind", "note_kind").alias("kind")), "reasons")
+    # copies of third-party files
+    known = seen.filter("kind = 'vendored'").select(F.explode("prints.h").alias("h")).distinct()
     rest = seen.filter(F.col("reason").isNull() & (F.size("prints") > 0))
-    pieces = rest.select("file_id", F.explode("prints").alias("p")).select("file_id", F.col("p.h").alias("h"), F.col("p.n").alias("n"))
-    shared = pieces.join(known, "h", "left_semi").groupBy("file_id").agg(F.sum("n").alias("shared"))
-    sizes = rest.select("file_id", F.aggregate("prints", F.lit(0), lambda a, x: a + x["n"]).alias("size")).groupBy("file_id").agg(F.max("size").alias("size"))
-    copies = shared.join(sizes, "file_id").filter(F.col("shared") >= COPY_SHARE * F.col("size")).select("file_id", F.lit("copy of a third-party file").alias("copy"))
-    own = ~F.coalesce(F.col("reason"), F.lit("")).isin("vendored path", "generated path", "")
-    names = seen.select("file_id", own.cast("int").alias("own"), F.explode(F.array_distinct(F.slice(F.split("code_path", "/"), 2, F.greatest(F.size(F.split("code_path", "/")) - 2, F.lit(0))))).alias("name"))
-    mined = names.groupBy("name").agg(F.count(F.lit(1)).alias("files"), F.avg("own").alias("share"))
-    mined = mined.filter((F.col("files") >= PATH_SUPPORT) & (F.col("share") >= PATH_SHARE)).select("name")
+    shared = rest.select("file_id", F.explode("prints").alias("p")).select("file_id", F.col("p.h").alias("h"), F.col("p.n").alias("n")).join(known, "h", "left_semi").groupBy("file_id").agg(F.sum("n").alias("shared"))
+    copies = rest.select("file_id", F.aggregate("prints", F.lit(0), lambda a, x: a + x["n"]).alias("size")).join(shared, "file_id").filter(F.col("shared") >= COPY_SHARE * F.col("size"))
+    copies = copies.select("file_id", F.lit("copy of a third-party file").alias("copy"))
+    # directory names of which nearly all files are found
+    folders = F.slice(F.split("code_path", "/"), 2, F.greatest(F.size(F.split("code_path", "/")) - 2, F.lit(0)))
+    names = seen.select("file_id", F.coalesce(F.startswith("reason", F.lit("mined")), F.lit(False)).cast("int").alias("own"), F.explode(F.array_distinct(folders)).alias("name"))
+    mined = names.groupBy("name").agg(F.count(F.lit(1)).alias("files"), F.avg("own").alias("share")).filter((F.col("files") >= PATH_SUPPORT) & (F.col("share") >= PATH_SHARE)).select("name")
     in_mined = names.filter("own = 0").join(mined, "name", "left_semi").select("file_id").distinct().withColumn("mined", F.lit("mined path"))
-    out = seen.drop("prints").join(copies, "file_id", "left").join(in_mined, "file_id", "left").join(declared(repo), "file_id", "left")
-    reason = F.when(F.col("declared"), F.coalesce("reason", F.lit("declared"))).when(~F.col("declared"), None).otherwise(F.coalesce("reason", "copy", "mined"))
+    out = seen.drop("prints").join(copies, "file_id", "left").join(in_mined, "file_id", "left")
+    reason = F.when(F.coalesce("declared", F.lit("")) != "by hand", F.coalesce("reason", "copy", "mined"))
     return out.select("file_id", "stored_dir_name", "code_path", reason.alias("reason")).filter(F.col("reason").isNotNull())
 
 

@@ -62,7 +62,8 @@ BASE = ("Zokapita: Compact Rumour Detection with Layered Encoders", "zokapita-co
     ],
 )
 def test_same_work(row, same):
-    assert incremental.same_work(BASE, row) is same and incremental.same_work(row, BASE) is same
+    marks = frozenset({"v2", "with code"})
+    assert incremental.same_work(BASE, row, marks) is same and incremental.same_work(row, BASE, marks) is same
 
 
 def papers(spark):
@@ -257,12 +258,53 @@ def test_notices_below_a_licence_header():
     assert handwritten.own_evidence("b.json", lock) == "lock file"
 
 
-def test_band_pairs_of_cut_and_glued_titles(spark):
+def test_paragraphs_of_cut_and_glued_titles(spark):
     long = "a deep network for the robust segmentation of medical images with very few labelled examples in practice"
     cut = "a deep netwrok for the robust segmentation of medical images with very few labelled..."
     glued = "a deepnetwork forthe robustsegmentation ofmedical imageswith veryfew labelledexamples inpractice everywhere"
     rows = [(1, long, None, None, 0), (2, cut, None, None, 1), (3, long + " everywhere", None, None, 2), (4, glued, None, None, 3)]
     paper = spark.createDataFrame(rows, "paper_id long, title string, stored_dir_name string, code string, batch_no int")
-    hashed = incremental.hashed(paper).withColumn("bands", F.array(F.lit(1).cast("long")))
-    got = {tuple(x) for x in incremental.links(hashed, hashed).collect()}
-    assert {(1, 2), (3, 4)} <= got
+    assert set(map(tuple, incremental.found(paper).collect())) == {(1, 2), (3, 4)}
+
+
+def test_later_row_joins_no_accepted_works(spark, tmp_path):
+    # row 3 has the title of one accepted work and the directory of another; both stay accepted
+    rows = [(1, 0, "one long title of the first work", "first-dir", None), (2, 0, "quite another title of a second work", "second-dir", None), (3, 1, "one long title of the first work", "second-dir", None), (4, 1, "Quite another title of a second work", None, None)]
+    paper = spark.createDataFrame(rows, "paper_id long, batch_no int, title string, stored_dir_name string, code string")
+    want = {(1, 3), (2, 4)}
+    assert set(map(tuple, incremental.found(paper).collect())) == want
+    # any grouping of rows into batches gives the same, and a batch given twice is not counted twice
+    store = incremental.HashStore(spark, str(tmp_path / "store"), 4)
+    for ids in ((1,), (2, 3), (2, 3), (4,)):
+        store.check_batch(paper.filter(F.col("paper_id").isin(*ids)))
+    assert set(map(tuple, store.verdicts().collect())) == want
+    # an attempt without its marker does not count
+    again = incremental.HashStore(spark, str(tmp_path / "store"), 4)
+    assert set(map(tuple, again.verdicts().collect())) == want and len(again.done) == 4
+    again.done = again.done[:1]
+    assert again.verdicts().count() == 0
+
+
+def test_hot_work_and_batches_of_any_cut(spark, tmp_path):
+    r = random.Random(5)
+    rows = []
+    for k in range(120):
+        t = list("Zokapita: Compact Rumour Detection with Layered Encoders for Long Inputs")
+        if k:
+            at = r.choice([j for j in range(12, len(t) - 1) if t[j] != " "])
+            t[at] = "q"
+        rows.append((k, k // 60, "".join(t), None, None))
+    rows += [(1000 + k, 1, f"{chr(97 + k) * 6}: Compact Rumour Detection with Layered Encoders for Long Inputs", None, None) for k in range(20)]
+    paper = spark.createDataFrame(rows, "paper_id long, batch_no int, title string, stored_dir_name string, code string")
+    got = set(map(tuple, incremental.found(paper).collect()))
+    assert got == {(0, k) for k in range(1, 120)}
+
+
+def test_learned_marks(spark):
+    rows = []
+    for k in range(6):
+        t, d = f"Model{k}: A Study of Thing {'abcdef'[k]} in Depth", f"model{k}-a-study-of-thing-{'abcdef'[k]}-in-depth"
+        rows += [(t, d), (f"{t} (with code)", d), (f"[Re] {t}", "re-" + d), (f"{t}, part 2", d + "-part-2")]
+    paper = spark.createDataFrame(rows, "title string, stored_dir_name string")
+    assert incremental.learned_marks(paper) == {"with code"}
+    assert incremental.learned_marks(paper.limit(0)) == frozenset()
