@@ -12,8 +12,6 @@ repeated rows give repeated verdicts; other columns are ignored, whatever their
 
 from __future__ import annotations
 
-import ast
-import warnings
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -25,26 +23,11 @@ from knotwork.llm.syntax.files import LANGUAGES, first_error
 VERDICT = "file_id long, stored_dir_name string, code_path string, language string, error_line int, error string"
 
 
-def _confirmed(language: str, code: str) -> bool:
-    """Exact check of a file that the table-driven parser rejects, where the running interpreter has one."""
-    if language != "py":
-        return True
-    try:
-        with warnings.catch_warnings():
-            warnings.simplefilter("ignore")
-            ast.parse(code)
-    except (SyntaxError, ValueError, RecursionError, MemoryError):
-        return True
-    return False
-
-
 def _verdicts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         lines, messages = [], []
         for language, code in zip(b.column("language").to_pylist(), b.column("code").to_pylist(), strict=True):
             found = first_error(language, code)
-            if found and not _confirmed(language, code):
-                found = None
             lines.append(found[0] if found else None)
             messages.append(found[1] if found else None)
         keep = ["file_id", "stored_dir_name", "code_path", "language"]

@@ -3,7 +3,9 @@
 A grammar is text: ``%keywords`` and ``%operators`` lines declare terminals of several characters, then rules
 ``name: alternatives ;`` in EBNF (``?``, ``*``, ``+``, ``|``, brackets; ``&'x'`` looks ahead at x, ``&'END'`` at the end, ``!'x'`` at anything else). A token stream is a string with one
 character per token. For every rule the FIRST set is computed and turned into a table from the next token to the
-alternatives that can begin with it. The chart holds, for each (rule, position), all positions where the rule can
+alternatives that can begin with it. A second table holds the pairs of tokens that can begin a rule, and the tokens that
+are a rule on their own: where the next two tokens are no such pair, the rule can only be one token long, which settles
+most items of long lists without a derivation. The chart holds, for each (rule, position), all positions where the rule can
 end, so ambiguous and non-LL grammars are recognised exactly; only left recursion is excluded.
 """
 
@@ -44,6 +46,7 @@ class Grammar:
         self._nullable: set[str] = set()
         self._first: dict[str, set[str]] = {n: set() for n in self.rules}
         self._fixpoint()
+        self._pair_tables()
         self.stream = END
         self.far = 0
         self._chart: dict[str, dict[int, tuple[int, ...]]] = {n: {} for n in self.rules}
@@ -133,6 +136,72 @@ class Grammar:
                     self._first[n] |= first
                     changed = True
 
+    def _pair_tables(self) -> None:
+        """For each rule: first tokens with the set of second ones as bits, and the tokens that are the rule on their own.
+
+        A look-ahead counts as empty here, so pairs and single tokens are never too few; the sure single tokens are
+        those of derivations without one.
+        """
+        letters = sorted(set().union(*self._first.values()) | {END})
+        self._bit = {c: 1 << k for k, c in enumerate(letters)}
+        # rule -> (mask of single tokens, mask of sure ones, can be empty, surely so, first token -> mask of second ones)
+        table = {n: (0, 0, False, False, {}) for n in self.rules}
+
+        def mask(first: dict) -> int:
+            out = 0
+            for c in first:
+                out |= self._bit.setdefault(c, 1 << len(self._bit))
+            return out
+
+        def join(a: tuple, b: tuple) -> tuple:
+            single, sure = (b[0] if a[2] else 0) | (a[0] if b[2] else 0), (b[1] if a[3] else 0) | (a[1] if b[3] else 0)
+            first = {c: m | (mask(b[4]) if self._bit[c] & a[0] else 0) for c, m in a[4].items()}
+            if a[2]:
+                for c, m in b[4].items():
+                    first[c] = first.get(c, 0) | m
+            return single, sure, a[2] and b[2], a[3] and b[3], first
+
+        def either(parts: list) -> tuple:
+            first: dict = {}
+            single = sure = 0
+            for p in parts:
+                single, sure = single | p[0], sure | p[1]
+                for c, m in p[4].items():
+                    first[c] = first.get(c, 0) | m
+            return single, sure, any(p[2] for p in parts), any(p[3] for p in parts), first
+
+        def of(node: tuple) -> tuple:
+            kind, x = node
+            if kind == "rule":
+                return table[x]
+            if kind == "term":
+                b = self._bit.setdefault(x, 1 << len(self._bit))
+                return b, b, False, False, {x: 0}
+            if kind in ("look", "not"):
+                return 0, 0, True, False, {}
+            if kind == "seq":
+                out = (0, 0, True, True, {})
+                for part in x:
+                    out = join(out, of(part))
+                return out
+            if kind == "alt":
+                return either([of(a) for a in x])
+            one = of(x)
+            if kind == "?":
+                return one[0], one[1], True, True, one[4]
+            twice = join(one, one)
+            return one[0], one[1], one[2] or kind == "*", one[3] or kind == "*", {c: m | twice[4].get(c, 0) for c, m in one[4].items()}
+
+        changed = True
+        while changed:
+            changed = False
+            for n, node in self.rules.items():
+                new = of(node)
+                if new != table[n]:
+                    table[n] = new
+                    changed = True
+        self._pairs = table
+
     # --- recognition
 
     _body: dict
@@ -142,10 +211,24 @@ class Grammar:
         if "_body" not in self.__dict__:
             self._body = {}
         body = self._body
+        single, sure, empty, _, pairs = self._pairs[name]
+        bit = self._bit
 
         def run(at: int) -> tuple[int, ...]:
             ends = chart.get(at)
             if ends is None:
+                stream = self.stream
+                c = stream[at]
+                if not empty and c in pairs and at + 1 < len(stream) and not pairs[c] & bit.get(stream[at + 1], 0):
+                    alone = bit[c]
+                    if not alone & single:
+                        if at >= self.far:
+                            self.far = at + 1
+                        return ()
+                    if alone & sure:
+                        if at >= self.far:
+                            self.far = at + 1
+                        return (at + 1,)
                 ends = chart[at] = body[name](at)
             return ends
 

@@ -18,6 +18,8 @@ from knotwork.llm.syntax.chart import END, Grammar
 
 #: Shapes kept per process; the oldest go first. A bound on memory, not on what is parsed.
 KEPT = 200_000
+#: Longest token string whose verdict is kept.
+KEPT_LENGTH = 2_000
 #: Character of a lexical error; no grammar has it.
 BAD = "\x01"
 #: Stands after a piece that is not the last of its group.
@@ -34,14 +36,14 @@ def grammar(name: str) -> Grammar:
 class Kept(dict):
     """A dictionary that computes what is missing and stays within ``KEPT`` entries."""
 
-    def __init__(self, make, longest: int = 1 << 30) -> None:
+    def __init__(self, make, longest: int = KEPT_LENGTH) -> None:
         super().__init__()
         self.make = make
         self.longest = longest
 
     def __missing__(self, key):
         value = self.make(key)
-        if not isinstance(key, str) or len(key) <= self.longest:
+        if len(key) <= self.longest and not (isinstance(key, tuple) and len(key[1]) > self.longest):
             if len(self) >= KEPT:
                 del self[next(iter(self))]
             self[key] = value
@@ -95,19 +97,6 @@ _PY_WORD = re.compile(r"(\w+[\x04\x05]?)")
 _NUMBER_PARTS = re.compile(r"[0z]\.(?:h[+-][0z]|[0z])?|\.(?:h[+-][0z]|[0z])|h[+-][0z]")
 _PY_RUN = re.compile(r"[=!<>+\-*/%@&|^:.]{2,}|[`$?!]")
 _PY_OP = re.compile(r"\*\*=|//=|>>=|<<=|\.\.\.|\*\*|//|>>|<<|[<>=!:+\-*/%@&|^]=|->|[\s\S]")
-# A run of four or more equal list items or statements without brackets of their own can stand for any longer run.
-_SIGN = re.compile(r"(?<=[\[,(:])-(?=0[,\])}])")
-_RUNS = re.compile(r"([^()\[\]{}]{1,40}?[,;])\1{3,}")
-_ROWS = re.compile(r"(\[[^()\[\]{}]{0,40}\],|\{[^()\[\]{}]{0,40}\},|\([^()\[\]{}]{0,40}\),)\1{3,}")
-
-
-def shortened(stream: str) -> str:
-    """The stream with long runs of equal items cut to three; no rule of the grammars counts beyond two."""
-    if len(stream) > 40:
-        stream = _ROWS.sub(r"\1\1\1", _RUNS.sub(r"\1\1\1", _SIGN.sub("", stream)))
-    return stream
-
-
 _PY_NUMBER = re.compile(r"0[xX](?:_?[\da-fA-F])+|0[oO](?:_?[0-7])+|0[bB](?:_?[01])+|(?:0(?:_?0)*|[1-9](?:_?\d)*)|\d(?:_?\d)*(?:[eE]\d(?:_?\d)*[jJ]?|[jJ])")
 _PY_BAD_ESCAPE = re.compile(r"(?<!\\)(?:\\\\)*(?:\\x(?![\da-fA-F]{2})|\\u(?![\da-fA-F]{4})|\\U(?!(?:000|0010)[\da-fA-F]{4,5})|\\N(?!\{[^}]+\}))")
 _PY_BAD_BYTES = re.compile(r"(?<!\\)(?:\\\\)*\\x(?![\da-fA-F]{2})")
@@ -273,7 +262,6 @@ class Python:
     def _line(self, shape: str):
         """(kind, whether a block must follow) of a logical line; None if it is no line of the grammar."""
         g = self.g
-        shape = shortened(shape)
         if shape[0] == "\x03":
             return ("s", False) if g.accepts("fstringexpr", shape[1:]) else None
         first = shape[0]
@@ -494,7 +482,7 @@ class Braces:
 
     def first_error(self, text: str) -> tuple[int, str] | None:
         stream = self.lex(text)
-        why = self.reduced(shortened(stream))
+        why = self.reduced(stream)
         if why is None:
             return None
         stream, where = self.lex_where(text)
@@ -686,22 +674,17 @@ class Java(Braces):
 # --- JSON
 
 _JSON = re.compile(r'"(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[\da-fA-F]{4}))*"|-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?(?![\w.])|\b(?:true|false|null)\b|[ \t\n\r]+|[^\[\]{},:]')
-# the two bracketed right-hand sides of the grammar's rule for a value
-_HANDLE = re.compile(r"\[(?:[sv](?:,[sv])*)?\]|\{(?:s:[sv](?:,s:[sv])*)?\}")
 
 
 class Json:
-    """JSON by repeated reduction of handles; the chart parser finds the place of an error."""
+    """JSON by the chart parser over its whole token stream."""
 
     def __init__(self) -> None:
         self.g = grammar("json")
         self.token = Kept(lambda s: "" if s[0] in " \t\n\r" else "s" if s[0] == '"' and len(s) > 1 else "v" if s[0] in "-0123456789tfn" and s != "-" and (len(s) > 1 or s.isdigit()) else BAD, 40)
 
     def first_error(self, text: str) -> tuple[int, str] | None:
-        t = _JSON.sub(lambda m: self.token[m[0]], text)
-        while len(new := _HANDLE.sub("v", t)) != len(t):
-            t = new
-        if t in ("s", "v"):
+        if self.g.accepts("document", _JSON.sub(lambda m: self.token[m[0]], text)):
             return None
         stream, where = substitute(_JSON, lambda m: self.token[m[0]], text)
         self.g.accepts("document", stream)
@@ -783,4 +766,13 @@ def parser(language: str):
 
 def first_error(language: str, text: str) -> tuple[int, str] | None:
     """Line (from 1) and message of the first unrecoverable error of a file; None if it parses to its end."""
-    return parser(language).first_error(text)
+    try:
+        return parser(language).first_error(text)
+    except RecursionError:
+        # brackets nested deeper than usual: as many frames as the text can ask for
+        before = sys.getrecursionlimit()
+        sys.setrecursionlimit(max(before, 40 * len(text)))
+        try:
+            return parser(language).first_error(text)
+        finally:
+            sys.setrecursionlimit(before)

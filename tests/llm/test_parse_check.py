@@ -2,11 +2,13 @@ import ast
 import json
 import random
 import warnings
+from pathlib import Path
 from xml.parsers import expat
 
 import pytest
 
 from knotwork.llm import parse_check
+from knotwork.llm.syntax import chart, files
 from knotwork.llm.syntax.chart import Grammar
 from knotwork.llm.syntax.files import first_error
 
@@ -112,3 +114,29 @@ def test_table(spark):
     meta = spark.createDataFrame([("r", 'File "a/b.PY", line 1'), ("r", None), ("r", 'File "a/b.PY", line 1')], "dir_name string, err_msg string")
     told = {r.file_id: r.is_reported for r in parse_check.reported(df, meta).collect()}
     assert told == {1: True, 3: False}
+
+
+def test_long_lists_are_parsed_to_their_end():
+    lists = "1, -2, 'a', " * 300
+    assert files.first_error("py", f"x = [{lists}3]\n") is None and files.first_error("js", f"x = [{lists}3];\n") is None
+    for bad in ("1, 2 3, ", "1, -, 2, ", "1, -*2, "):
+        assert files.first_error("py", f"x = [{lists}{bad}{lists}3]\n") is not None
+        assert files.first_error("js", f"x = [{lists}{bad}{lists}3];\n") is not None
+    rows = "{'a': [1, -2]}, " * 200
+    assert files.first_error("py", f"x = [{rows}]\n") is None and files.first_error("py", f"x = [{rows}{{'a': [1 -]}}, {rows}]\n") is not None
+
+
+def test_pair_tables_change_no_verdict():
+    r = random.Random(8)
+    for name, rule in (("python", "simple"), ("javascript", "script"), ("json", "document")):
+        g = files.grammar(name)
+        letters = [c for c in g._bit if c != chart.END]
+        tables = g._pairs
+        streams = ["".join(r.choice(letters) for _ in range(r.randint(1, 7))) for _ in range(1500)] + ["a=[0,-0,0]", "a(0,a,s)", "[s,v]", "a=0;", "a.a(a)[0]"]
+        fast = [g.accepts(rule, x) for x in streams]
+        plain = chart.Grammar((Path(files.__file__).parent / "grammars" / f"{name}.txt").read_text())
+        plain._pairs = {n: (0, 0, True, True, {}) for n in tables}
+        plain._run = {n: plain._rule(n) for n in plain.rules}
+        for n, node in plain.rules.items():
+            plain._body[n] = plain._compile(node)
+        assert fast == [plain.accepts(rule, x) for x in streams]
