@@ -10,7 +10,7 @@
      the information gain about being declared), so that words which merely stand beside a notice are explained away; a
      pair is adopted if at least ``LEAST_SHARE`` of its files are declared.
    * *shapes*: packed lines, literal data, counted names, module tables, pinned versions, each a share of the file in
-     steps of ``STEP``; the threshold of each is the first step where at least ``LEAST_SHARE`` of the files are declared.
+     steps of ``STEP``; the threshold of each is the step from which on at least ``LEAST_SHARE`` of the files are declared.
    Only a part of all generated files stands under a telling path, and hardly any hand-written one does, so a small share
    of declared files tells a pattern of tools: ``LEAST_SHARE`` is far above the share that hand-written looks reach.
 3. **Copies.** Paragraph fingerprints of all vendored files form a table; a file elsewhere at least half of whose text (by
@@ -28,7 +28,6 @@ whole texts are read; line ends do not matter; repeated rows give one row of ``f
 from __future__ import annotations
 
 import hashlib
-import math
 import re
 from collections.abc import Iterator
 from functools import cache, lru_cache
@@ -286,10 +285,26 @@ def mined_notes(seen: DataFrame) -> DataFrame:
 
 
 def mined_shapes(seen: DataFrame) -> dict[str, int]:
-    """The step from which on a shape is one of tools. At most five shapes of twenty steps come to the driver."""
+    """The step from which on a shape is one of tools, by isotonic regression of the share of declared files.
+
+    Neighbouring steps are pooled until the share does not fall from one pool to the next; the first pool with a share
+    of ``LEAST_SHARE`` begins at the threshold. At most five shapes of twenty steps come to the driver.
+    """
     steps = seen.select("kind", F.explode("shapes").alias("s")).groupBy("s.shape", "s.step").agg(F.count(F.lit(1)).alias("files"), F.count("kind").alias("told"))
-    kept = steps.filter((F.col("told") >= LEAST_FILES) & (F.col("told") >= LEAST_SHARE * F.col("files"))).groupBy("shape").agg(F.min("step").alias("step"))
-    return {r["shape"]: r["step"] for r in kept.collect()}
+    pools: dict[str, list[list[int]]] = {}
+    for shape, step, files, told in sorted(map(tuple, steps.collect())):
+        own = pools.setdefault(shape, [])
+        own.append([step, files, told])
+        while len(own) > 1 and own[-1][2] * own[-2][1] <= own[-2][2] * own[-1][1]:
+            _, files, told = own.pop()
+            own[-1][1] += files
+            own[-1][2] += told
+    out = {}
+    for shape, own in pools.items():
+        kept = [step for step, files, told in own if told >= LEAST_FILES and told >= LEAST_SHARE * files]
+        if kept:
+            out[shape] = kept[0]
+    return out
 
 
 def reasons(repo: DataFrame) -> DataFrame:
@@ -304,8 +319,8 @@ def reasons(repo: DataFrame) -> DataFrame:
     seen = seen.withColumn("kind", kind)
     seen = seen.join(mined_notes(seen).select("file_id", "note_kind"), "file_id", "left")
     from_step = mined_shapes(seen.select("kind", "shapes"))
-    is_shape = lambda x: F.array(F.lit(False), *((x["shape"] == k) & (x["step"] >= v) for k, v in from_step.items()))
-    shape = F.element_at(F.filter("shapes", lambda x: F.array_contains(is_shape(x), True)), 1)["shape"]
+    steps = F.create_map(*(F.lit(x) for kv in sorted(from_step.items()) for x in kv)).cast("map<string,int>")
+    shape = F.get(F.filter("shapes", lambda x: F.coalesce(x["step"] >= F.try_element_at(steps, x["shape"]), F.lit(False))), F.lit(0))["shape"]
     reason = F.when(F.col("declared").isNotNull(), F.concat(F.lit("declared "), "declared")).otherwise(
         F.coalesce(F.concat(F.lit("mined shape: "), shape), F.concat(F.lit("mined note: "), "note_kind"), F.concat("bundled", F.lit(" path")))
     )

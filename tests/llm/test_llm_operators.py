@@ -86,25 +86,59 @@ def test_found_equals_incremental_batches(spark, tmp_path):
 # --- problem 5
 
 
-@pytest.mark.parametrize(
-    "path, code, made",
-    [
-        ("r/a.py", "# Generated by a tool, do not edit\nx = 1\n", True), ("r/a.py", "BANNER = '# generated file, do not edit'\ndef f():\n    return BANNER\n", False), ("r/a.py", '"""Writes a header that says auto-generated."""\nimport os\n\ndef f():\n    return 1\n', False),
-        ("r/lib/b.js", "// Taken from foo 1.2.3 without changes\nfunction f() { return 1; }\n", True), ("r/c.js", "function a(b,c){if(b>1){d(b);}for(var i=0;i<b.length;i++){e+=b[i]/2;}return b;}" * 5, True), ("r/d.py", "W = np.array([\n" + "    [0.123, -1.5, 2.75],\n" * 30 + "])\n", True),
-        ("r/e.json", '{"lockfileVersion": 1, "dependencies": {}}', True), ("r/e.json", '{"a": [1, 2, 3]}', False), ("r/f.py", "MEAN = [" + "0.25, " * 60 + "]\n\ndef f(x):\n    y = x + 1\n    for i in y:\n        print(i)\n    return y\n" * 3, False), ("r/__init__.py", "# package\n", False),
-        ("r/vendor_stats.py", "import os\n\ndef f():\n    return os\n", False), ("r/g.py", "def build(i):\n" + "".join(f"    t{k + 1} = op(t{k}, n={k})\n" for k in range(20)), True), ("r/h.ipynb", "{}", False),
-    ],
-)
-def test_evidence(path, code, made):
-    assert bool(handwritten.own_evidence(path, code)) is made
+def tool_corpus():
+    """Files of tools, every third one under a path that the bundled attribute file knows, and hand-written ones."""
+    plain = "import os\n\ndef f(x):\n    # reads the {0} of one batch\n    y = x + 1\n    for i in y:\n        print(i, os)\n    return y\n"
+    makers = [
+        ("_pb2.py", "# Made by the tree compiler, changes will be lost\nimport os\nx = {0}\n"), (".min.js", "function a(b,c){{if(b>1){{d(b);}}for(var i=0;i<b.length;i++){{e+=b[i]/{0};}}return b;}}" * 3),
+        ("_rc.py", "W = np.array([\n" + "    [0.123, -1.5, {0}],\n" * 30 + "])\n"), ("-lock.json", '{{\n' + '"a{0}": "1.2.3",\n' * 9 + '"b": 1}}'),
+        ("_pb2.py", "def build(i):\n" + "".join(f"    t{k + 1} = op(t{k}, n={k})\n" for k in range(20)) + "# {0}\n"),
+    ]
+    rows, made = [], set()
+    for k in range(60):
+        end, code = makers[k % 5]
+        name = f"m{k}{end}" if k % 3 == 0 else f"m{k}{end[-3:] if end[-3] == '.' else '.json'}"
+        rows.append((k, f"repo{k % 7}", f"r/src/{name}", code.format(k)))
+        made.add(k)
+    rows += [(100 + k, f"repo{k % 7}", f"r/src/h{k}.py", plain.format(k)) for k in range(120)]
+    rows += [
+        (300, "z", "r/a.py", '"""Writes a header that says: made by the tree compiler."""\nimport os\n\ndef f():\n    return 1\n'), (301, "z", "r/e.json", '{"a": [1, 2, 3]}'), (302, "z", "r/h.ipynb", "{}"), (303, "z", "r/__init__.py", "# package\n"),
+        (304, "z", "r/f.py", "MEAN = [" + "0.25, " * 60 + "]\n\ndef f(x):\n    y = x + 1\n    for i in y:\n        print(i)\n    return y\n" * 3), (305, "z", "r/g.py", "# line of a licence\n" * 30 + "# Made by the tree compiler, changes will be lost\nx = 1\n"),
+        (306, "z", "r/k.py", "# line of a licence\n" * 30 + "x = 1\n# Made by the tree compiler\n"), (307, "z", "r/big-lock.json", "{}"), (308, "z", "r/late.json", '{"a": "' + "x" * 5000 + '",\n' + '"b": "1.2.3",\n' * 40 + '"c": 1}'),
+    ]
+    return rows, made | {305, 307, 308}
+
+
+def test_patterns_are_mined_from_declared_files(spark):
+    rows, made = tool_corpus()
+    df = spark.createDataFrame(rows, "file_id long, stored_dir_name string, code_path string, code string")
+    assert {r.file_id for r in handwritten.found(df).collect()} == made
+    # nothing declared, nothing mined
+    bare = df.filter("file_id >= 300 and file_id not in (307)")
+    assert handwritten.found(bare).count() == 0
+
+
+def test_declared_files_of_repositories_are_mined(spark):
+    rows, _ = tool_corpus()
+    # no telling path at all: one repository declares its files by an attribute file
+    rows = [(k, f"repo{k % 7}", f"r/src/m{k}.{p.rsplit('.', 1)[-1]}", c) if k < 60 else (k, d, p, c) for k, d, p, c in rows if k < 300]
+    rows = [(k, d, p.replace("r/src", "r/out") if k < 60 and k % 7 in (2, 3) else p, c) for k, d, p, c in rows]
+    rows += [(400 + k, f"repo{k}", "r/.gitattributes", "out/* linguist-generated\n") for k in (2, 3)]
+    df = spark.createDataFrame(rows, "file_id long, stored_dir_name string, code_path string, code string")
+    assert {r.file_id for r in handwritten.found(df).collect()} == set(range(60))
 
 
 def test_attribute_globs():
     import re
 
     hit = lambda g, p: re.match(handwritten.glob_regex(g), p) is not None
-    assert hit("*.js", "a/b/c.js") and hit("/a/*.js", "a/c.js") and not hit("/a/*.js", "a/b/c.js") and hit("gen/**", "x/gen/y/z.py") and hit("a/**/b", "a/b") and not hit("*.js", "a.jsx")
-    assert handwritten.parse_attributes("# c\n*.py linguist-generated -linguist-vendored\nx linguist-generated=false\n")[1][1:] == ("vendored", False)
+    assert hit("*.js", "a/b/c.js") and hit("/a/*.js", "a/c.js") and not hit("/a/*.js", "a/b/c.js") and hit("gen/**", "gen/y/z.py") and not hit("gen/**", "x/gen/y/z.py") and hit("**/gen/**", "x/gen/y/z.py") and hit("a/**/b", "a/b") and not hit("*.js", "a.jsx")
+    rules = handwritten.parse_attributes('# c\n*.py linguist-generated -linguist-vendored\nx linguist-generated=false\ny !linguist-generated\n"a b.py" linguist-vendored\n')
+    assert [r[1:] for r in rules] == [("generated", True), ("vendored", False), ("generated", False), ("generated", None), ("vendored", True)]
+    assert re.match(rules[4][0], "x/a b.py")
+    files = (("", "*.py generated\ndocs/* vendored\n"), ("sub/", "*.py !generated\nk.py -generated\n"))
+    kinds = {p: handwritten.declared_kind(p, files) for p in ("a.py", "docs/b.py", "sub/c.py", "sub/k.py", "sub/docs/d.js", "e.js")}
+    assert kinds == {"a.py": "generated", "docs/b.py": "vendored", "sub/c.py": None, "sub/k.py": "by hand", "sub/docs/d.js": None, "e.js": None}
 
 
 def test_files_table(spark):
@@ -249,15 +283,6 @@ def test_leaks_of_a_repeated_passage(spark):
     assert leakage.found(docs, items).count() == 1
 
 
-def test_notices_below_a_licence_header():
-    head = "".join(f"# line {k} of a licence\n" for k in range(20))
-    assert handwritten.own_evidence("a.py", head + "# DO NOT EDIT\nx = 1\n") == "generator notice"
-    assert handwritten.own_evidence("a.py", head + "x = 1\n# DO NOT EDIT\n") is None
-    assert handwritten.own_evidence("a.xml", "<?xml version='1.0'?>\n<!--\n" + "some words\n" * 20 + "DO NOT EDIT\n-->\n<a/>\n") == "generator notice"
-    lock = '{"a": "' + "x" * 3000 + '", "lockfileVersion": 3}'
-    assert handwritten.own_evidence("b.json", lock) == "lock file"
-
-
 def test_paragraphs_of_cut_and_glued_titles(spark):
     long = "a deep network for the robust segmentation of medical images with very few labelled examples in practice"
     cut = "a deep netwrok for the robust segmentation of medical images with very few labelled..."
