@@ -7,7 +7,8 @@ their occurrences are located by walking to the next sampled suffix. Words that
 run of them is one separator; separators and document ends are symbols of their own, which also keeps suffix sorting
 short on repeated texts. Occurrences that gather near one diagonal of a (document, item) pair are then checked
 exactly: maximal common runs of three words or more are chained, gaps costing score, and the item words inside the
-best chain are counted. Overlapping spans of a document are merged for removal.
+best chain are counted. Hits are listed for whole documents at a time within ``BLOCK``, and not at all for items that are
+too long for the hits of a document, so a stock sentence of all items needs time but no more memory. Overlapping spans of a document are merged for removal.
 
 The items are a fixed table; their number and size are checked before they are sent to the executors. Documents are
 read once and need no shuffle; only found pairs leave a task. Documents are indexed whole, whatever their length.
@@ -25,6 +26,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +36,8 @@ PHRASE, SHARD_WORDS, SAMPLE = 6, 1_000_000, 8
 SHARE = 1 / 3
 #: Share of an item's words that whole phrases must cover near one diagonal before the exact check.
 SEEDED = 0.12
+#: Hits (occurrences times items of the phrase) that are held in memory at once.
+BLOCK = 4_000_000
 #: Bounds of the item table.
 MOST_ITEMS, MOST_ITEM_CHARS = 100_000, 64_000_000
 #: Words that may lie between two runs of one passage, in the document and in the item.
@@ -75,18 +79,26 @@ class Items:
             for j in range(len(w) - n + 1):
                 at.setdefault(tuple(w[j : j + n]), []).append((k, j))
         phrases = sorted(at, key=lambda p: (len(p), p))
-        self.groups = []  # phrases of one length: matrix, and per phrase the slice of places
+        self.sizes = np.array([len(w) for w in self.text], np.int64)
+        self.grams = [grams_of(w) for w in self.text]
+        # phrases of one length as a matrix each; of every phrase the places where it stands, short items first
+        self.groups = []
         for n in sorted({len(p) for p in phrases}):
             own = [p for p in phrases if len(p) == n]
-            places = [at[p] for p in own]
-            start = np.cumsum([0, *map(len, places)])
-            self.groups.append((np.array(own, np.int32), start, np.array([x for p in places for x in p], np.int32)))
-        self.sizes = np.array([len(w) for w in self.text], np.int64)
-        self.grams = [{} for _ in self.text]
-        for k, w in enumerate(self.text):
-            n = min(3, len(w))
-            for j in range(len(w) - n + 1):
-                self.grams[k].setdefault(tuple(w[j : j + n]), []).append(j)
+            self.groups.append(np.array(own, np.int32))
+        places = [sorted(at[p], key=lambda x: (len(self.text[x[0]]), x)) for p in phrases]
+        self.start = np.cumsum([0, *map(len, places)])
+        self.places = np.array([x for p in places for x in p], np.int32).reshape(-1, 2)
+        self.order = np.repeat(np.arange(len(phrases)), np.diff(self.start)) * (1 << 32) + self.sizes[self.places[:, 0]] if len(phrases) else np.zeros(0, np.int64)
+
+
+def grams_of(item: list[int]) -> dict[tuple[int, ...], list[int]]:
+    """Places of every three words (or all, if fewer) of an item."""
+    out: dict[tuple[int, ...], list[int]] = {}
+    n = min(3, len(item))
+    for j in range(len(item) - n + 1):
+        out.setdefault(tuple(item[j : j + n]), []).append(j)
+    return out
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
@@ -180,10 +192,10 @@ class FMIndex:
         return out
 
 
-def passage(item: list[int], grams: dict, doc: list[int], base: int = 0) -> tuple[int, int, int]:
-    """(item words inside the best chain of common runs, its first and last word in ``doc``)."""
+def common_runs(item: list[int], grams: dict, doc: list[int]) -> list[list[int]]:
+    """Maximal common runs of three words or more as (start in the item, start in the document, length), by their start in the document."""
     n = min(3, len(item))
-    runs: list[list[int]] = []  # item start, document start, length
+    runs: list[list[int]] = []
     open_runs: dict[int, list[int]] = {}
     for j in range(len(doc) - n + 1):
         now: dict[int, list[int]] = {}
@@ -196,33 +208,65 @@ def passage(item: list[int], grams: dict, doc: list[int], base: int = 0) -> tupl
                 run[2] += 1
             now[i] = run
         open_runs = now
-    best_score, best_k = 0.0, -1
-    state: list[tuple[float, int, int, int]] = []  # score, words, first word in document and item
+    return runs
+
+
+def _link(earlier: list[int], i: int, j: int, size: int) -> tuple[float, int] | None:
+    """What a run adds to a chain that ends in an earlier run: (score, words), or None if it can't follow it."""
+    a, b, w = earlier
+    di, dj = i - (a + w), j - (b + w)
+    over = max(0, -di, -dj)
+    if di > GAP or dj > GAP or i <= a or j <= b or over >= size:
+        return None
+    gi, gj = max(0, di), max(0, dj)
+    return size - over - 0.6 * gi - 0.15 * gj, size - over + (gi if gi <= 4 and gj <= 8 else 0)
+
+
+def best_chain(runs: list[list[int]]) -> tuple[float, int, int, int, int]:
+    """(score, words, first word in document and in item, number of the last run) of the best chain of runs.
+
+    A run can only follow one that ends at most ``GAP`` words before it. Runs stay in reach of later ones until their
+    end is further back than that, whatever begins between.
+    """
+    state: list[tuple[float, int, int, int]] = []
+    best = (0.0, 0, 0, 0, -1)
+    reach: list[int] = []
     for k, (i, j, size) in enumerate(runs):
+        reach = [m for m in reach if j - (runs[m][1] + runs[m][2]) <= GAP]
         score, held, first, begin = float(size), size, j, i
-        for m in range(k - 1, -1, -1):
-            a, b, w = runs[m]
-            di, dj = i - (a + w), j - (b + w)
-            if dj > GAP:
-                if j - b > GAP + 400:
-                    break
-                continue
-            if di > GAP or i <= a or j <= b:
-                continue
-            over = max(0, -di, -dj)
-            if over >= size:
+        for m in reversed(reach):
+            if state[m][0] + size <= score:
                 continue
-            gi, gj = max(0, di), max(0, dj)
-            s = state[m][0] + size - over - 0.6 * gi - 0.15 * gj
-            if s > score:
-                score, held, first, begin = s, state[m][1] + size - over + (gi if gi <= 4 and gj <= 8 else 0), state[m][2], state[m][3]
+            more = _link(runs[m], i, j, size)
+            if more and state[m][0] + more[0] > score:
+                score, held, first, begin = state[m][0] + more[0], state[m][1] + more[1], state[m][2], state[m][3]
         state.append((score, held, first, begin))
-        if score > best_score:
-            best_score, best_k = score, k
-    if best_k < 0:
+        reach.append(k)
+        if score > best[0]:
+            best = (score, held, first, begin, k)
+    return best
+
+
+def chains_one_by_one(runs: list[list[int]]) -> Iterator[tuple[float, int]]:
+    """Score and words of the best chain that ends in each run, looked up in all runs before it; the measure for tests."""
+    state: list[tuple[float, int]] = []
+    for k, (i, j, size) in enumerate(runs):
+        best = (float(size), size)
+        for m in range(k):
+            more = _link(runs[m], i, j, size)
+            if more and state[m][0] + more[0] > best[0]:
+                best = (state[m][0] + more[0], state[m][1] + more[1])
+        state.append(best)
+        yield best
+
+
+def passage(item: list[int], grams: dict, doc: list[int], base: int = 0) -> tuple[int, int, int]:
+    """(item words inside the best chain of common runs, its first and last word in ``doc``)."""
+    runs = common_runs(item, grams, doc)
+    _, held, first, begin, k = best_chain(runs)
+    if k < 0:
         return 0, base, base
-    i, j, size = runs[best_k]
-    _, held, first, begin = state[best_k]
+    i, j, size = runs[k]
     # a copied passage is dense in the item; words met by chance are strewn over it
     if held < DENSE * (i + size - begin) or held < DENSE_IN_TEXT * (j + size - first):
         return 0, base, base
@@ -240,27 +284,46 @@ def _shard(items: Items, docs: list[np.ndarray]) -> Iterator[tuple[int, int, flo
     if not text.any():
         return
     index = FMIndex(text, len(items.number))
-    found = []
-    for phrases, start, places in items.groups:
+    where, phrase, before = [], [], 0
+    for phrases in items.groups:
         row, lo, hi = index.search(phrases)
-        if not len(row):
-            continue
         count = hi - lo
-        at = np.repeat(lo - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum())
-        position = kept[index.locate(at)]
-        row = np.repeat(row, count)
-        many = start[row + 1] - start[row]
-        which = np.repeat(start[row] - np.r_[0, np.cumsum(many)[:-1]], many) + np.arange(many.sum())
-        position = np.repeat(position, many)
-        found.append((owner[position], places[which, 0].astype(np.int64), position, places[which, 1].astype(np.int64)))
-    if not found:
-        return
-    doc, item, position, place = (np.concatenate([f[k] for f in found]) for k in range(4))
+        at = np.repeat(lo - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum()) if len(row) else np.zeros(0, np.int64)
+        where.append(kept[index.locate(at)])
+        phrase.append(np.repeat(row, count) + before)
+        before += len(phrases)
     del index
+    position, phrase = np.concatenate(where), np.concatenate(phrase)
+    turn = np.argsort(position, kind="stable")
+    position, phrase = position[turn], phrase[turn]
+    doc = owner[position]
+    # a document can only hold items that its hits together could cover: longer items are not even listed
+    covers = np.bincount(doc, minlength=len(docs)) + PHRASE
+    longest = np.floor(covers[doc] / SEEDED).astype(np.int64)
+    many = np.searchsorted(items.order, phrase * (1 << 32) + longest, side="right") - items.start[phrase]
+    # whole documents at a time, so that what is listed stays in bounds; a phrase that all items have makes more blocks
+    total = np.cumsum(many)
+    first = 0
+    while first < len(doc):
+        limit = (total[first - 1] if first else 0) + BLOCK
+        last = int(np.searchsorted(total, limit, side="right"))
+        last = int(np.searchsorted(doc, doc[max(last - 1, first)], side="right")) if last < len(doc) else len(doc)
+        part = slice(first, last)
+        yield from _block(items, docs, starts, len(flat), doc[part], position[part], phrase[part], many[part])
+        first = last
+
+
+def _block(items: Items, docs: list[np.ndarray], starts: np.ndarray, size: int, doc: np.ndarray, position: np.ndarray, phrase: np.ndarray, many: np.ndarray) -> Iterator[tuple[int, int, float, int, int]]:
+    """The pairs of the documents of a block, from the places of their phrases."""
+    which = np.repeat(items.start[phrase] - np.r_[0, np.cumsum(many)[:-1]], many) + np.arange(many.sum())
+    doc, position = np.repeat(doc, many), np.repeat(position, many)
+    item, place = items.places[which, 0].astype(np.int64), items.places[which, 1].astype(np.int64)
+    if not len(item):
+        return
     # hits near one diagonal: blocks of 64 diagonals, each hit in two overlapping ones
     pair = doc * len(items.ids) + item
     block = (position - place) // 32
-    width = len(flat) // 32 + 64
+    width = size // 32 + 64
     span = np.minimum(PHRASE, items.sizes)[item]
     candidates = []
     for shift in (0, 1):
@@ -280,14 +343,14 @@ def _shard(items: Items, docs: list[np.ndarray]) -> Iterator[tuple[int, int, flo
     for a, b in zip(bounds[:-1], bounds[1:], strict=True):
         d, i = int(doc[order[a]]), int(item[order[a]])
         own = position[order[a:b]] - starts[d]
-        size = len(items.text[i])
+        length = len(items.text[i])
         spans = []
         # hits further apart than a passage can reach are looked at one by one
-        for part in np.split(own, np.flatnonzero(np.diff(own) > size + 4 * GAP) + 1):
-            begin = max(0, int(part[0]) - size - GAP)
-            spans += _passages(items.text[i], items.grams[i], docs[d][begin : int(part[-1]) + size + GAP].tolist(), begin)
+        for part in np.split(own, np.flatnonzero(np.diff(own) > length + 4 * GAP) + 1):
+            begin = max(0, int(part[0]) - length - GAP)
+            spans += _passages(items.text[i], items.grams[i], docs[d][begin : int(part[-1]) + length + GAP].tolist(), begin)
         for held, first, last in sorted(set(spans), key=lambda x: x[1:]):
-            yield d, items.ids[i], held / size, first, last
+            yield d, items.ids[i], held / length, first, last
 
 
 def _passages(item: list[int], grams: dict, doc: list[int], base: int) -> Iterator[tuple[int, int, int]]:
@@ -301,9 +364,9 @@ def _passages(item: list[int], grams: dict, doc: list[int], base: int) -> Iterat
             todo += [(a, first - base), (last + 1 - base, b)]
 
 
-def _task(rows: list[tuple[int, str]]):
+def _task(rows: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = Items(rows)
+        items = Items(rows.value)
         ids: list[int] = []
         docs: list[np.ndarray] = []
         held = 0
@@ -341,7 +404,7 @@ def pairs(documents: DataFrame, eval_item: DataFrame) -> DataFrame:
         raise ValueError(f"{count} items of {size} characters are more than is sent to each executor")
     rows = sorted((int(i), t) for i, t in items.collect())
     docs = documents.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text")
-    return docs.mapInArrow(_task(rows), PAIRS)
+    return docs.mapInArrow(_task(documents.sparkSession.sparkContext.broadcast(rows)), PAIRS)
 
 
 def found(documents: DataFrame, eval_item: DataFrame) -> DataFrame:

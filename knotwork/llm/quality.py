@@ -127,7 +127,7 @@ def _word(r: random.Random) -> str:
 
 def _sentence(r: random.Random, small: list[str], stock: list[str]) -> str:
     share = r.uniform(0.36, 0.55)
-    words = [r.choice(small) if r.random() < share else r.choice(stock) if r.random() < 0.9 else r.choice(stock).capitalize() + r.choice(("", "-9k", "-V2", "Net")) for _ in range(r.randint(7, 26))]
+    words = [r.choice(small) if r.random() < share else r.choice(stock) if r.random() < 0.9 else r.choice(stock).capitalize() + r.choice(("", f"-{r.randint(2, 99)}", "-" + r.choice("ABX"))) for _ in range(r.randint(7, 26))]
     for k in range(3, len(words) - 2, 6):
         if r.random() < 0.3:
             words[k] += r.choice((",", ",", ";"))
@@ -211,7 +211,7 @@ def _not_prose(r: random.Random, languages: dict[str, list[str]], size: int) ->
         elif kind == 10:
             out.append(lead + r.choice(stock) + r.choice(("==", ">=", ": ", " = ")) + f"{r.randint(0, 9)}.{r.randint(0, 30)}" + end)
         elif kind == 11:
-            out.append(lead + r.choice(stock).capitalize() + r.choice(("-9k", "-V2", "Set", " Logs", "Docs")) + f", {r.randint(1990, 2024)}" + end)
+            out.append(lead + r.choice(stock).capitalize() + r.choice(("", f"-{r.randint(2, 99)}", " " + r.choice(stock).capitalize())) + f", {r.randint(1990, 2024)}" + end)
         else:
             out.append(r.choice((f'{{"{r.choice(stock)}": {r.randint(1, 99)}, "{r.choice(stock)}": "{r.choice(stock)}"}},', f"<tr><td>{r.choice(stock)}</td><td>{r.randint(1, 99)}</td></tr>", f"https://{r.choice(stock)}.example/{r.choice(stock)}/{r.randint(1, 999)}")))
     if kind == 9:
@@ -324,11 +324,14 @@ _learned: dict[tuple, str] = {}
 def learned_sql(common_word: DataFrame, count: int = EXAMPLES, seed: int = SEED) -> tuple[tuple[str, ...], str]:
     """(common words, CASE expression learned with it); kept for the process."""
     common = common_words(common_word)
-    key = (common, count, seed)
+    listed = common_word.select("lang", "word").filter("word is not null").distinct().limit(2 * MOST_WORDS + 1).collect()
+    if len(listed) > 2 * MOST_WORDS:
+        raise ValueError(f"more than {2 * MOST_WORDS} common words of languages")
+    languages: dict[str, list[str]] = {}
+    for lang, word in sorted(map(tuple, listed), key=str):
+        languages.setdefault(lang, []).append(word)
+    key = (common, tuple((k, tuple(v)) for k, v in languages.items()), count, seed)
     if key not in _learned:
-        languages: dict[str, list[str]] = {}
-        for lang, word in sorted(map(tuple, common_word.select("lang", "word").filter("word is not null").distinct().limit(MOST_WORDS).collect()), key=str):
-            languages.setdefault(lang, []).append(word)
         labelled = examples(languages or {"en": ["the", "of", "and", "to", "in"]}, count, seed)
         spark = common_word.sparkSession
         rows = statistics(spark.createDataFrame(labelled, "text string, bad boolean"), common).select("bad", *FEATURES).toPandas()

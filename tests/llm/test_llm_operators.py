@@ -32,12 +32,31 @@ def test_prefix_filter_against_all_pairs():
             text = text[:k] + r.choice("abel ") + text[k + r.randint(0, 1) :]
         words = [canonical.fold(w) for w in canonical.tokens(text)]
         own = canonical.pairs(words)
-        met = {k for at, p in enumerate(index.ordered(own)[: index.prefix(len(own))]) for k, _ in index.under.get(p, ())}
+        met = {k for p in canonical.ordered(own, index.rarity)[: canonical.prefix(len(own))] for k, _ in index.under.get(p, ())}
         for k, s in enumerate(index.sets):
             if own and len(own & s) / len(own | s) >= canonical.SIMILAR:
                 assert k in met
 
 
+def test_entries_of_one_word():
+    index = canonical.Index([("Dropout", "Dropout"), ("Softmax", "Softmax"), ("soft max", "Softmax"), ("max pooling", "max pooling")])
+    assert [index.entry(x) for x in ("Dropout", "dropuot layer", "softmx", "Soft-Max", "pooling", "our dropout of doom")] == ["Dropout", "Dropout", "Softmax", "Softmax", "unmatched", "unmatched"]
+
+
+def test_long_lists_are_joined(spark):
+    r = random.Random(9)
+    texts = [None, " ", "3x3", "x" * 3000]
+    for variant, _ in LISTED * 12:
+        t = variant
+        for _ in range(r.randint(0, 2)):
+            k = r.randrange(len(t))
+            t = t[:k] + r.choice("aeblr ") + t[k + r.randint(0, 1) :]
+        texts.append(t)
+    ent = spark.createDataFrame(list(enumerate(texts)), "entity_id long, entitytext string")
+    std = spark.createDataFrame(LISTED, "variant string, layer_type string")
+    assert set(map(tuple, canonical.found(ent, std, 2).collect())) == set(map(tuple, canonical.found(ent, std).collect()))
+
+
 def test_mentions_table(spark):
     std = spark.createDataFrame(LISTED + [(None, "x"), LISTED[0]], "variant string, layer_type string")
     ent = spark.createDataFrame([(1, "masked embed", "a"), (1, "masked embed", "a"), (2, None, "b"), (3, "  ", "c"), (4, "nothing", None), (None, "gated act fn", None)], "entity_id long, entitytext string, layer_type string")
@@ -272,6 +291,41 @@ def test_rules_on_held_out_examples(spark):
     assert quality.case_sql([]) == "0" and quality.case_sql(rules).startswith("CASE WHEN ")
 
 
+def test_chance_run_inside_a_long_copy():
+    # two long halves of an item around an edit, and a run of three chance words far before the end of the first half
+    item = list(range(1, 1501))
+    grams = leakage.grams_of(item)
+    doc = item[100:485] + [9001, 9002, 9003, 9004, 9005] + item[490:870]
+    assert leakage.passage(item, grams, doc)[0] >= 765
+    with_chance = doc[:200] + doc[200:388] + doc[388:]
+    held = []
+    for at in (120, 385, 389, 600):
+        doc2 = with_chance[:at] + item[1200:1203] + with_chance[at:]
+        held.append(leakage.passage(item, grams, doc2)[0])
+    assert min(held) >= 755
+
+
+def test_passage_against_all_chains():
+    r = random.Random(12)
+    for _ in range(60):
+        item = [r.randint(1, 12) for _ in range(r.randint(3, 60))]
+        doc = [r.randint(1, 12) for _ in range(20)] + [x for x in item if r.random() > 0.15] + [r.randint(1, 12) for _ in range(20)]
+        grams = leakage.grams_of(item)
+        runs = leakage.common_runs(item, grams, doc)
+        best = leakage.best_chain(runs)
+        assert best[0] == pytest.approx(max((x[0] for x in leakage.chains_one_by_one(runs)), default=0.0))
+
+
+def test_hot_phrase_of_all_items(spark):
+    stock = "it is not allowed to give any answer before all of the question has been read"
+    r = random.Random(2)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    items = [(k, stock + " " + " ".join(word() for _ in range(60))) for k in range(150)]
+    docs = [(k, " ".join([*(word() for _ in range(30)), stock, *(word() for _ in range(30))])) for k in range(300)] + [(1000 + k, "x " + items[k][1]) for k in range(20)]
+    got = leakage.found(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {tuple(x) for x in got} == {(1000 + k, k) for k in range(20)}
+
+
 def test_leaks_of_a_repeated_passage(spark):
     item = "the seven grey herons of the lower marsh were counted again by two wardens who had never agreed on any number before"
     rest = " ".join(f"word{k}" for k in range(600))
