@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 #: Tokens of a shard, about.
 SHARD_TOKENS = 16_000_000
-#: Most capacities.
-MOST_SPECS = 1000
+#: Most capacities, and most partitions of the packing step.
+MOST_SPECS, MOST_PARTITIONS = 1000, 20_000
 
 PLACED = "spec_id int, capacity_tokens int, container_id long, part_no int, doc_id long, start_token int, doc_start long, n_tokens int"
 
@@ -83,12 +83,15 @@ def pack(docs: np.ndarray, sizes: np.ndarray, capacity: int) -> pd.DataFrame:
     return frame
 
 
-def placements(documents: DataFrame, container_spec: DataFrame) -> DataFrame:
-    """One row per part of a document and capacity: its container, and where it begins there and in the document."""
+def placements(documents: DataFrame, container_spec: DataFrame, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
+    """One row per part of a document and capacity: its container, and where it begins there and in the document.
+
+    The groups get partitions of their own (a set number, which adaptive execution does not merge into few tasks).
+    """
     size = F.greatest(F.coalesce("n_tokens", F.lit(0)), F.lit(0)).cast("long")
     docs = documents.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(size).alias("size"))
     total = documents.agg(F.coalesce(F.sum(size), F.lit(0)).alias("t")).first()["t"]
-    shards = max(1, round(total / SHARD_TOKENS))
+    shards = max(1, round(total / shard_tokens))
     docs = docs.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int"))
     specs = sorted(map(tuple, container_spec.filter("spec_id is not null and capacity_tokens > 0").select("spec_id", "capacity_tokens").distinct().limit(MOST_SPECS + 1).collect()))
     if len(specs) > MOST_SPECS:
@@ -105,10 +108,11 @@ def placements(documents: DataFrame, container_spec: DataFrame) -> DataFrame:
         return out
 
     each = docs.select("doc_id", "size", "shard", F.explode(wanted).alias("c")).select("doc_id", "size", "shard", "c.spec_id", "c.capacity_tokens")
-    return each.groupBy("spec_id", "capacity_tokens", "shard").applyInPandas(one, PLACED)
+    keys = ("spec_id", "capacity_tokens", "shard")
+    return each.repartition(min(MOST_PARTITIONS, 4 * max(1, len(specs)) * shards), *keys).groupBy(*keys).applyInPandas(one, PLACED)
 
 
-def fill(documents: DataFrame, container_spec: DataFrame) -> DataFrame:
+def fill(documents: DataFrame, container_spec: DataFrame, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """Containers, tokens and share of room used per capacity, with the least possible number of containers."""
-    p = placements(documents, container_spec).groupBy("spec_id", "capacity_tokens").agg(F.count_distinct("container_id").alias("containers"), F.sum("n_tokens").alias("tokens"))
+    p = placements(documents, container_spec, shard_tokens).groupBy("spec_id", "capacity_tokens").agg(F.count_distinct("container_id").alias("containers"), F.sum("n_tokens").alias("tokens"))
     return p.withColumn("least_containers", F.ceil(F.col("tokens") / F.col("capacity_tokens"))).withColumn("filled", F.round(F.col("tokens") / (F.col("containers") * F.col("capacity_tokens")), 6))
