@@ -59,7 +59,7 @@ def components(edges: DataFrame) -> DataFrame:
         near = both.join(label.select(F.col("node").alias("src"), "component"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("component").alias("near"))
         step = label.join(near, "node").select("node", F.least("component", "near").alias("best"), F.col("component").alias("before"))
         up = label.select(F.col("node").alias("best"), F.col("component").alias("up"))
-        step = stage_table(step.join(up, "best", "left").select("node", F.least("best", F.coalesce("up", "best")).alias("component"), "before"), "labels")
-        label = step.select("node", "component")
+        step = stage_table(step.join(up, "best", "left").select("node", F.least("best", F.coalesce("up", "best")).alias("component"), "before"), "labels", instead_of=label)
         if step.filter("component <> before").isEmpty():
-            return label
+            return step.select("node", "component")
+        label = step

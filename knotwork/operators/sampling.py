@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,10 +28,42 @@ def ranked_counts(df: DataFrame, column: str, buckets: int = 64) -> DataFrame:
     return counts.withColumn("_p", place).join(before, "n").select("value", "n", (F.col("before") + F.col("_p")).alias("idx"))
 
 
-def train_only_split(triples: DataFrame, key: str, p: str, fixed: tuple[str, ...] = ("type", "label"), test: int = 20, valid: int = 20) -> DataFrame:
-    """Triples with a part: those of fixed predicates are for training only, others by arithmetic on the key."""
-    t = F.pmod(turn(F.col(key)), F.lit(100))
-    return triples.withColumn("part", F.when(F.col(p).isin(*fixed), "train").when(t < test, "test").when(t < test + valid, "valid").otherwise("train"))
+def nth_smallest(df: DataFrame, value: Column, places: list[int], width: int = 1 << 16) -> list[int | None]:
+    """The values at some places (from 1) in the order of a whole-numbered column; None beyond the last row.
+
+    Rows are counted per range of values, and the range that holds the place is cut again until it is a single value, so
+    each pass is a small aggregation and no task orders all rows. At most ``width`` counts of a place come to the driver.
+    """
+    rows = df.select(value.cast("long").alias("v")).filter("v is not null")
+    low, high, n = rows.agg(F.min("v"), F.max("v"), F.count(F.lit(1))).first()
+    out: list[int | None] = []
+    for place in places:
+        if not 1 <= place <= n:
+            out.append(None)
+            continue
+        lo, hi, left = low, high, place
+        while lo < hi:
+            step = -(-(hi - lo + 1) // width)
+            counts = rows.filter(F.col("v").between(lo, hi)).groupBy(F.floor((F.col("v") - lo) / step).cast("long").alias("k")).agg(F.count(F.lit(1)).alias("n")).orderBy("k").collect()
+            for k, m in counts:
+                if left <= m:
+                    lo, hi = lo + k * step, min(hi, lo + (k + 1) * step - 1)
+                    break
+                left -= m
+        out.append(lo)
+    return out
+
+
+def train_only_split(triples: DataFrame, key: str, p: str, fixed: tuple[str, ...] = ("type", "label"), test: float = 0.2, valid: float = 0.2) -> DataFrame:
+    """Triples with a part: those of fixed predicates are for training only; of the others, in an order that scatters keys,
+    as many as ``test`` of *all* triples are tested, then ``valid`` of all are for validation, and the rest is for training."""
+    free = triples.filter(~F.col(p).isin(*fixed))
+    n = triples.count()
+    t, v = nth_smallest(free, turn(F.col(key)), [int(n * test), int(n * test) + int(n * valid)])
+    at = turn(F.col(key))
+    last = lambda x: F.lit(-1 if n == 0 or x == 0 else x if x is not None else 1 << 31)
+    part = F.when(F.col(p).isin(*fixed), "train").when(at <= last(t if int(n * test) else 0), "test").when(at <= last(v if int(n * valid) + int(n * test) else 0), "valid").otherwise("train")
+    return triples.withColumn("part", part)
 
 
 def capped_samples(df: DataFrame, group: str, key: str, size: int, most: int) -> DataFrame:
@@ -57,17 +91,36 @@ def class_partners(df: DataFrame, key: str, label: str, classes: int) -> DataFra
 
 
 def smooth_peaks(df: DataFrame, group: str, order: str, value: str, half: int = 7) -> DataFrame:
-    """(group, peaks): local maxima of a series after smoothing with a raised cosine over 2 x half + 1 places."""
+    """(group, peaks): local maxima of a series after smoothing with a Hanning window over 2 x half + 1 places.
+
+    The weights are 0.5 - 0.5 cos(pi k / half), over their sum; places beyond the ends of the series count as 0.
+    """
     w = Window.partitionBy(group).orderBy(order)
-    terms = [(F.coalesce(F.lag(value, k).over(w) if k > 0 else F.lead(value, -k).over(w) if k < 0 else F.col(value), F.lit(0.0)) * (half - abs(k) + 1)) for k in range(-half, half + 1)]
+    near = lambda k: F.coalesce(F.lag(value, k).over(w) if k > 0 else F.lead(value, -k).over(w) if k < 0 else F.col(value), F.lit(0.0))
+    terms = [near(k) * F.lit(round((0.5 + 0.5 * math.cos(math.pi * k / half)) / half, 12)) for k in range(1 - half, half)]
     total = terms[0]
     for t in terms[1:]:
         total = total + t
-    s = df.select(group, order, F.round(total, 4).alias("s"))
+    s = df.select(group, order, F.round(total, 6).alias("s"))
     peak = (F.col("s") > F.lag("s").over(w)) & (F.col("s") > F.lead("s").over(w))
     return s.withColumn("p", F.coalesce(peak, F.lit(False)).cast("long")).groupBy(group).agg(F.sum("p").alias("peaks"))
 
 
+def in_degrees(edges: DataFrame) -> DataFrame:
+    """(node, degree): how many distinct edges enter each node, 0 for roots."""
+    e = edges.select("src", "dst").distinct()
+    counts = e.groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("degree"))
+    nodes = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct()
+    return nodes.join(counts, "node", "left").select("node", F.coalesce("degree", F.lit(0)).alias("degree"))
+
+
+def hash_order_split(df: DataFrame, key: str, share: float) -> DataFrame:
+    """Rows with ``held_out``: the share of rows that comes first in an order that scatters keys, exactly."""
+    n = int(df.count() * share)
+    at = nth_smallest(df, turn(F.col(key)), [n])[0]
+    return df.withColumn("held_out", turn(F.col(key)) <= F.lit(at if n else -1))
+
+
 def shortest(df: DataFrame, group: str, value: str) -> DataFrame:
     """The shortest value of each group, ties by value."""
     return df.groupBy(group).agg(F.min_by(value, F.struct(F.length(value), value)).alias(value))
@@ -84,16 +137,19 @@ def queries() -> dict:
     return {
         "word_ranks": lambda s, d: ranked_counts(table(s, d, "part").select(F.explode(F.split("p_name", " ")).alias("w")), "w"),
         "enumerated_terms": lambda s, d: ranked_counts(table(s, d, "entity"), "ent_type").select("value", "idx"),
-        "kge_split": lambda s, d: train_only_split(orders(s, d).select(F.col("o_orderkey").alias("k"), F.when(F.col("o_orderstatus") == "F", "type").otherwise("calls").alias("p")), "k", "p").groupBy("p", "part").agg(F.count(F.lit(1)).alias("n")),
+        "kge_split": lambda s, d: train_only_split(orders(s, d).select(F.col("o_orderkey").alias("k"), F.when(F.col("o_orderstatus") == "F", "type").otherwise("calls").alias("p")), "k", "p"),
         "function_samples": lambda s, d: capped_samples(orders(s, d).select("o_custkey", "o_orderkey"), "o_custkey", "o_orderkey", 4, 3),
         "siamese_partners": lambda s, d: class_partners(table(s, d, "embeddings").select("vec_id", "label"), "vec_id", "label", 10),
         "smoothed_peaks": lambda s, d: smooth_peaks(table(s, d, "events").select("user_id", "event_id", "value"), "user_id", "event_id", "value"),
         "main_files": lambda s, d: shortest(table(s, d, "repo").filter("code_path is not null and stored_dir_name is not null").select("stored_dir_name", "code_path"), "stored_dir_name", "code_path"),
         "pdf_links": lambda s, d: table(s, d, "paper").filter("paper_link is not null").select("paper_id", pdf_link(F.col("paper_link")).alias("link")),
+        "bottom_functions": lambda s, d: lines(s, d).groupBy("l_partkey").agg(F.count(F.lit(1)).alias("n")).orderBy("n", F.desc("l_partkey")).limit(20),
+        "in_degrees": lambda s, d: in_degrees(table(s, d, "part").select(F.col("p_partkey").alias("src"), (F.pmod(F.col("p_partkey") * 31, F.lit(97)) + 1).alias("dst"))),
+        "doc_split": lambda s, d: hash_order_split(table(s, d, "documents").select("doc_id"), "doc_id", 0.1),
         "top_functions": lambda s, d: lines(s, d).groupBy("l_partkey").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "l_partkey").limit(20),
         "distinct_neighbours": lambda s, d: lines(s, d).select("l_orderkey", "l_partkey", F.lag("l_partkey").over(Window.partitionBy("l_orderkey").orderBy("l_partkey", "l_linenumber", "l_suppkey", "l_shipdate")).alias("p")).filter("p is null or p <> l_partkey").select("l_orderkey", "l_partkey"),
         "adjacency_totals": lambda s, d: lines(s, d).select("l_partkey", "l_suppkey").distinct().agg(F.count(F.lit(1)).alias("nnz"), F.count_distinct("l_partkey").alias("rows"), F.count_distinct("l_suppkey").alias("cols")),
-        "propagated_labels": lambda s, d: lines(s, d).select("l_orderkey", "l_linenumber", "l_partkey").distinct().join(orders(s, d).select(F.col("o_orderkey").alias("l_orderkey"), "o_orderpriority"), "l_orderkey").groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("nodes")),
+        "propagated_labels": lambda s, d: lines(s, d).select("l_orderkey", "l_linenumber", "l_partkey").distinct().join(orders(s, d).select(F.col("o_orderkey").alias("l_orderkey"), "o_orderpriority"), "l_orderkey"),
         "semi_joined_papers": lambda s, d: table(s, d, "paper").join(table(s, d, "repo").select("stored_dir_name"), "stored_dir_name", "left_semi").select("paper_id"),
         "node_labels": lambda s, d: table(s, d, "nation").join(table(s, d, "region").filter("r_regionkey < 3"), F.col("n_regionkey") == F.col("r_regionkey"), "left").select("n_name", F.coalesce("r_name", F.lit("N/A")).alias("label")),
     }
@@ -102,20 +158,24 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     t = lambda k: f"(({k} * 1103515245 + 12345) % 2147483648)"
     rank = "row_number() OVER (ORDER BY n DESC, value) - 1"
-    weights = " + ".join(f"coalesce({'lag' if k > 0 else 'lead'}(value, {abs(k)}) OVER w, 0.0) * {8 - abs(k)}" if k else "value * 8" for k in range(-7, 8))
+    hanning = [round((0.5 - 0.5 * math.cos(2 * math.pi * j / 14)) / 7, 12) for j in range(15)]
+    weights = " + ".join(f"coalesce({'lag' if k > 0 else 'lead'}(value, {abs(k)}) OVER w, 0.0) * CAST({hanning[k + 7]:.12f} AS DOUBLE)" if k else f"coalesce(value, 0.0) * CAST({hanning[7]:.12f} AS DOUBLE)" for k in range(-6, 7))
     return {
         "word_ranks": f"SELECT value, n, {rank} AS idx FROM (SELECT value, count(*) AS n FROM (SELECT unnest(string_split(p_name, ' ')) AS value FROM part) GROUP BY value)",
         "enumerated_terms": f"SELECT value, {rank} AS idx FROM (SELECT ent_type AS value, count(*) AS n FROM entity WHERE ent_type IS NOT NULL GROUP BY 1)",
-        "kge_split": f"SELECT p, part, count(*) AS n FROM (SELECT p, CASE WHEN p = 'type' THEN 'train' WHEN t < 20 THEN 'test' WHEN t < 40 THEN 'valid' ELSE 'train' END AS part FROM (SELECT CASE WHEN o_orderstatus = 'F' THEN 'type' ELSE 'calls' END AS p, {t('o_orderkey')} % 100 AS t FROM orders)) GROUP BY 1, 2",
+        "kge_split": f"WITH e AS (SELECT o_orderkey AS k, CASE WHEN o_orderstatus = 'F' THEN 'type' ELSE 'calls' END AS p FROM orders), r AS (SELECT k, row_number() OVER (ORDER BY {t('k')}) AS rn, (SELECT count(*) FROM e) AS n FROM e WHERE p <> 'type') SELECT e.k, e.p, CASE WHEN rn <= floor(n * 0.2) THEN 'test' WHEN rn <= 2 * floor(n * 0.2) THEN 'valid' ELSE 'train' END AS part FROM e LEFT JOIN r USING (k)",
         "function_samples": f"SELECT o_custkey, CAST(k // 4 AS INTEGER) AS sample_id, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY {t('o_orderkey')}, o_orderkey) - 1 AS k, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders) WHERE n > 4 AND k // 4 < least(n // 4, 3)",
         "siamese_partners": f"WITH r AS (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY {t('vec_id')}, vec_id) - 1 AS k, count(*) OVER (PARTITION BY label) AS n FROM embeddings) SELECT a.vec_id, b.vec_id AS same, c.vec_id AS other FROM r a JOIN r b ON a.label = b.label AND b.k = (a.k + 1) % a.n JOIN r c ON c.label = (a.label + 1) % 10 AND c.k = a.k % c.n",
-        "smoothed_peaks": f"WITH s AS (SELECT user_id, event_id, round({weights}, 4) AS s FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)), p AS (SELECT user_id, s > lag(s) OVER w AND s > lead(s) OVER w AS p FROM s WINDOW w AS (PARTITION BY user_id ORDER BY event_id)) SELECT user_id, count(*) FILTER (p) AS peaks FROM p GROUP BY 1",
+        "smoothed_peaks": f"WITH s AS (SELECT user_id, event_id, round({weights}, 6) AS s FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)), p AS (SELECT user_id, s > lag(s) OVER w AND s > lead(s) OVER w AS p FROM s WINDOW w AS (PARTITION BY user_id ORDER BY event_id)) SELECT user_id, count(*) FILTER (p) AS peaks FROM p GROUP BY 1",
         "main_files": "SELECT stored_dir_name, code_path FROM (SELECT *, row_number() OVER (PARTITION BY stored_dir_name ORDER BY length(code_path), code_path) AS rn FROM repo WHERE code_path IS NOT NULL AND stored_dir_name IS NOT NULL) WHERE rn = 1",
         "pdf_links": "SELECT paper_id, regexp_replace(regexp_replace(paper_link, '/abs/', '/pdf/', 'g'), '\\.pdf$', '') || '.pdf' AS link FROM paper WHERE paper_link IS NOT NULL",
+        "bottom_functions": "SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY 1 ORDER BY n, l_partkey DESC LIMIT 20",
+        "in_degrees": "WITH e AS (SELECT DISTINCT p_partkey AS src, (p_partkey * 31) % 97 + 1 AS dst FROM part), n AS (SELECT src AS node FROM e UNION SELECT dst FROM e) SELECT node, count(src) AS degree FROM n LEFT JOIN e ON node = dst GROUP BY node",
+        "doc_split": f"WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY {t('doc_id')}) AS rn, count(*) OVER () AS n FROM documents) SELECT doc_id, rn <= floor(n * 0.1) AS held_out FROM r",
         "top_functions": "SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY 1 ORDER BY n DESC, l_partkey LIMIT 20",
         "distinct_neighbours": "SELECT DISTINCT l_orderkey, l_partkey FROM lineitem",
         "adjacency_totals": "SELECT count(*) AS nnz, count(DISTINCT l_partkey) AS rows, count(DISTINCT l_suppkey) AS cols FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem)",
-        "propagated_labels": "SELECT o_orderpriority, count(*) AS nodes FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey FROM lineitem) JOIN orders ON l_orderkey = o_orderkey GROUP BY 1",
+        "propagated_labels": "SELECT l_orderkey, l_linenumber, l_partkey, o_orderpriority FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey FROM lineitem) JOIN orders ON l_orderkey = o_orderkey",
         "semi_joined_papers": "SELECT paper_id FROM paper WHERE stored_dir_name IN (SELECT stored_dir_name FROM repo)",
         "node_labels": "SELECT n_name, coalesce(r_name, 'N/A') AS label FROM nation LEFT JOIN region ON n_regionkey = r_regionkey AND r_regionkey < 3",
     }

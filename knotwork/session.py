@@ -25,24 +25,23 @@ def shared_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(there)
         return there
     if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="knotwork-"))
     return sc.getCheckpointDir()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: the rows are written to the shared folder and lineage ends there."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def stage_table(df: DataFrame, name: str, instead_of: DataFrame | None = None) -> DataFrame:
+    """Write ``df`` as a Parquet table in the shared folder and read it back (columnar, prunable).
 
-
-def stage_table(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it back (columnar, prunable)."""
+    ``instead_of`` is an earlier staged table that nobody reads any more once this one is written; its files are removed.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.parquet(path)
-
-
-def shuffle_width(spark: SparkSession) -> int:
-    """Configured number of shuffle partitions."""
-    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    out = spark.read.parquet(path)
+    out._staged_at = path
+    if instead_of is not None and hasattr(instead_of, "_staged_at"):
+        there = spark._jvm.org.apache.hadoop.fs.Path(instead_of._staged_at)
+        there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+    return out
