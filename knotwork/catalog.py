@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from knotwork.operators import analytics, code, figures, graphs, metrics, packed_values, sampling, tabular, texts
+from knotwork.operators import analytics, code, construction, figures, graphs, metrics, packed_values, sampling, tabular, texts, vocabulary
 from knotwork.session import table
 from knotwork.streaming import queries as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: Modules that offer ``queries()`` and ``oracle_sql()``.
-MODULES = (analytics, tabular, graphs, metrics, figures, texts, sampling, code, streams)
+MODULES = (analytics, tabular, graphs, metrics, figures, texts, sampling, code, vocabulary, construction, streams)
 
 
 def queries() -> dict[str, Query]:
