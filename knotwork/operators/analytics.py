@@ -132,10 +132,10 @@ def queries() -> dict:
     out["method_function"] = fan_out(entity_branch("Method", "method"), "method", "s")
     out["task_function"] = fan_out(entity_branch("Task", "task"), "task", "s")
     out["image_function"] = fan_out(FIGURE_BRANCH, "cso", "s")
-    out["predicate_frequency"] = lambda s, d: publication_graph(s, d).triples().groupBy("p").agg(F.count(F.lit(1)).alias("n"))
+    out["predicate_frequency"] = lambda s, d: publication_graph(s, d).predicate_counts()
     out["function_over_threshold"] = lambda s, d: _typed(run(publication_graph(s, d), TEXTS["function_by_conf"])).filter("counttype > 10")
-    out["conf_year_size_pivot"] = lambda s, d: ask("pubs_by_conf_year")(s, d).groupBy("year").pivot("conference", ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]).agg(F.count(F.lit(1)))
-    out["conf_year_count_pivot"] = lambda s, d: ask("pubs_by_conf_year")(s, d).groupBy("year").pivot("conference", ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]).agg(F.sum("Count"))
+    out["conf_year_size_pivot"] = lambda s, d: ask("pubs_by_conf_year")(s, d).groupBy("year").pivot("conference").agg(F.count(F.lit(1)))
+    out["conf_year_count_pivot"] = lambda s, d: ask("pubs_by_conf_year")(s, d).groupBy("year").pivot("conference").agg(F.sum("Count"))
     out["conf_year_platform_cube"] = lambda s, d: _typed(
         bind(publication_graph(s, d), [Pattern("?s", "conferenceSeries", "?conference"), Pattern("?s", "yearOfPublication", "?year"), Pattern("?s", "platform", "?platform")])
         .select(*(F.col(f"`?{c}`").alias(c) for c in ("conference", "year", "platform")))

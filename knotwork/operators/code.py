@@ -19,6 +19,10 @@ from pyspark.sql import functions as F
 from knotwork.session import stage_table, table
 
 FACT = "repo string, file_id long, kind string, src string, dst string, flavor string, line int"
+#: Names of scopes within a function that are no definitions; they are collapsed into what holds them.
+INNER = {"Lambda": "lambda", "ListComp": "listcomp", "SetComp": "setcomp", "DictComp": "dictcomp", "GeneratorExp": "genexpr"}
+#: How much a flavor tells of a node; of several the most telling one counts.
+TELLING = {"module": 1, "name": 1, "class": 2, "function": 2, "method": 3, "staticmethod": 3, "classmethod": 3}
 #: Nodes of the shortest and the longest path between two leaves.
 SHORTEST, LONGEST = 3, 10
 
@@ -84,7 +88,8 @@ class _Facts(ast.NodeVisitor):
             self.visit(d)
         self.scope.append(node.name)
         self.kinds.append(kind)
-        self.names.append({})
+        # arguments hide names of the same spelling further out
+        self.names.append({a: a for a in _arguments(node)} if kind == "function" else {})
         for child in node.body:
             self.visit(child)
         self.names.pop()
@@ -112,17 +117,76 @@ class _Facts(ast.NodeVisitor):
 
     visit_AsyncFunctionDef = visit_FunctionDef
 
+    def _inner(self, node) -> None:
+        """A lambda or a comprehension: a scope of its own, whose arguments or targets hide outer names."""
+        if isinstance(node, ast.Lambda):
+            own, parts = _arguments(node), [node.body]
+        else:
+            own = [n.id for g in node.generators for n in ast.walk(g.target) if isinstance(n, ast.Name)]
+            parts = [x for g in node.generators for x in (g.iter, *g.ifs)] + ([node.key, node.value] if isinstance(node, ast.DictComp) else [node.elt])
+        self.scope.append(INNER[type(node).__name__])
+        self.kinds.append("inner")
+        self.names.append({a: a for a in own})
+        for x in parts:
+            self.visit(x)
+        self.names.pop()
+        self.kinds.pop()
+        self.scope.pop()
+
+    visit_Lambda = visit_ListComp = visit_SetComp = visit_DictComp = visit_GeneratorExp = _inner
+
+    def visit_Name(self, node: ast.Name) -> None:
+        """A name that is read and bound here to something else of the program is a use of it."""
+        full = self.name(node)
+        if isinstance(node.ctx, ast.Load) and full and full != node.id:
+            self.add("uses", full, "name", node)
+
+    def visit_Attribute(self, node: ast.Attribute) -> None:
+        full = self.name(node)
+        if isinstance(node.ctx, ast.Load) and full and not full.startswith("*"):
+            self.add("uses", full, "attribute", node)
+        else:
+            self.visit(node.value)
+
+    def bind(self, target: ast.AST, value: ast.AST | None) -> None:
+        """Let a target name what a value names, pair by pair for tuples; anything else unbinds the names of the target."""
+        if isinstance(target, ast.Name):
+            full = self.name(value) if value is not None else None
+            if full and not isinstance(value, ast.Call) or (full and full[:1].isupper()):
+                self.names[-1][target.id] = full
+            else:
+                self.names[-1].pop(target.id, None)
+        elif isinstance(target, (ast.Tuple, ast.List)):
+            same = isinstance(value, (ast.Tuple, ast.List)) and len(value.elts) == len(target.elts) and not any(isinstance(x, ast.Starred) for x in (*value.elts, *target.elts))
+            for k, t in enumerate(target.elts):
+                self.bind(t, value.elts[k] if same else None)
+        elif isinstance(target, ast.Starred):
+            self.bind(target.value, None)
+        else:
+            self.visit(target)
+
     def visit_Assign(self, node: ast.Assign) -> None:
         self.visit(node.value)
-        value = self.name(node.value)
         for t in node.targets:
-            if isinstance(t, ast.Name):
-                if value and not isinstance(node.value, ast.Call) or (value and value[:1].isupper()):
-                    self.names[-1][t.id] = value
-                else:
-                    self.names[-1].pop(t.id, None)
-            else:
-                self.visit(t)
+            self.bind(t, node.value)
+
+    def visit_AnnAssign(self, node: ast.AnnAssign) -> None:
+        self.visit(node.annotation)
+        if node.value is not None:
+            self.visit(node.value)
+            self.bind(node.target, node.value)
+
+    def visit_AugAssign(self, node: ast.AugAssign) -> None:
+        self.visit(node.value)
+        self.bind(node.target, None)
+
+    def visit_For(self, node) -> None:
+        self.visit(node.iter)
+        self.bind(node.target, None)
+        for x in (*node.body, *node.orelse):
+            self.visit(x)
+
+    visit_AsyncFor = visit_For
 
     def visit_Call(self, node: ast.Call) -> None:
         callee = self.name(node.func)
@@ -149,6 +213,11 @@ class _Facts(ast.NodeVisitor):
     visit_AsyncWith = visit_With
 
 
+def _arguments(node) -> list[str]:
+    a = node.args
+    return [x.arg for x in (*a.posonlyargs, *a.args, *a.kwonlyargs, *filter(None, (a.vararg, a.kwarg)))]
+
+
 def parsed(code: str) -> ast.Module | None:
     try:
         with warnings.catch_warnings():
@@ -174,10 +243,65 @@ def _facts_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["repo", "file_id", "kind", "src", "dst", "flavor", "line"])
 
 
-def facts(repo: DataFrame) -> DataFrame:
-    """Facts of all Python files that parse: (repo, file_id, kind, src, dst, flavor, line)."""
+def facts(repo: DataFrame, inner: bool = False) -> DataFrame:
+    """Facts of all Python files that parse: (repo, file_id, kind, src, dst, flavor, line).
+
+    Lambdas and comprehensions are scopes; unless ``inner`` is wanted their facts go to the function or module around them.
+    """
     files = repo.filter(F.lower("code_path").endswith(".py") & F.col("code").isNotNull()).select("stored_dir_name", "file_id", "code_path", "code")
-    return files.mapInArrow(_facts_task, FACT)
+    found = files.mapInArrow(_facts_task, FACT)
+    return found if inner else collapsed(found)
+
+
+def collapsed(found: DataFrame) -> DataFrame:
+    """Facts with the names of lambdas and comprehensions at the end of their source taken off."""
+    return found.withColumn("src", F.regexp_replace("src", rf"(?:\.(?:{'|'.join(INNER.values())}))+$", ""))
+
+
+def nodes(found: DataFrame) -> DataFrame:
+    """(repo, name, flavor): every definition, module and class that facts name, with the most telling flavor it has."""
+    weight = F.create_map(*(F.lit(x) for kv in TELLING.items() for x in kv))
+    named = found.filter("kind = 'defines'").select("repo", F.col("dst").alias("name"), "flavor").union(found.filter("kind in ('defines', 'imports')").select("repo", F.split_part("src", F.lit("."), F.lit(1)), F.lit("name")))
+    named = named.union(found.filter("kind = 'inherits'").select("repo", "dst", F.lit("class")))
+    return named.groupBy("repo", "name").agg(F.max_by("flavor", F.struct(F.coalesce(F.try_element_at(weight, F.col("flavor")), F.lit(0)), "flavor")).alias("flavor"))
+
+
+def between_flavors(edges: DataFrame, known: DataFrame, dropped: tuple[str, ...] = ("name",)) -> DataFrame:
+    """Edges whose two ends are known nodes of a flavor that is not dropped."""
+    side = lambda c: known.filter(~F.col("flavor").isin(*dropped)).select("repo", F.col("name").alias(c))
+    return edges.join(side("src"), ["repo", "src"], "left_semi").join(side("dst"), ["repo", "dst"], "left_semi")
+
+
+def without_wildcards(edges: DataFrame) -> DataFrame:
+    """Edges without those to ``*.name`` from a source that reaches the same name in full."""
+    short = F.substring_index("dst", ".", -1)
+    full = edges.filter("not startswith(dst, '*.')").select("repo", "src", short.alias("short")).distinct()
+    wild = edges.filter("startswith(dst, '*.')").withColumn("short", short).join(full, ["repo", "src", "short"], "left_anti").drop("short")
+    return edges.filter("not startswith(dst, '*.')").unionByName(wild.select(*edges.columns))
+
+
+def culled(edges: DataFrame, found: DataFrame) -> DataFrame:
+    """Edges without those to ``Base.name`` from a source that also reaches ``Child.name`` of a class derived from that base."""
+    above = found.filter("kind = 'inherits'").select("repo", F.col("src").alias("child"), F.col("dst").alias("base")).distinct()
+    short = F.substring_index("dst", ".", -1)
+    parts = edges.withColumn("short", short).withColumn("owner", F.expr("left(dst, greatest(length(dst) - length(short) - 1, 0))"))
+    lower = parts.select("repo", "src", "short", F.col("owner").alias("child")).join(above, ["repo", "child"]).select("repo", "src", "short", F.col("base").alias("owner")).distinct()
+    return parts.join(lower, ["repo", "src", "short", "owner"], "left_anti").select(*edges.columns)
+
+
+def constructor_edges(edges: DataFrame, found: DataFrame) -> DataFrame:
+    """(repo, src, dst) of calls of a class to the ``__init__`` that its class or the first of its C3 order defines."""
+    defined = found.filter("kind = 'defines'").select("repo", F.col("dst").alias("full"), "flavor").distinct()
+    made = edges.join(defined.filter("flavor = 'class'").select("repo", F.col("full").alias("dst")), ["repo", "dst"], "left_semi").select("repo", "src", F.col("dst").alias("cls")).distinct()
+    line = resolution_orders(found).select("repo", "cls", "base", (F.col("place") + 1).alias("place")).unionByName(made.select("repo", "cls", F.col("cls").alias("base"), F.lit(0).alias("place")).distinct())
+    init = line.withColumn("full", F.concat("base", F.lit(".__init__"))).join(defined.select("repo", "full"), ["repo", "full"], "left_semi").groupBy("repo", "cls").agg(F.min_by("full", "place").alias("dst"))
+    return made.join(init, ["repo", "cls"]).select("repo", "src", "dst").distinct()
+
+
+def resolution_orders(found: DataFrame) -> DataFrame:
+    """(repo, cls, base, place): the method resolution order of every class with bases, the class itself left out."""
+    bases = found.filter("kind = 'inherits'").select("repo", F.col("src").alias("node"), F.col("flavor").cast("int").alias("k"), F.col("dst").alias("base")).distinct()
+    return _resolution_orders(bases.select("repo", F.col("node").alias("cls")).distinct(), bases)
 
 
 def star_targets(found: DataFrame) -> DataFrame:
@@ -454,28 +578,29 @@ def api_matches(calls: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return best.select("call", F.col("b.name").alias("name"), F.round(-F.col("b.s"), 6).alias("score"))
 
 
-def argument_pairs(args: list[str]) -> list[tuple[str, str]]:
-    """Argument triples of a call: three arguments are taken as inputs, filters and kernel size."""
-    names = ("has_input", "has_filters", "has_kernel_size") if len(args) == 3 else tuple(f"has_arg_{k}" for k in range(len(args)))
-    return list(zip(names, args, strict=True))
-
-
-def ordered_pairs(n: int) -> list[tuple[int, int]]:
-    return list(combinations(range(n), 2))
+def _plain_calls(repo: DataFrame) -> DataFrame:
+    return facts(repo).filter("kind = 'calls'").select("repo", "src", "dst").distinct()
 
 
 def queries() -> dict:
     repo = lambda s, d: table(s, d, "repo")
     return {
-        "code_definitions": lambda s, d: facts(repo(s, d)).filter("kind = 'defines'").groupBy("repo", "flavor").agg(F.count(F.lit(1)).alias("n")),
+        "code_definitions": lambda s, d: facts(repo(s, d)).filter("kind = 'defines'").select("repo", "file_id", "src", "dst", "flavor", "line").distinct(),
+        "code_nodes": lambda s, d: nodes(facts(repo(s, d))),
+        "code_uses": lambda s, d: facts(repo(s, d)).filter("kind = 'uses'").groupBy("repo", "src", "dst").agg(F.count(F.lit(1)).alias("n")),
+        "code_inner_scopes": lambda s, d: facts(repo(s, d), inner=True).filter(F.rlike("src", F.lit(rf"\.(?:{'|'.join(INNER.values())})$"))).select("repo", "file_id", "kind", "src", "dst", "line").distinct(),
+        "code_resolution_orders": lambda s, d: resolution_orders(facts(repo(s, d))),
+        "code_constructors": lambda s, d: constructor_edges(_plain_calls(repo(s, d)), facts(repo(s, d))),
+        "code_culled_calls": lambda s, d: culled(without_wildcards(_plain_calls(repo(s, d))), facts(repo(s, d))),
+        "code_known_calls": lambda s, d: between_flavors(_plain_calls(repo(s, d)), nodes(facts(repo(s, d)))),
         "code_call_graph": lambda s, d: edge_counts(facts(repo(s, d))),
-        "code_imports": lambda s, d: facts(repo(s, d)).filter("kind = 'imports'").groupBy(F.col("dst").alias("module")).agg(F.count_distinct("file_id").alias("files")),
+        "code_imports": lambda s, d: facts(repo(s, d)).filter("kind = 'imports'").select("repo", "file_id", F.col("dst").alias("module"), "flavor").distinct(),
         "code_arguments": lambda s, d: facts(repo(s, d)).filter(F.startswith("kind", F.lit("has_"))).groupBy("kind", F.col("src").alias("call")).agg(F.count(F.lit(1)).alias("n")),
         "code_path_contexts": lambda s, d: context_counts(repo(s, d)),
         "code_function_lines": lambda s, d: function_lines(repo(s, d)),
         "code_api_matches": lambda s, d: api_matches(
             facts(repo(s, d)).filter("kind = 'calls'").select(F.col("dst").alias("call")),
-            s.createDataFrame([("tensorflow.reshape",), ("numpy.zeros",), ("tensorflow.layers.conv2d",), ("tensorflow.keras.layers.Reshape",), ("numpy.array",)], "name string"),
+            facts(repo(s, d)).filter("kind in ('imports', 'calls') and contains(dst, '.')").select(F.col("dst").alias("name")),
         ),
     }
 

@@ -182,8 +182,8 @@ def queries() -> dict:
         "computation_graph_triples": lambda s, d: triples(_graphs(s, d), "p_brand", "text"),
         "simplified_edges": lambda s, d: simplified(paths(s, d), kept(s, d)),
         "group_members": lambda s, d: paths(s, d).join(F.broadcast(s.createDataFrame([("brand#11",), ("brand#1",), ("brand#23/s7",)], "name string")), is_member(F.concat(F.lit("^"), "src"), F.col("name"))).select("name", "src"),
-        "walk_with_stops": lambda s, d: walk(edges(s, d), calls(s, d).filter("p_partkey = 1").select(F.col("n").alias("node")), ["red", "small"]),
-        "nodes_of_interest": lambda s, d: of_interest(walk(edges(s, d), calls(s, d).filter("p_partkey = 1").select(F.col("n").alias("node")), ["red", "small"]), ["ring", "blue"]),
+        "walk_with_stops": lambda s, d: walk(edges(s, d), calls(s, d).filter("p_partkey <= 9").select(F.col("n").alias("node")), ["red", "small"]),
+        "nodes_of_interest": lambda s, d: of_interest(walk(edges(s, d), calls(s, d).filter("p_partkey <= 9").select(F.col("n").alias("node")), ["red", "small"]), ["ring", "blue"]),
         "latest_graph_files": lambda s, d: latest_files(table(s, d, "orders").select(F.concat(F.lit("/runs/"), "o_custkey", F.lit("/graph_"), "o_orderkey", F.lit(".json")).alias("path"))),
         "api_subclasses": lambda s, d: subclass_triples(names(s, d)),
     }
@@ -191,13 +191,13 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     base = "WITH RECURSIVE n AS (SELECT p_brand, lower(p_brand) || '/s' || p_size || '/n' || p_partkey AS name, lower(p_brand) AS a, lower(p_brand) || '/s' || p_size AS b, p_type, p_size, lag(p_partkey) OVER (PARTITION BY p_brand, p_size ORDER BY p_partkey) AS before, p_partkey FROM part)"
-    tree = "WITH RECURSIVE n AS (SELECT p_partkey AS k, p_partkey || '_' || replace(p_name, ' ', '_') AS n FROM part), r AS (SELECT k, n, 0 AS depth FROM n WHERE k = 1 AND NOT regexp_matches(n, 'red|small') UNION ALL SELECT n.k, n.n, r.depth + 1 FROM n JOIN r ON (n.k + 1) // 3 = r.k AND n.k > 1 WHERE NOT regexp_matches(n.n, 'red|small'))"
+    tree = "WITH RECURSIVE n AS (SELECT p_partkey AS k, p_partkey || '_' || replace(p_name, ' ', '_') AS n FROM part), r AS (SELECT k, n, 0 AS depth FROM n WHERE k <= 9 AND NOT regexp_matches(n, 'red|small') UNION ALL SELECT n.k, n.n, r.depth + 1 FROM n JOIN r ON (n.k + 1) // 3 = r.k AND n.k > 1 WHERE NOT regexp_matches(n.n, 'red|small'))"
     return {
         "computation_graph_triples": f"{base} SELECT p_brand, name AS s, 'op' AS p, upper(p_type) AS o FROM n UNION SELECT p_brand, b || '/n' || before, 'feeds', name FROM n WHERE before IS NOT NULL UNION SELECT p_brand, a, 'hasMember', b FROM n UNION SELECT p_brand, b, 'hasMember', name FROM n UNION SELECT p_brand, name, 'T_type', p_type FROM n UNION SELECT p_brand, name, 'N', CAST(p_size AS VARCHAR) FROM n UNION SELECT p_brand, name, 'shape', p_size || ',3' FROM n",
         "simplified_edges": "WITH p AS (SELECT p_partkey AS k, lower(p_brand) AS a, lower(p_brand) || '/s' || p_size AS b, p_size % 2 = 0 AS even FROM part), q AS (SELECT x.k, CASE WHEN x.even THEN x.b ELSE x.a END AS src, CASE WHEN y.even THEN y.b ELSE y.a END AS dst FROM p x JOIN p y ON y.k = x.k + 1) SELECT DISTINCT src, dst FROM q WHERE src <> dst",
-        "group_members": f"{base} SELECT 'brand#11' AS name, name AS src FROM n WHERE a = 'brand#11' UNION ALL SELECT 'brand#23/s7', name FROM n WHERE b = 'brand#23/s7'",
-        "walk_with_stops": f"{tree} SELECT n AS node, depth FROM r",
-        "nodes_of_interest": f"{tree} SELECT n AS node, depth FROM r WHERE regexp_matches(n, 'ring|blue')",
+        "group_members": f"{base} SELECT 'brand#11' AS name, name AS src FROM n WHERE a = 'brand#11' UNION ALL SELECT 'brand#1', name FROM n WHERE a = 'brand#1' UNION ALL SELECT 'brand#23/s7', name FROM n WHERE b = 'brand#23/s7'",
+        "walk_with_stops": f"{tree} SELECT n AS node, min(depth) AS depth FROM r GROUP BY n",
+        "nodes_of_interest": f"{tree} SELECT n AS node, min(depth) AS depth FROM r WHERE regexp_matches(n, 'ring|blue') GROUP BY n",
         "latest_graph_files": "SELECT '/runs/' || o_custkey AS folder, '/runs/' || o_custkey || '/graph_' || max(o_orderkey) || '.json' AS path FROM orders GROUP BY o_custkey",
         "api_subclasses": "WITH n AS (SELECT ['nn', 'io', 'layers'][p_partkey % 3 + 1] AS t, split_part(p_name, ' ', 1) AS a, split_part(p_name, ' ', -1) AS b FROM part) SELECT DISTINCT 'tf.' || t AS s, 'subClassOf' AS p, 'tf' AS o FROM n WHERE t <> 'io' UNION SELECT DISTINCT 'tf.' || t || '.' || a, 'subClassOf', 'tf.' || t FROM n WHERE t <> 'io' UNION SELECT DISTINCT 'tf.' || t || '.' || a || '.' || b, 'subClassOf', 'tf.' || t || '.' || a FROM n WHERE t <> 'io'",
     }

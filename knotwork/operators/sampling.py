@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from knotwork.session import table
+from knotwork.session import stage_table, table
 
 
 def turn(key: Column, salt: int = 0) -> Column:
@@ -15,6 +18,62 @@ def turn(key: Column, salt: int = 0) -> Column:
     return F.pmod(key * 1_103_515_245 + F.lit(12_345 + salt), F.lit(2_147_483_648))
 
 
+def numbered(df: DataFrame, order: list, name: str = "idx") -> DataFrame:
+    """Rows with their number from 0 in an order, without a task that holds them all.
+
+    The rows are sorted by ranges and written; the numbers of rows per range, one small row each, give every range its first.
+    """
+    rows = stage_table(df.orderBy(*order).withColumn("_r", F.spark_partition_id()).withColumn("_k", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))), "numbered")
+    sizes = rows.groupBy("_r").agg(F.count(F.lit(1)).alias("n"))
+    first = sizes.select("_r", (F.sum("n").over(Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("_f"))
+    return rows.join(F.broadcast(first), "_r").withColumn(name, F.col("_f") + F.col("_k")).drop("_r", "_k", "_f")
+
+
+def most_similar(vectors: DataFrame, key: str, vector: str, asked: DataFrame, top: int = 10, most: int = 200_000, digits: int = 6) -> DataFrame:
+    """(key, rank, other, score): for each asked row the ``top`` rows of the highest cosine, itself not among them.
+
+    The asked vectors, whose number is checked, go to the tasks in blocks; every task keeps the best of its own rows, and
+    the best of all tasks are chosen per asked row. Scores are compared rounded, ties go to the lesser key.
+    """
+    rows = [(r[0], r[1]) for r in asked.select(key, vector).filter(F.col(vector).isNotNull()).limit(most + 1).collect()]
+    if len(rows) > most:
+        raise ValueError(f"more than {most} asked vectors")
+    if not rows:
+        return vectors.select(F.col(key), F.lit(0).alias("rank"), F.col(key).alias("other"), F.lit(0.0).alias("score")).limit(0)
+    ids, kind = np.array([r[0] for r in rows]), dict(vectors.dtypes)[key]
+    unit = np.array([r[1] for r in rows], float)
+    unit /= np.maximum(np.linalg.norm(unit, axis=1, keepdims=True), 1e-300)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: list[list[tuple[float, int]]] = [[] for _ in ids]
+        for b in batches:
+            other = np.array(b.column(0).to_pylist())
+            v = np.array(b.column(1).to_pylist(), float)
+            v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+            for at in range(0, len(ids), 256):
+                score = np.round(unit[at : at + 256] @ v.T, digits)
+                score[ids[at : at + 256, None] == other[None, :]] = -2.0
+                for k in range(len(score)):
+                    turn = np.lexsort((other, -score[k]))[:top]
+                    best[at + k] = sorted([*best[at + k], *((-float(score[k][j]), int(other[j])) for j in turn if score[k][j] > -2)])[:top]
+        out = [(int(i), o, -s) for i, found in zip(ids, best, strict=True) for s, o in found]
+        cols = list(zip(*out, strict=True)) or [[]] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64()), strict=True)], [key, "other", "score"])
+
+    each = vectors.filter(F.col(vector).isNotNull()).select(key, vector).mapInArrow(task, f"{key} {kind}, other {kind}, score double")
+    w = Window.partitionBy(key).orderBy(F.desc("score"), "other")
+    return each.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top).select(key, "rank", "other", "score")
+
+
+def projected(vectors: DataFrame, key: str, vector: str, dims: int = 2) -> DataFrame:
+    """(key, x): vectors on their ``dims`` principal axes; an axis may point either way."""
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    rows = vectors.filter(F.col(vector).isNotNull()).select(key, array_to_vector(F.col(vector).cast("array<double>")).alias("_v"))
+    return PCA(k=dims, inputCol="_v", outputCol="_x").fit(rows).transform(rows).select(key, vector_to_array("_x").alias("x"))
+
+
 def ranked_counts(df: DataFrame, column: str, buckets: int = 64) -> DataFrame:
     """(value, n, idx): values by falling count, ties by value, numbered from 0.
 
@@ -144,6 +203,9 @@ def queries() -> dict:
         "main_files": lambda s, d: shortest(table(s, d, "repo").filter("code_path is not null and stored_dir_name is not null").select("stored_dir_name", "code_path"), "stored_dir_name", "code_path"),
         "pdf_links": lambda s, d: table(s, d, "paper").filter("paper_link is not null").select("paper_id", pdf_link(F.col("paper_link")).alias("link")),
         "bottom_functions": lambda s, d: lines(s, d).groupBy("l_partkey").agg(F.count(F.lit(1)).alias("n")).orderBy("n", F.desc("l_partkey")).limit(20),
+        "numbered_papers": lambda s, d: numbered(table(s, d, "paper").filter(F.lower("framework").isin("tensorflow", "pytorch")).select("paper_id", "framework"), ["framework", "paper_id"]),
+        "most_similar": lambda s, d: most_similar(table(s, d, "embeddings"), "vec_id", "embedding", table(s, d, "embeddings").filter("vec_id % 100 = 0"), 10, digits=4),
+        "projected_vectors": lambda s, d: projected(table(s, d, "embeddings"), "vec_id", "embedding").select("vec_id", F.size("x").alias("dims")),
         "in_degrees": lambda s, d: in_degrees(table(s, d, "part").select(F.col("p_partkey").alias("src"), (F.pmod(F.col("p_partkey") * 31, F.lit(97)) + 1).alias("dst"))),
         "doc_split": lambda s, d: hash_order_split(table(s, d, "documents").select("doc_id"), "doc_id", 0.1),
         "top_functions": lambda s, d: lines(s, d).groupBy("l_partkey").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "l_partkey").limit(20),
@@ -170,6 +232,8 @@ def oracle_sql() -> dict[str, str]:
         "main_files": "SELECT stored_dir_name, code_path FROM (SELECT *, row_number() OVER (PARTITION BY stored_dir_name ORDER BY length(code_path), code_path) AS rn FROM repo WHERE code_path IS NOT NULL AND stored_dir_name IS NOT NULL) WHERE rn = 1",
         "pdf_links": "SELECT paper_id, regexp_replace(regexp_replace(paper_link, '/abs/', '/pdf/', 'g'), '\\.pdf$', '') || '.pdf' AS link FROM paper WHERE paper_link IS NOT NULL",
         "bottom_functions": "SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY 1 ORDER BY n, l_partkey DESC LIMIT 20",
+        "numbered_papers": "SELECT paper_id, framework, row_number() OVER (ORDER BY framework, paper_id) - 1 AS idx FROM paper WHERE lower(framework) IN ('tensorflow', 'pytorch')",
+        "most_similar": "WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), s AS (SELECT a.vec_id, b.vec_id AS other, round(list_cosine_similarity(a.v, b.v), 4) AS score FROM e a JOIN e b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id) SELECT vec_id, CAST(rank AS INTEGER) AS rank, other, score FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, other) AS rank FROM s) WHERE rank <= 10",
         "in_degrees": "WITH e AS (SELECT DISTINCT p_partkey AS src, (p_partkey * 31) % 97 + 1 AS dst FROM part), n AS (SELECT src AS node FROM e UNION SELECT dst FROM e) SELECT node, count(src) AS degree FROM n LEFT JOIN e ON node = dst GROUP BY node",
         "doc_split": f"WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY {t('doc_id')}) AS rn, count(*) OVER () AS n FROM documents) SELECT doc_id, rn <= floor(n * 0.1) AS held_out FROM r",
         "top_functions": "SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY 1 ORDER BY n DESC, l_partkey LIMIT 20",

@@ -30,11 +30,31 @@ def tfidf(docs: DataFrame, key: str, text: str, min_df: int = 1) -> DataFrame:
 
 
 def sentences(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, sent_id, start, end, sentence): sentences with their place in the text, the end after the last letter."""
-    parts = F.split(F.col(text), r"(?<=[.!?])\s")
-    each = docs.select(key, F.posexplode(parts).alias("sent_id", "sentence"), parts.alias("_p"))
-    start = F.aggregate(F.slice("_p", 1, F.col("sent_id")), F.lit(0), lambda a, x: a + F.length(x) + 1)
-    return each.select(key, "sent_id", start.alias("start"), (start + F.length("sentence")).alias("end"), "sentence")
+    """(key, sent_id, start, end, sentence): sentences with their place in the text, the end after the last letter.
+
+    A sentence ends at ``.``, ``!`` or ``?`` before a blank. Each text is cut once where it lies, in time of its length.
+    """
+    kind = dict(docs.dtypes)[key]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import re
+
+        gap = re.compile(r"(?<=[.!?])[ \t\n\x0b\f\r]")
+        for b in batches:
+            keys, ids, starts, ends, texts = [], [], [], [], []
+            for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                at = 0
+                for n, part in enumerate(gap.split(t)):
+                    keys.append(k)
+                    ids.append(n)
+                    starts.append(at)
+                    ends.append(at + len(part))
+                    texts.append(part)
+                    at += len(part) + 1
+            ints = [pa.array(x, pa.int32()) for x in (ids, starts, ends)]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, b.column(0).type), *ints, pa.array(texts, pa.string())], [key, "sent_id", "start", "end", "sentence"])
+
+    return docs.filter(F.col(text).isNotNull()).select(key, text).mapInArrow(cut, f"{key} {kind}, sent_id int, start int, end int, sentence string")
 
 
 def annotations_in_sentences(marks: DataFrame, sents: DataFrame, key: str, width: int = 256) -> DataFrame:
@@ -171,17 +191,6 @@ def entity_name(c: Column) -> Column:
     return F.lower(F.trim(c))
 
 
-def is_abbreviation(short: str, text: str) -> bool:
-    """Whether the letters of ``short`` open words of ``text`` in order or continue one; a final s is tried without."""
-    import re
-
-    if len(short) >= len(text):
-        return False
-    if short.endswith("s"):
-        return is_abbreviation(short[:-1], text) if len(short) > 1 else False
-    return re.match("^" + r"(|.*\W)".join(map(re.escape, short)), text) is not None
-
-
 def semeval_line(c: Column, s1: Column, e1: Column, s2: Column, e2: Column) -> Column:
     """Text with its two entities marked, offsets counted from 0."""
     cut = lambda a, b: F.substring(c, a + 1, b - a)
@@ -198,10 +207,27 @@ def queries() -> dict:
         begin = F.aggregate(F.slice("p", 1, F.col("k")), F.lit(0), lambda a, x: a + F.length(x)) + (F.col("k") - 1) * 7
         return e.select("doc_id", begin.alias("begin"))
 
+    def branded(s, d):
+        b = table(s, d, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("uri"))
+        return table(s, d, "lineitem").select(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("start"), "l_partkey").distinct().join(b, "l_partkey").select("doc", "start", "uri").distinct()
+
+    def brand_relations(s, d):
+        p = table(s, d, "part").select(F.col("p_partkey").alias("k"), "p_brand", "p_size")
+        q = p.select((F.col("k") - 1).alias("k"), F.col("p_brand").alias("uri_b"))
+        return p.filter("p_size = 10").join(q, "k").groupBy(F.col("p_brand").alias("uri_a"), "uri_b").agg(F.lit("uses").alias("rel"))
+
+    def arguments(s, d):
+        return table(s, d, "lineitem").select(F.col("l_orderkey").alias("doc"), F.lit("uses").alias("rel"), F.col("l_linenumber").alias("arg1"), (F.col("l_linenumber") + 1).alias("arg2")).distinct()
+
+    def placed(s, d):
+        return table(s, d, "lineitem").select(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("id"), F.floor(F.col("l_linenumber") / 3).alias("sent_id")).distinct()
+
     return {
         "tfidf_node_features": lambda s, d: tfidf(table(s, d, "part").select("p_partkey", F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("t")), "p_partkey", "t"),
         "sentence_range_join": lambda s, d: annotations_in_sentences(marks(s, d), sentences(short(s, d), "doc_id", "text"), "doc_id").select("doc_id", "begin", "sent_id"),
-        "sentence_split": lambda s, d: sentences(short(s, d), "doc_id", "text").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max("end").alias("last")),
+        "sentence_split": lambda s, d: sentences(short(s, d), "doc_id", "text"),
+        "related_pairs": lambda s, d: related_pairs(branded(s, d), brand_relations(s, d), "doc"),
+        "relations_within": lambda s, d: relations_within(arguments(s, d), placed(s, d), "doc"),
         "dictionary_annotation": lambda s, d: annotate(short(s, d), table(s, d, "layer_type_stardard").select(F.col("variant").alias("term"), F.concat(F.lit("layer/"), F.replace("layer_type", F.lit(" "), F.lit("_"))).alias("uri")).union(s.createDataFrame([("hit rate", "metric/hit_rate"), ("rank loss", "metric/rank_loss"), ("decoder", "method/decoder"), ("loss", "method/loss")], "term string, uri string")), "doc_id", "text"),
         "name_subtokens": lambda s, d: table(s, d, "repo").filter("code_path is not null").select("file_id", F.concat_ws(" ", name_tokens(F.regexp_extract("code_path", r"([^/]+)\.\w+$", 1))).alias("tokens")),
         "entity_names": lambda s, d: table(s, d, "entity").filter("entitytext is not null").select("entity_id", entity_name(F.col("entitytext")).alias("name")).distinct(),
@@ -216,7 +242,10 @@ def oracle_sql() -> dict[str, str]:
         "semeval_lines": "SELECT p_partkey, '<e1>' || split_part(p_name, ' ', 1) || '</e1> <e2>' || substr(p_name, instr(p_name, ' ') + 1) || '</e2>' AS line FROM part",
         "entity_names": "SELECT DISTINCT entity_id, lower(trim(" + _drop_sql() + ", ' ')) AS name FROM entity WHERE entitytext IS NOT NULL",
         "sentence_range_join": parts + ", m AS (SELECT doc_id, text, string_split(text, 'decoder') AS p, unnest(range(1, len(string_split(text, 'decoder')))) AS k FROM t), b AS (SELECT doc_id, text, CAST(length(array_to_string(p[1:k], 'decoder')) AS INTEGER) AS begin FROM m) SELECT doc_id, begin, CAST(len(regexp_extract_all(substr(text, 1, begin), '[.!?]\\s')) AS INTEGER) AS sent_id FROM b",
-        "sentence_split": parts + " SELECT doc_id, CAST(len(regexp_extract_all(text, '[.!?]\\s')) + 1 AS BIGINT) AS n, CAST(length(text) AS INTEGER) AS last FROM t",
+        "sentence_split": parts + ", p AS (SELECT doc_id, string_split(regexp_replace(text, '([.!?])[ \\t\\n\\x0b\\f\\r]', '\\1' || chr(1), 'g'), chr(1)) AS p FROM t), q AS (SELECT doc_id, unnest(range(1, len(p) + 1)) AS k, p FROM p) SELECT doc_id, CAST(k - 1 AS INTEGER) AS sent_id, CAST(coalesce(list_sum(list_transform(p[1:k - 1], lambda x: length(x) + 1)), 0) AS INTEGER) AS start, CAST(coalesce(list_sum(list_transform(p[1:k - 1], lambda x: length(x) + 1)), 0) + length(p[k]) AS INTEGER) AS \"end\", p[k] AS sentence FROM q",
+        "related_pairs": "WITH m AS (SELECT DISTINCT l_orderkey AS doc, l_linenumber AS start, p_brand AS uri FROM lineitem JOIN part ON l_partkey = p_partkey), r AS (SELECT DISTINCT a.p_brand AS uri_a, b.p_brand AS uri_b FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1 WHERE a.p_size = 10) SELECT a.doc, a.start AS start_a, b.start AS start_b, 'uses' AS rel FROM m a JOIN m b ON a.doc = b.doc AND a.start < b.start AND a.uri <> b.uri JOIN r ON r.uri_a = a.uri AND r.uri_b = b.uri UNION ALL SELECT doc, start, nxt, 'sameAs' FROM (SELECT doc, start, lead(start) OVER (PARTITION BY doc, uri ORDER BY start) AS nxt FROM m) WHERE nxt IS NOT NULL",
+        "relations_within": "WITH m AS (SELECT DISTINCT l_orderkey AS doc, l_linenumber AS id FROM lineitem) SELECT a.doc, 'uses' AS rel, a.id AS arg1, b.id AS arg2, CAST(a.id // 3 AS BIGINT) AS sent_id FROM m a JOIN m b ON a.doc = b.doc AND b.id = a.id + 1 AND a.id // 3 = b.id // 3",
+        "name_subtokens": "WITH n AS (SELECT file_id, regexp_extract(code_path, '([^/]+)\\.\\w+$', 1) AS n FROM repo WHERE code_path IS NOT NULL), s AS (SELECT file_id, string_split_regex(regexp_replace(regexp_replace(n, '([a-z])([A-Z])', '\\1_\\2', 'g'), '([A-Z])([A-Z][a-z])', '\\1_\\2', 'g'), '_|[0-9]|[^0-9A-Za-z_]+') AS p FROM n), u AS (SELECT file_id, lower(p[k]) AS w, min(k) AS k FROM s, range(1, 60) t(k) WHERE k <= len(p) AND p[k] <> '' GROUP BY 1, 2) SELECT file_id, coalesce(w, '') AS tokens FROM n LEFT JOIN (SELECT file_id, string_agg(w, ' ' ORDER BY k) AS w FROM u GROUP BY 1) USING (file_id)",
     }
 
 

@@ -83,6 +83,32 @@ class Graph:
             out = out.unionByName(x)
         return out if predicate and len(parts) == 1 else out.distinct()
 
+    def predicate_counts(self) -> DataFrame:
+        """(p, n): triples per predicate. A property table is read once for all its predicates.
+
+        Counts of tables are added where their subjects lie in different name spaces; else the triples are made distinct.
+        """
+        spaces: dict[str, list[str]] = {}
+        for t in [*self.properties, *self.edges]:
+            for p in t.columns if isinstance(t, PropertyTable) else (t.predicate,):
+                spaces.setdefault(p, []).append(t.prefix)
+        mixed = {p for p, x in spaces.items() if len(x) > 1 and any(not a or any(b.startswith(a) for b in x[k + 1 :]) or any(a.startswith(b) for b in x[k + 1 :]) for k, a in enumerate(x))}
+        parts = []
+        for t in self.properties:
+            own = {p: c for p, c in t.columns.items() if p not in mixed}
+            if own:
+                counts = t.rows().agg(*(F.count(F.when(t.subject.isNotNull(), c)).alias(p) for p, c in own.items()))
+                parts.append(counts.select(F.explode(F.create_map(*(x for p in own for x in (F.lit(p), F.col(p))))).alias("p", "n")))
+        for e in self.edges:
+            if e.predicate not in mixed:
+                rows = e.rows().select("s", "o").filter("s is not null and o is not null")
+                parts.append((rows if e.is_set else rows.distinct()).agg(F.count(F.lit(1)).alias("n")).select(F.lit(e.predicate).alias("p"), "n"))
+        parts += [self.triples(p).groupBy("p").agg(F.count(F.lit(1)).alias("n")) for p in sorted(mixed)]
+        out = parts[0]
+        for x in parts[1:]:
+            out = out.unionByName(x)
+        return out.groupBy("p").agg(F.sum("n").alias("n")).filter("n > 0")
+
     def match(self, s: str | None = None, p: str | None = None, o: str | None = None) -> DataFrame:
         """Triples with any of subject, predicate and object given."""
         out = self.triples(p)

@@ -107,14 +107,14 @@ def test_offsets_and_names(spark):
         assert r.first == at and r.supernode == at + r.size - 1
         at += r.size
     tree = spark.createDataFrame([(None, "r", 0), ("r", "a", 0), ("r", "b", 1), ("b", "c", 0)], "parent string, node string, child_idx int")
-    assert {tuple(r) for r in graphs.hierarchical_names(tree, 3).collect()} == {("r", "0"), ("a", "0-0"), ("b", "0-1"), ("c", "0-1-0")}
+    assert {tuple(r) for r in graphs.hierarchical_names(tree).collect()} == {("r", "0"), ("a", "0-0"), ("b", "0-1"), ("c", "0-1-0")}
 
 
 def test_negative_edges_are_topped_up(spark):
     from knotwork.operators.graphs import negative_edges
 
     edges = spark.createDataFrame([(k, (k + 1) % 10) for k in range(10)], "src long, dst long")
-    some = {tuple(r) for r in negative_edges(edges, 10, 20).collect()}
-    every = {tuple(r) for r in negative_edges(edges, 10, 100).collect()}
+    some = {tuple(r) for r in negative_edges(edges, wanted=20).collect()}
+    every = {tuple(r) for r in negative_edges(edges, wanted=100).collect()}
     assert len(some) == 20 and some <= every
     assert every == {(a, b) for a in range(10) for b in range(a + 1, 10) if (b - a) % 10 not in (1, 9)}

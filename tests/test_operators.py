@@ -61,10 +61,14 @@ def test_dictionary_annotation_takes_long_terms_and_other_ends(spark):
     assert got == {("dropout (axial)", "u1"), ("c++", "u2"), ("one two three four five six seven eight nine tens", "u3"), (".net", "u4"), ("++", "u5")}
 
 
-def test_abbreviations():
-    assert texts.is_abbreviation("cnn", "convolutional neural network")
-    assert texts.is_abbreviation("cnns", "convolutional neural networks")
-    assert not texts.is_abbreviation("gan", "recurrent network")
+def test_abbreviations(spark):
+    from pyspark.sql import functions as F
+
+    from knotwork.functions import strings
+
+    rows = [("cnn", "convolutional neural network"), ("cnns", "convolutional neural networks"), ("gan", "recurrent network"), ("a.b", "a big b"), ("long words", "short"), ("s", "some words")]
+    df = spark.createDataFrame(rows, "a string, b string")
+    assert [r[0] for r in df.select(strings.abbreviates(F.col("a"), F.col("b"))).collect()] == [True, True, False, False, False, False]
 
 
 def test_metrics_on_known_values(spark):
@@ -194,3 +198,22 @@ def test_graphdef(spark):
     edges = spark.createDataFrame([("a/b/x", "a/c/y"), ("a/b/x", "a/b/z"), ("q", "a/b")], "src string, dst string")
     kept = spark.createDataFrame([("a",), ("a/b",)], "name string")
     assert [tuple(r) for r in graphdef.simplified(edges, kept).collect()] == [("a/b", "a")]
+
+
+def test_scopes_bindings_and_uses(spark):
+    source = (
+        "import os\nfrom m import helper as h, thing\n\nclass A:\n    def __init__(self): pass\n    def run(self): pass\n\nclass B(A):\n    def go(self):\n        return self.run()\n\n"
+        "def f(os):\n    os.path()\n    return [h(x) for x in os]\n\ndef g():\n    a, b = h, thing\n    a()\n    b()\n    c: int = h\n    c()\n    for a in []:\n        a()\n    k = lambda h: h()\n    B()\n    os.getcwd\n"
+    )
+    df = spark.createDataFrame([("r", 1, "r/n.py", source)], "stored_dir_name string, file_id long, code_path string, code string")
+    inner = {(r.kind, r.src, r.dst) for r in code.facts(df, inner=True).collect()}
+    assert {("calls", "n.f.listcomp", "m.helper"), ("calls", "n.g.lambda", "h"), ("calls", "n.g", "m.helper"), ("calls", "n.g", "m.thing"), ("calls", "n.g", "a"), ("calls", "n.f", "os.path"), ("uses", "n.g", "os.getcwd")} <= inner
+    found = code.facts(df)
+    assert ("calls", "n.f", "m.helper") in {(r.kind, r.src, r.dst) for r in found.collect()}
+    calls = found.filter("kind = 'calls'").select("repo", "src", "dst").distinct()
+    assert {tuple(r)[1:] for r in code.constructor_edges(calls, found).collect()} == {("n.g", "n.A.__init__")}
+    assert {(r.cls, r.base, r.place) for r in code.resolution_orders(found).collect()} == {("n.B", "n.A", 0)}
+    known = {r.name: r.flavor for r in code.nodes(found).collect()}
+    assert known["n.A"] == "class" and known["n.A.run"] == "method" and known["n.f"] == "function"
+    e = spark.createDataFrame([("r", "x", "*.run"), ("r", "x", "n.A.run"), ("r", "x", "n.B.run"), ("r", "y", "*.run"), ("r", "z", "n.A.run")], "repo string, src string, dst string")
+    assert {tuple(r)[1:] for r in code.culled(code.without_wildcards(e), found).collect()} == {("x", "n.B.run"), ("y", "*.run"), ("z", "n.A.run")}
