@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from knotwork.operators import analytics, code, construction, figures, graphdef, graphs, metrics, packed_values, render, sampling, tabular, texts, vocabulary
 from knotwork.session import table
+from knotwork.sources import queries as files
 from knotwork.streaming import queries as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: Modules that offer ``queries()`` and ``oracle_sql()``.
-MODULES = (analytics, tabular, graphs, metrics, figures, texts, sampling, code, vocabulary, construction, graphdef, render, streams)
+MODULES = (analytics, tabular, graphs, metrics, figures, texts, sampling, code, vocabulary, construction, graphdef, render, files, streams)
 
 
 def queries() -> dict[str, Query]:

@@ -6,10 +6,11 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from knotwork import schema
+from knotwork.operators.sampling import numbered
 from knotwork.operators.tabular import last_written, metadata_record
 
 _NT = r'^\s*(<[^>]*>|_:\S+)\s+<([^>]*)>\s+(<[^>]*>|_:\S+|"(?:[^"\\]|\\.)*")(?:\^\^<([^>]*)>|@([A-Za-z][A-Za-z0-9-]*))?\s*\.'
@@ -156,29 +157,69 @@ def turtle(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInArrow(_turtle_task, schema.TRIPLE).distinct()
 
 
+def _rdf_nodes(root, rows: list[tuple], file: int) -> None:
+    """Triples of the nodes of an RDF/XML document, nodes within properties and collections included."""
+    rdf = "{http://www.w3.org/1999/02/22-rdf-syntax-ns#}"
+    ns = rdf[1:-1]
+    full = lambda tag: tag[1:].replace("}", "") if tag[0] == "{" else tag
+    number = iter(range(1 << 62))
+    blank = lambda: f"_:f{file}n{next(number)}"
+
+    def node(e) -> tuple[str, str]:
+        s = e.get(rdf + "about") or (f"#{e.get(rdf + 'ID')}" if e.get(rdf + "ID") else None) or (f"_:{e.get(rdf + 'nodeID')}" if e.get(rdf + "nodeID") else None)
+        kind = "bnode" if s is None or s.startswith("_:") else "uri"
+        s = s or blank()
+        if e.tag != rdf + "Description":
+            rows.append((s, ns + "type", full(e.tag), "uri"))
+        for k, v in e.attrib.items():
+            if not k.startswith((rdf, "{http://www.w3.org/XML/1998/namespace}")):
+                rows.append((s, full(k), v, "literal"))
+        for child in e:
+            p = full(child.tag)
+            below = list(child)
+            if child.get(rdf + "resource") is not None:
+                rows.append((s, p, child.get(rdf + "resource"), "uri"))
+            elif child.get(rdf + "nodeID") is not None:
+                rows.append((s, p, f"_:{child.get(rdf + 'nodeID')}", "bnode"))
+            elif child.get(rdf + "parseType") == "Collection":
+                cells = [blank() for _ in below]
+                rows.append((s, p, cells[0] if cells else ns + "nil", "bnode" if cells else "uri"))
+                for k, x in enumerate(below):
+                    o, o_kind = node(x)
+                    rows.append((cells[k], ns + "first", o, o_kind))
+                    rows.append((cells[k], ns + "rest", cells[k + 1] if k + 1 < len(cells) else ns + "nil", "bnode" if k + 1 < len(cells) else "uri"))
+            elif below:
+                for x in below:
+                    o, o_kind = node(x)
+                    rows.append((s, p, o, o_kind))
+            else:
+                rows.append((s, p, child.text or "", "literal"))
+        return s, kind
+
+    for e in root:
+        node(e)
+
+
 def rdf_xml(spark: SparkSession, path: str) -> DataFrame:
-    """(s, p, o, o_kind) of flat RDF/XML and OWL files: described nodes with resource or literal properties."""
+    """(s, p, o, o_kind) of RDF/XML and OWL files: described nodes, nodes nested in properties, collections.
+
+    Nodes without a name get one that tells the file and the place; a file that is no XML gives nothing.
+    """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xml.etree import ElementTree
+        from zlib import crc32
 
-        rdf = "{http://www.w3.org/1999/02/22-rdf-syntax-ns#}"
-        full = lambda tag: tag[1:].replace("}", "") if tag[0] == "{" else tag
         for b in batches:
-            rows = []
-            for text in b.column(0).to_pylist():
-                for node in ElementTree.fromstring(text):
-                    s = node.get(rdf + "about") or node.get(rdf + "ID")
-                    if not s:
-                        continue
-                    if node.tag != rdf + "Description":
-                        rows.append((s, schema.RDF_TYPE, full(node.tag), "uri"))
-                    for child in node:
-                        ref = child.get(rdf + "resource")
-                        rows.append((s, full(child.tag), ref if ref is not None else (child.text or ""), "uri" if ref is not None else "literal"))
+            rows: list[tuple] = []
+            for file, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                try:
+                    _rdf_nodes(ElementTree.fromstring(text), rows, crc32(file.encode()))
+                except ElementTree.ParseError:
+                    continue
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in range(4)], ["s", "p", "o", "o_kind"])
 
-    return spark.read.text(path, wholetext=True).mapInArrow(task, "s string, p string, o string, o_kind string").distinct()
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value").mapInArrow(task, "s string, p string, o string, o_kind string").distinct()
 
 
 def triple_lines(spark: SparkSession, path: str, sep: str = "\t", prefix: str = "") -> DataFrame:
@@ -201,11 +242,59 @@ def csv(spark: SparkSession, path: str, kind=None, sep: str = ",", header: bool
     return (reader.schema(kind) if kind is not None else reader).csv(path)
 
 
-def label_map(spark: SparkSession, path: str) -> DataFrame:
-    """(key, value) of two-column files that may begin with a byte order mark; of a repeated key the last line counts."""
-    rows = spark.read.text(path).select(F.regexp_replace("value", "^﻿", "").alias("v"), F.monotonically_increasing_id().alias("n"))
-    rows = rows.select(F.trim(F.split("v", ",")[0]).alias("key"), F.trim(F.element_at(F.split("v", ","), -1)).alias("value"), "n").filter("key <> ''")
-    return last_written(rows, ["key"], ["n"]).select("key", "value")
+def csv_fields(line: Column, sep: str = ",") -> Column:
+    """Fields of a line of separated values; in quotes a separator counts for nothing and two quotes are one."""
+    cell = F.regexp_extract_all(line, F.lit(rf'("(?:[^"]|"")*"|[^{sep}]*)(?:{sep}|$)'), F.lit(1))
+    # the expression also meets the empty end of the line, unless the line ends in a separator
+    cell = F.when(F.endswith(line, F.lit(sep)), cell).otherwise(F.slice(cell, F.lit(1), F.greatest(F.size(cell) - 1, F.lit(1))))
+    bare = lambda x: F.when(F.startswith(x, F.lit('"')), F.replace(F.regexp_replace(x, '^"|"$', ""), F.lit('""'), F.lit('"'))).otherwise(x)
+    return F.transform(cell, lambda x: F.trim(bare(F.trim(x))))
+
+
+def label_map(spark: SparkSession, path: str, key: int = 0, value: int = -1) -> DataFrame:
+    """(key, value) of separated files that may begin with a byte order mark, by position of the columns.
+
+    Of a repeated key the last line of the last file, by name, counts; commas in quotes do not part fields.
+    """
+    rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split(F.regexp_replace("value", "^\ufeff", ""), r"\r?\n")).alias("n", "v"))
+    fields = csv_fields(F.col("v"))
+    at = lambda k: F.try_element_at(fields, F.lit(k + 1 if k >= 0 else k))
+    rows = rows.filter("v <> ''").select(at(key).alias("key"), at(value).alias("value"), "path", "n").filter("key <> ''")
+    return last_written(rows, ["key"], ["path", "n"]).select("key", "value")
+
+
+def positional_csv(spark: SparkSession, path: str, sep: str = ",", skip: int = 1) -> DataFrame:
+    """(path, line, fields) of separated files whose columns are told by position; the first ``skip`` lines of each are left out."""
+    rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split("value", r"\r?\n")).alias("line", "v"))
+    return rows.filter((F.col("line") >= skip) & (F.col("v") != "")).select("path", "line", csv_fields(F.col("v"), sep).alias("fields"))
+
+
+def whole_texts(spark: SparkSession, path: str) -> DataFrame:
+    """(path, text) of files, in lower case."""
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.lower("value").alias("text"))
+
+
+def binary_slot(spark: SparkSession, path: str, read, kind: str, pattern: str = "*.pdf") -> DataFrame:
+    """Rows of ``kind`` (a DDL string) that a function makes of each binary file, and its error as text.
+
+    ``read(path, content)`` yields tuples; it stands for readers that are no part of this repository (pages of a PDF, boxes or
+    a class of a picture). A file on which it fails gives one row with nulls and the error; the others are not touched.
+    """
+    names = [f.split()[0] for f in kind.split(", ")]
+
+    def task(frames):
+        import pandas as pd
+
+        for frame in frames:
+            out = []
+            for p, content in zip(frame["path"], frame["content"], strict=True):
+                try:
+                    out += [(p, None, *row) for row in read(p, bytes(content))]
+                except Exception as e:  # noqa: BLE001
+                    out.append((p, f"{type(e).__name__}: {e}", *[None] * len(names)))
+            yield pd.DataFrame(out, columns=["path", "error", *names])
+
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path).select("path", "content").mapInPandas(task, f"path string, error string, {kind}")
 
 
 def standoff(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -219,21 +308,39 @@ def standoff(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return entities, relations
 
 
-def tei(spark: SparkSession, path: str) -> DataFrame:
-    """One row per TEI document: title, abstract, doi, authors, text, and figures as (head, caption)."""
-    text = F.regexp_replace("value", r'\sxmlns(:\w+)?="[^"]*"', "")
-    rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), text.alias("x"))
-    one = lambda p: F.nullif(F.trim(F.xpath_string("x", F.lit(p))), F.lit(""))
-    many = lambda p: F.xpath("x", F.lit(p))
-    return rows.select(
-        "path",
-        one("//titleStmt/title").alias("title"),
-        one("//abstract").alias("abstract"),
-        one("//idno[@type='DOI']").alias("doi"),
-        F.array_distinct(F.zip_with(many("//author/persName/forename[1]/text()"), many("//author/persName/surname/text()"), lambda a, b: F.concat_ws(" ", a, b))).alias("authors"),
-        F.array_join(many("//body//p/text()"), " ").alias("text"),
-        F.arrays_zip(many("//figure/head/text()").alias("head"), many("//figure/figDesc/text()").alias("caption")).alias("figures"),
-    )
+TEI = "path string, title string, abstract string, doi string, authors array<string>, text string, sections array<string>, figures array<struct<head:string,caption:string>>"
+
+
+def tei(spark: SparkSession, path: str, most_sections: int = 2) -> DataFrame:
+    """One row per TEI document: title, abstract, doi, authors, text, its first sections, and figures as (head, caption).
+
+    Every value is taken from its own element with all text below it, so an element without a part has a null there and
+    no other is shifted. A file that is no XML gives no row.
+    """
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xml.etree import ElementTree
+
+        flat = lambda e: " ".join("".join(e.itertext()).split()) or None if e is not None else None
+        figure = pa.list_(pa.struct([("head", pa.string()), ("caption", pa.string())]))
+        kinds = [pa.string()] * 4 + [pa.list_(pa.string()), pa.string(), pa.list_(pa.string()), figure]
+        names = [f.split()[0] for f in TEI.split(", ")]
+        for b in batches:
+            rows = []
+            for file, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                try:
+                    root = ElementTree.fromstring(re.sub(r'\sxmlns(:\w+)?="[^"]*"', "", text))
+                except ElementTree.ParseError:
+                    continue
+                people = [" ".join(filter(None, (flat(p.find("forename")), flat(p.find("surname"))))) for p in root.iterfind(".//author/persName")]
+                body = root.find(".//body")
+                parts = [" ".join(filter(None, map(flat, d.iter("p")))) for d in (body.iterfind(".//div") if body is not None else ())]
+                figures = [{"head": flat(f.find("head")), "caption": flat(f.find("figDesc"))} for f in root.iter("figure")]
+                doi = next((flat(x) for x in root.iter("idno") if x.get("type") == "DOI"), None)
+                rows.append((file, flat(root.find(".//titleStmt/title")), flat(root.find(".//abstract")), doi, list(dict.fromkeys(filter(None, people))), " ".join(filter(None, map(flat, body.iter("p")))) if body is not None else None, parts[:most_sections], figures))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names)
+
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value").mapInArrow(task, TEI)
 
 
 def metadata_folder(spark: SparkSession, path: str) -> DataFrame:
@@ -251,10 +358,15 @@ def leaderboard(spark: SparkSession, path: str) -> DataFrame:
 
 
 def figure_captions(spark: SparkSession, path: str, images: DataFrame) -> DataFrame:
-    """(image, caption): the last figure whose rendered address names the image."""
+    """(image, caption): the last figure whose rendered address holds the image's name as one of its parts.
+
+    The address is cut at ``/``, ``?`` and ``=`` and every part is met by equality, with and without its ending.
+    """
     figures = spark.read.option("multiLine", True).schema("caption string, imageText array<string>, renderURL string").json(path)
-    figures = figures.withColumn("n", F.monotonically_increasing_id()).withColumn("image", F.element_at(F.split("renderURL", "/"), -1))
-    return images.join(last_written(figures.select("image", "caption", "n"), ["image"], ["n"]).select("image", "caption"), "image", "left")
+    figures = figures.select("caption", "renderURL", F.monotonically_increasing_id().alias("n"))
+    parts = F.split("renderURL", "[/?=&]")
+    held = figures.select("caption", "n", F.explode(F.array_distinct(F.concat(parts, F.transform(parts, lambda x: F.regexp_replace(x, r"\.\w+$", ""))))).alias("image"))
+    return images.join(last_written(held.join(images.select("image").distinct(), "image", "left_semi"), ["image"], ["n"]).select("image", "caption"), "image", "left")
 
 
 def repository(spark: SparkSession, path: str, pattern: str = "*.py") -> DataFrame:
@@ -263,6 +375,40 @@ def repository(spark: SparkSession, path: str, pattern: str = "*.py") -> DataFra
     return rows.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("code"))
 
 
+def archives(spark: SparkSession, path: str, ending: str = ".py", encoding: str = "utf-8") -> DataFrame:
+    """(archive, path, code) of the source files within zip archives; an archive that can't be opened gives nothing."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import io
+        import zipfile
+
+        for b in batches:
+            for file, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                try:
+                    inside = zipfile.ZipFile(io.BytesIO(content))
+                except zipfile.BadZipFile:
+                    continue
+                # one batch per archive, so a large one does not wait for others
+                rows = [(file, name, inside.read(name).decode(encoding, "replace")) for name in inside.namelist() if name.endswith(ending)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in range(3)], ["archive", "path", "code"])
+
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.zip").load(path)
+    return rows.select("path", "content").mapInArrow(task, "archive string, path string, code string")
+
+
+def path_context_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(name, left, path, right) of context lines: a name, then blank-separated contexts of three parts; other parts are left out."""
+    line = F.split("value", " ")
+    rows = spark.read.text(path).select(line[0].alias("name"), F.explode(F.slice(line, F.lit(2), F.greatest(F.size(line) - 1, F.lit(0)))).alias("c")).select("name", F.split("c", ",").alias("c"))
+    return rows.filter(F.size("c") == 3).select("name", F.col("c")[0].alias("left"), F.col("c")[1].alias("path"), F.col("c")[2].alias("right"))
+
+
+def tagged_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(tag, words) of lines whose first word is the tag of the document."""
+    parts = F.split("value", " ", 2)
+    return spark.read.text(path).filter("value <> ''").select(parts[0].alias("tag"), F.split(F.coalesce(F.try_element_at(parts, F.lit(2)), F.lit("")), " ").alias("words"))
+
+
 def jdbc(spark: SparkSession, url: str, name: str, **options: str) -> DataFrame:
     """A database table, read in parallel when bounds are among the options."""
     return spark.read.format("jdbc").options(url=url, dbtable=name, **options).load()
@@ -270,9 +416,6 @@ def jdbc(spark: SparkSession, url: str, name: str, **options: str) -> DataFrame:
 
 def embeddings(spark: SparkSession, vectors: str, labels: str) -> DataFrame:
     """(row, vec, label): vectors and labels of two line files of one order, joined by line number."""
-    numbered = lambda p: spark.read.text(p).select("value", F.col("_metadata.file_path").alias("f"), F.monotonically_increasing_id().alias("k"))
-    from pyspark.sql import Window
-
-    place = F.row_number().over(Window.orderBy("f", "k")) - 1
-    v = numbered(vectors).select(place.alias("row"), F.transform(F.split("value", "\t"), lambda x: x.try_cast("double")).alias("vec"))
-    return v.join(numbered(labels).select(place.alias("row"), F.split("value", "\t").alias("label")), "row")
+    line = lambda p: numbered(spark.read.text(p).select("value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("k")), ["f", "b", "k"], "row")
+    v = line(vectors).select("row", F.transform(F.split("value", "\t"), lambda x: x.try_cast("double")).alias("vec"))
+    return v.join(line(labels).select("row", F.split("value", "\t").alias("label")), "row")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from knotwork.operators.tabular import first_seen, update_by_key
+from knotwork.session import stage_table
 
 
 def watch(spark: SparkSession, path: str, kind, files_per_trigger: int = 100) -> DataFrame:
@@ -34,6 +35,12 @@ class Table:
         newest = rows.groupBy(self.key).agg(F.max_by(F.struct(*(c for c in rows.columns if c != self.key)), "_version").alias("_")).select(self.key, "_.*")
         return newest.drop("_version", "_batch")
 
+    def compact(self) -> None:
+        """Leave only the newest version of every key, so later reads and inserts follow the number of keys."""
+        rows = self.spark.read.parquet(self.path)
+        newest = stage_table(rows.groupBy(self.key).agg(F.max_by(F.struct(*(c for c in rows.columns if c != self.key)), "_version").alias("_")).select(self.key, "_.*"), "compact")
+        newest.select(*rows.columns).write.mode("overwrite").parquet(self.path)
+
     def insert(self, rows: DataFrame, order: list[str], batch: int) -> None:
         """Insert keys that are not there, the first row of each; a batch that was written before adds nothing."""
         new = first_seen(rows.filter(F.col(self.key).isNotNull()), [self.key], order)
@@ -66,6 +73,38 @@ def ingest(stream: DataFrame, target: Table, order: list[str], checkpoint: str,
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
+def attempted(rows: DataFrame, key: str, run: Callable[[dict], None], columns: list[str]) -> DataFrame:
+    """(key, status, err_msg): what became of each row when ``run`` was called with it as a dictionary.
+
+    An error of one row is its message and stops no other; rows are handled in Arrow batches where they lie.
+    """
+    kind = dict(rows.dtypes)[key]
+
+    def task(frames):
+        import pandas as pd
+
+        for frame in frames:
+            out = []
+            for row in frame.to_dict("records"):
+                try:
+                    run(row)
+                    out.append((row[key], "success", None))
+                except Exception as e:  # noqa: BLE001
+                    out.append((row[key], "error", f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(out, columns=[key, "status", "err_msg"])
+
+    return rows.select(*dict.fromkeys([key, *columns])).mapInPandas(task, f"{key} {kind}, status string, err_msg string")
+
+
+def report(target: Table, column: str, send: Callable[[list[tuple]], None] | None, most: int = 1000) -> list[tuple]:
+    """Rows per value of a column of the table, largest first; they are also sent where a callback is given. Off by default."""
+    rows = target.read()
+    counts = [] if rows is None else [tuple(r) for r in rows.groupBy(column).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), column).limit(most).collect()]
+    if send is not None and counts:
+        send(counts)
+    return counts
+
+
 def windowed(events: DataFrame, length: str = "1 hour", slide: str | None = None, late: str = "10 minutes") -> DataFrame:
     """Events and their values per window and type; late events beyond ``late`` are left out in a stream."""
     window = F.window("ts", length, slide) if slide else F.window("ts", length)
