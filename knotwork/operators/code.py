@@ -599,8 +599,8 @@ def queries() -> dict:
         "code_path_contexts": lambda s, d: context_counts(repo(s, d)),
         "code_function_lines": lambda s, d: function_lines(repo(s, d)),
         "code_api_matches": lambda s, d: api_matches(
-            facts(repo(s, d)).filter("kind = 'calls'").select(F.col("dst").alias("call")),
-            facts(repo(s, d)).filter("kind in ('imports', 'calls') and contains(dst, '.')").select(F.col("dst").alias("name")),
+            facts(repo(s, d)).filter("kind = 'calls'").select(F.regexp_replace("dst", r"^\*\.", "").alias("call")),
+            facts(repo(s, d)).filter("kind in ('imports', 'calls') and contains(dst, '.') and not startswith(dst, '*')").select(F.col("dst").alias("name")),
         ),
     }
 

@@ -156,7 +156,8 @@ def queries() -> dict:
         "conflict_free_vocab": lambda s, d: conflict_free(named(s, d).distinct(), "term", "type"),
         "relation_union_first_wins": merged,
         "minted_uris": minted,
-        "caption_filter": lambda s, d: table(s, d, "documents").filter(is_diagram_caption(F.substring_index("text", "\n", 1))).select("doc_id"),
+        "caption_filter": lambda s, d: table(s, d, "documents").filter(is_diagram_caption(F.col("text"))).select("doc_id"),
+        "cast_columns": lambda s, d: cast_all(table(s, d, "paper").select("paper_id", "stars", "pdate", "tags").drop("tags"), "double"),
         "abstract_between_markers": lambda s, d: table(s, d, "documents").select("doc_id", between_markers(F.col("text"), "in practice", "on average").alias("abstract")).filter("abstract is not null"),
         "sota_explode": _leaderboard,
         "first_seen_label": lambda s, d: first_seen(table(s, d, "orders").select("o_custkey", "o_orderpriority", "o_orderkey"), ["o_custkey"], ["o_orderkey"]),
@@ -178,7 +179,8 @@ def oracle_sql() -> dict[str, str]:
         "conflict_free_vocab": f"WITH {named} SELECT term, type FROM one",
         "relation_union_first_wins": f"WITH {named} SELECT variant AS term, 'Method' AS type FROM layer_type_stardard UNION SELECT term, type FROM one WHERE term NOT IN (SELECT variant FROM layer_type_stardard)",
         "minted_uris": f"WITH {named} SELECT DISTINCT term, 'http://example.org/term/' || replace(term, ' ', '_') AS uri FROM named WHERE regexp_full_match(term, '[a-z ]+') AND term NOT IN (SELECT variant FROM layer_type_stardard)",
-        "caption_filter": "SELECT doc_id FROM (SELECT doc_id, lower(split_part(text, chr(10), 1)) AS c FROM documents) WHERE regexp_matches(c, 'diagram|network|framework|flowchart|flow chart|architecture') AND NOT regexp_matches(c, 'result|plot|graph|image|dataset')",
+        "cast_columns": "SELECT CAST(paper_id AS DOUBLE) AS paper_id, TRY_CAST(trim(stars) AS DOUBLE) AS stars, TRY_CAST(trim(pdate) AS DOUBLE) AS pdate FROM paper",
+        "caption_filter": "SELECT doc_id FROM (SELECT doc_id, lower(text) AS c FROM documents) WHERE regexp_matches(c, 'diagram|network|framework|flowchart|flow chart|architecture') AND NOT regexp_matches(c, 'result|plot|graph|image|dataset')",
         "abstract_between_markers": "SELECT doc_id, string_split(string_split(t, 'in practice')[2], 'on average')[1] AS abstract FROM (SELECT doc_id, lower(text) AS t FROM documents) WHERE instr(t, 'in practice') > 1 AND instr(t, 'on average') > 1",
         "sota_explode": "SELECT r_name AS task, n_name AS dataset, s_name AS paper_url FROM region JOIN nation ON n_regionkey = r_regionkey JOIN supplier ON s_nationkey = n_nationkey",
         "first_seen_label": "SELECT o_custkey, min_by(o_orderpriority, o_orderkey) AS o_orderpriority, min(o_orderkey) AS o_orderkey FROM orders GROUP BY o_custkey",

@@ -73,7 +73,7 @@ def queries() -> dict:
         lines = F.array(F.concat_ws("\t", F.concat(F.lit("T"), "l_orderkey"), F.concat(F.lit("Method "), "l_orderkey", F.lit(" "), F.col("l_orderkey") + 4), F.concat(F.lit("word"), "l_orderkey")), F.concat(F.lit("R"), "l_orderkey", F.lit("\tUsed-for Arg1:T"), "l_orderkey", F.lit(" Arg2:T1")))
         path = _text(rows.select("l_linenumber", F.explode(lines).alias("value")), "ann", "l_linenumber")
         entities, relations = readers.standoff(s, f"{path}/*/*.txt")
-        return relations.join(entities.select("doc", F.col("id").alias("arg1"), "start", "end", "text"), ["doc", "arg1"]).groupBy("rel", "arg1", "arg2", "start", "end", "text").agg(F.count(F.lit(1)).alias("n"))
+        return relations.join(entities.select(F.col("id").alias("arg1"), "start", "end", "text").distinct(), "arg1").groupBy("rel", "arg1", "arg2", "start", "end", "text").agg(F.count(F.lit(1)).alias("n"))
 
     def owl(s, d):
         head = '<rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns:k="http://k.example/">'
