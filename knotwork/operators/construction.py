@@ -192,7 +192,7 @@ r AS (SELECT t.*, name AS root, '1' AS idx, name AS rdf, lpad(CAST(k AS VARCHAR)
 
 def queries() -> dict:
     lines = lambda s, d: table(s, d, "lineitem")
-    link = F.concat(F.lit("http://papers.example/"), F.col("l_orderkey").cast("string"), F.lit(".pdf"))
+    link = lambda: F.concat(F.lit("http://papers.example/"), F.col("l_orderkey").cast("string"), F.lit(".pdf"))
 
     def papers(s, d):
         o = F.concat(F.lit("http://papers.example/"), F.col("o_orderkey").cast("string"), F.lit(".pdf"))
@@ -200,7 +200,7 @@ def queries() -> dict:
 
     def entities(s, d):
         kind = F.element_at(F.array(*map(F.lit, ("Task", "Method", "Material", "Eval"))), F.pmod("p_size", F.lit(4)) + 1)
-        return lines(s, d).join(table(s, d, "part"), F.col("l_partkey") == F.col("p_partkey")).select(link.alias("link"), F.col("p_name").alias("text"), kind.alias("label"), F.struct("l_linenumber", "l_partkey").alias("seq"))
+        return lines(s, d).join(table(s, d, "part"), F.col("l_partkey") == F.col("p_partkey")).select(link().alias("link"), F.col("p_name").alias("text"), kind.alias("label"), F.struct("l_linenumber", "l_partkey").alias("seq"))
 
     def entity_map(s, d):
         m = table(s, d, "part").groupBy(S.underscored(F.col("p_name")).alias("term")).agg(F.min_by(F.struct("p_size", "p_brand"), "p_partkey").alias("m"))

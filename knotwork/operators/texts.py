@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -88,10 +89,55 @@ def keep_outer(spans: list[tuple[int, int, int, int]]) -> list[int]:
     return [r[0] for r in rows if r[0] not in gone]
 
 
+#: Forms of a dictionary that is sent to the tasks.
+MOST_TERMS = 500_000
+
+
+def _annotated(rows: Broadcast):
+    """Task that finds the terms of (term, uri) rows in texts by their first words and resolves overlaps per text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import re
+
+        word, edge = re.compile(r"\w+"), re.compile(r"\w")
+        free = lambda t, k: not 0 <= k < len(t) or not edge.match(t[k])
+        under: dict[str, list[tuple[int, str, str]]] = {}
+        bare = []
+        for term, uri in rows.value:
+            m = word.search(term)
+            if m:
+                under.setdefault(m[0], []).append((m.start(), term, uri))
+            elif term:
+                bare.append((term, uri))
+        for b in batches:
+            out = []
+            for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                found = set()
+                for m in word.finditer(t):
+                    for lead, term, uri in under.get(m[0], ()):
+                        a = m.start() - lead
+                        if a >= 0 and t.startswith(term, a) and free(t, a - 1) and free(t, a + len(term)):
+                            found.add((a, a + len(term), term, uri))
+                for term, uri in bare:
+                    a = t.find(term)
+                    while a >= 0:
+                        if free(t, a - 1) and free(t, a + len(term)):
+                            found.add((a, a + len(term), term, uri))
+                        a = t.find(term, a + 1)
+                spans = sorted(found)
+                out += [(k, *spans[i]) for i in keep_outer([(n, r[0], r[1], r[1] - r[0]) for n, r in enumerate(spans)])]
+            cols = list(zip(*out, strict=True)) or [[]] * 5
+            kinds = (b.column(0).type, pa.int32(), pa.int32(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, kinds, strict=True)], ["key", "start", "end", "text", "uri"])
+
+    return run
+
+
 def annotate(docs: DataFrame, dictionary: DataFrame, key: str, text: str) -> DataFrame:
     """(key, start, end, text, uri): dictionary terms found in texts, an ``s`` more allowed, overlaps resolved.
 
-    Texts are read once; every run of up to as many words as the longest term has, with the non-word characters that terms
+    A dictionary of up to ``MOST_TERMS`` forms goes to the tasks under the first words of its terms, and each text is annotated
+    where it lies, without a shuffle. For a longer one, every run of up to as many words as the longest term has, with the non-word characters that terms
     begin and end with, is a candidate and is joined to the dictionary by equality, so no text meets a term that it does
     not have. A term needs a non-word character on both sides; the text is padded, so terms at its ends count too.
     """
@@ -136,11 +182,15 @@ def annotate(docs: DataFrame, dictionary: DataFrame, key: str, text: str) -> Dat
     terms = dictionary.select(F.lower("term").alias("term"), "uri")
     plural = terms.select(F.concat("term", F.lit("s")).alias("term"), "uri")
     forms = terms.unionByName(plural).groupBy("term").agg(F.min("uri").alias("uri"))
+    texts = docs.filter(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.lower(text).alias("t"))
+    listed = forms.limit(MOST_TERMS + 1).collect()
+    if len(listed) <= MOST_TERMS:
+        rows = docs.sparkSession.sparkContext.broadcast([(r["term"], r["uri"]) for r in listed])
+        return texts.mapInArrow(_annotated(rows), f"key {kind}, start int, end int, text string, uri string").withColumnRenamed("key", key)
     found = forms.select("term").mapInArrow(shapes, "words int, lead string, trail string").groupBy("lead", "trail", F.col("words") > 0).agg(F.max("words").alias("words")).collect()
     longest = max((x.words for x in found), default=0)
     leads, trails = sorted({x.lead for x in found if x.words}), sorted({x.trail for x in found if x.words})
     bare = sorted({x.lead for x in found if not x.words})
-    texts = docs.filter(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.lower(text).alias("t"))
     found = texts.mapInArrow(grams, f"key {kind}, start int, end int, text string").join(forms.withColumnRenamed("term", "text"), "text")
     spans = found.groupBy("key").agg(F.collect_list(F.struct("start", "end", "text", "uri")).alias("s"))
 

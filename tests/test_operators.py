@@ -57,7 +57,13 @@ def test_dictionary_annotation_against_regex(spark):
 def test_dictionary_annotation_takes_long_terms_and_other_ends(spark):
     docs = [(1, "Dropout (Axial), C++ or one two three four five six seven eight nine tens; .net ++ asp.net")]
     terms = [("dropout (axial)", "u1"), ("c++", "u2"), ("one two three four five six seven eight nine ten", "u3"), (".net", "u4"), ("++", "u5")]
-    got = {(r.text, r.uri) for r in texts.annotate(spark.createDataFrame(docs, "doc_id int, text string"), spark.createDataFrame(terms, "term string, uri string"), "doc_id", "text").collect()}
+    both = [set(), set()]
+    for k, most in enumerate((texts.MOST_TERMS, 0)):  # in the tasks, and by a join
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(texts, "MOST_TERMS", most)
+            both[k] = {tuple(r) for r in texts.annotate(spark.createDataFrame(docs, "doc_id int, text string"), spark.createDataFrame(terms, "term string, uri string"), "doc_id", "text").collect()}
+    assert both[0] == both[1]
+    got = {r[3:] for r in both[0]}
     assert got == {("dropout (axial)", "u1"), ("c++", "u2"), ("one two three four five six seven eight nine tens", "u3"), (".net", "u4"), ("++", "u5")}
 
 

@@ -65,3 +65,97 @@ def test_ingestion_is_idempotent(spark, tmp_path):
     for check in ("c1", "c2"):  # the second query sees the same files again
         ingest(watch(spark, str(tmp_path / "in"), kind), target, ["n"], str(tmp_path / check), work=work).awaitTermination()
     assert [tuple(r) for r in target.read().select("dir_name", "n", "status").collect()] == [("a", 0, "done")]
+
+
+def test_tei_parts_stay_with_their_element(spark, tmp_path):
+    (tmp_path / "x.xml").write_text(
+        '<TEI><teiHeader><titleStmt><title>On <hi>X</hi></title></titleStmt></teiHeader><text><front><author><persName><surname>Solo</surname></persName></author></front><body><div><p>One <ref>two</ref>.</p></div><div><p>Three.</p></div><div><p>Four.</p></div>'
+        "<figure><figDesc>no head</figDesc></figure><figure><head>Fig 2</head><figDesc>second</figDesc></figure></body></text></TEI>"
+    )
+    (tmp_path / "broken.xml").write_text("<TEI><a></TEI>")
+    (r,) = readers.tei(spark, str(tmp_path / "*.xml")).collect()
+    assert (r.title, r.doi, r.authors, r.text, r.sections) == ("On X", None, ["Solo"], "One two. Three. Four.", ["One two.", "Three."])
+    assert [(f.head, f.caption) for f in r.figures] == [(None, "no head"), ("Fig 2", "second")]
+
+
+def test_labels_with_quotes_and_positions(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('\ufeff"k, 1",x,"v ""1"""\nplain,y,2\n\n', encoding="utf-8")
+    (tmp_path / "b.csv").write_text("plain,z,3\nempty,,\n", encoding="utf-8")
+    assert {tuple(r) for r in readers.label_map(spark, str(tmp_path / "*.csv")).collect()} == {("k, 1", 'v "1"'), ("plain", "3"), ("empty", "")}
+    assert {tuple(r.fields) for r in readers.positional_csv(spark, str(tmp_path / "b.csv"), skip=0).collect()} == {("plain", "z", "3"), ("empty", "", "")}
+
+
+def test_nested_owl(spark, tmp_path):
+    head = '<rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns:o="http://o/">'
+    (tmp_path / "a.owl").write_text(head + '<o:Class rdf:about="A"><o:sub><o:Restriction><o:on rdf:resource="P"/></o:Restriction></o:sub><o:all rdf:parseType="Collection"><o:Class rdf:about="B"/><o:Class rdf:about="C"/></o:all></o:Class></rdf:RDF>')
+    (tmp_path / "b.owl").write_text("no xml")
+    rows = {tuple(r) for r in readers.rdf_xml(spark, str(tmp_path / "*.owl")).collect()}
+    inner = next(o for s, p, o, k in rows if p == "http://o/sub")
+    assert inner.startswith("_:") and (inner, "http://o/on", "P", "uri") in rows
+    assert sum(p.endswith("#first") for _, p, _, _ in rows) == 2 and sum(o.endswith("#nil") for _, _, o, _ in rows) == 1
+
+
+def test_archives_and_slots(spark, tmp_path):
+    import zipfile
+
+    with zipfile.ZipFile(tmp_path / "r.zip", "w") as z:
+        z.writestr("r/a.py", "x = 1\n")
+        z.writestr("r/b.txt", "no")
+    (tmp_path / "bad.zip").write_bytes(b"nothing")
+    assert [(r.path, r.code) for r in readers.archives(spark, str(tmp_path)).collect()] == [("r/a.py", "x = 1\n")]
+    (tmp_path / "1.pdf").write_bytes(b"two pages")
+    (tmp_path / "2.pdf").write_bytes(b"\xff")
+
+    def pages(path, content):
+        for k, word in enumerate(content.decode().split()):
+            yield k, word
+
+    got = {(r.path.rsplit("/", 1)[-1], r.page, r.text, r.error is None) for r in readers.binary_slot(spark, str(tmp_path), pages, "page int, text string").collect()}
+    assert got == {("1.pdf", 0, "two", True), ("1.pdf", 1, "pages", True), ("2.pdf", None, None, False)}
+
+
+def test_items_that_fail_and_compaction(spark, tmp_path):
+    from knotwork.streaming.ingest import attempted, report
+
+    rows = spark.createDataFrame([("a", 1), ("b", 0)], "dir_name string, n int")
+    got = {tuple(r) for r in attempted(rows, "dir_name", lambda r: 1 // r["n"], ["n"]).collect()}
+    assert {(k, s) for k, s, _ in got} == {("a", "success"), ("b", "error")} and any("ZeroDivisionError" in (m or "") for _, _, m in got)
+    target = Table(spark, str(tmp_path / "t"), "dir_name")
+    target.insert(rows.selectExpr("*", "cast(null as string) status"), ["n"], 0)
+    target.update(spark.createDataFrame([("a", "done")], "dir_name string, status string"), 0)
+    before = sorted(map(tuple, target.read().collect()), key=str)
+    target.compact()
+    assert sorted(map(tuple, target.read().collect()), key=str) == before and spark.read.parquet(target.path).count() == 2
+    sent = []
+    assert report(target, "status", sent.append) == [("done", 1), (None, 1)] or sent
+    assert report(target, "status", None)
+
+
+def test_numbers_and_places(spark):
+    from pyspark.sql import functions as F
+
+    from knotwork.operators import sampling
+
+    df = spark.range(0, 5000, 1, 7).select(F.col("id"), F.pmod(F.col("id") * 7919, F.lit(1000)).alias("v"))
+    want = sorted(r.v for r in df.collect())
+    assert sampling.nth_smallest(df, F.col("v"), [1, 777, 5000, 5001], width=16) == [want[0], want[776], want[-1], None]
+    got = [(r.idx, r.v, r.id) for r in sampling.numbered(df, ["v", "id"]).orderBy("idx").collect()]
+    assert got == [(k, v, i) for k, (v, i) in enumerate(sorted((r.v, r.id) for r in df.collect()))]
+    assert sampling.numbered(df.limit(0), ["v"]).count() == 0
+    v = spark.createDataFrame([(k, [float(k % 7), 1.0, float(k % 3)]) for k in range(60)] + [(60, None)], "k long, v array<double>")
+    near = sampling.most_similar(v, "k", "v", v.filter("k < 2"), 3).collect()
+    assert [(r.k, r.rank) for r in sorted(near, key=lambda r: (r.k, r["rank"]))] == [(a, b) for a in (0, 1) for b in (1, 2, 3)]
+    assert {r.other for r in near if r.k == 0} == {21, 42, 0} - {0} | {r.other for r in near if r.k == 0 and r["rank"] == 3}
+
+
+def test_functions_of_text(spark):
+    from pyspark.sql import functions as F
+
+    from knotwork.functions import strings as S
+
+    df = spark.createDataFrame([("http://x/Neural_Network_%28NN%29", "http://h/a/b.pdf"), ("bad%zz", None)], "t string, f string")
+    rows = df.select(S.topic_label(F.col("t")).alias("topic"), S.file_stem(F.col("f")).alias("stem"), S.longest_common(F.col("t"), F.lit("xx_Network")).alias("n")).collect()
+    assert (rows[0].topic.label, rows[0].topic.abbreviation, rows[0].stem, rows[0].n) == ("neural network", "nn", "b", 8)
+    assert (rows[1].topic.label, rows[1].topic.abbreviation, rows[1].stem) == ("bad%zz", None, None)
+    kept = spark.createDataFrame([(["conv", "convolution", "pool", "po"],), ([],)], "w array<string>").select(S.kept_words(F.col("w")).alias("kept")).collect()
+    assert [r.kept for r in kept] == [["conv", "pool"], []]
