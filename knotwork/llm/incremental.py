@@ -386,6 +386,14 @@ class HashStore:
         self._commit()
         return self.verdicts().join(ids.withColumnRenamed("paper_id", "paper_id_b"), "paper_id_b", "left_semi").select("paper_id_a", "paper_id_b")
 
+    def close(self, remove: bool = False) -> None:
+        """Take the tables out of the catalog; their files stay for the next session unless they are to be removed."""
+        for t in self.TABLES:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.name}_{t}")
+        if remove:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
     def verdicts(self) -> DataFrame:
         """(paper_id_a, paper_id_b): every row of a known work so far with the accepted row of that work."""
         return self._read("works").filter("root <> paper_id").select(F.col("root").alias("paper_id_a"), F.col("paper_id").alias("paper_id_b"))
@@ -399,4 +407,6 @@ def found(paper: DataFrame) -> DataFrame:
     store = HashStore(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}", max(6, -(-hashes // BUCKET_ROWS)), learned_marks(paper))
     for r in batches:
         store.check_batch(paper.filter(F.col("batch_no").eqNullSafe(F.lit(r["batch_no"]))))
-    return store.verdicts()
+    out = stage_table(store.verdicts(), "works")
+    store.close(remove=True)
+    return out
