@@ -58,10 +58,15 @@ def rates(repo: DataFrame) -> DataFrame:
 def reported(repo: DataFrame, metadata: DataFrame) -> DataFrame:
     """Broken files with their error, and whether an ``err_msg`` of the repository names the file.
 
-    Messages are grouped by repository before the join, so repeated metadata rows change nothing.
+    A message names a file by its name, or by a path that ends like that of the file or the other way round. The names
+    are cut out of the messages and met by equality, each once per repository, so neither a repository with very many
+    messages nor one with very many files makes pairs.
     """
-    bad = verdicts(repo).filter(F.col("error").isNotNull())
-    told = metadata.filter(F.col("err_msg").isNotNull()).groupBy(F.col("dir_name").alias("stored_dir_name")).agg(F.collect_set("err_msg").alias("messages"))
-    base = F.element_at(F.split("code_path", "/"), -1)
-    names = F.coalesce(F.exists("messages", lambda m: F.contains(m, F.col("code_path")) | F.contains(m, F.concat(F.lit("("), base)) | F.contains(m, F.concat(F.lit('"'), base))), F.lit(False))
-    return bad.join(told, "stored_dir_name", "left").select("file_id", "stored_dir_name", "language", "error_line", "error", names.alias("is_reported"))
+    bad = verdicts(repo).filter(F.col("error").isNotNull()).withColumn("name", F.element_at(F.split("code_path", "/"), -1))
+    words = F.regexp_extract_all(F.replace("err_msg", F.lit("\\"), F.lit("/")), F.lit(rf"([\w./~-]*[\w-]\.(?i:{'|'.join(LANGUAGES)}))\b"), F.lit(1))
+    told = metadata.filter(F.col("err_msg").isNotNull()).select(F.col("dir_name").alias("stored_dir_name"), F.explode(words).alias("word")).distinct()
+    told = told.withColumn("name", F.element_at(F.split("word", "/"), -1))
+    path = F.concat(F.lit("/"), F.col("code_path"))
+    same = F.endswith(path, F.concat(F.lit("/"), F.ltrim(F.col("word"), F.lit("./~")))) | F.endswith(F.col("word"), path)
+    met = bad.join(told, ["stored_dir_name", "name"]).filter(same).select("file_id").distinct().withColumn("is_reported", F.lit(True))
+    return bad.join(met, "file_id", "left").select("file_id", "stored_dir_name", "language", "error_line", "error", F.coalesce("is_reported", F.lit(False)).alias("is_reported"))
