@@ -53,6 +53,7 @@ def publication_graph(spark: SparkSession, d: str) -> Graph:
                 uri("ent/", "l_orderkey", "l_partkey"),
                 {"type": klass, "hasText": F.col("p_name"), "hasCSOEquivalent": F.when((F.col("p_size") % 2 == 0) | (F.col("p_size") % 6 == 1), uri("cso/", "p_brand"))},
                 "ent/",
+                {"hasEntity": uri("pub/", "l_orderkey")},
             ),
             PropertyTable(shown, uri("comp/", "l_orderkey", "l_partkey"), {"partOf": uri("fig/", "l_orderkey"), "hasCSOEquivalent": uri("cso/", "p_brand")}, "comp/"),
         ],

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from knotwork.operators.sampling import running_sums
 from knotwork.session import table
 
 
@@ -45,16 +46,14 @@ def span_scores(gold: DataFrame, found: DataFrame, keys: tuple[str, ...] = ("doc
 def auc(df: DataFrame, score: str, positive: str) -> DataFrame:
     """Area under the ROC curve by rank sums, ties shared; scores are counted first, so each distinct score is one row."""
     c = df.groupBy(score).agg(F.sum(F.col(positive).cast("long")).alias("p"), F.sum((~F.col(positive)).cast("long")).alias("n"))
-    below = F.sum("n").over(Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1))
-    won = c.select("p", "n", F.coalesce(below, F.lit(0)).alias("below"))
+    won = running_sums(c, [score], {"upto": "n"}).select("p", "n", (F.col("upto") - F.col("n")).alias("below"))
     return won.agg(F.round(F.sum(F.col("p") * (F.col("below") + F.col("n") / 2)) / (F.sum("p") * F.sum("n")), 6).alias("auc"))
 
 
 def average_precision(df: DataFrame, score: str, positive: str) -> DataFrame:
     """Average precision: precision at each distinct score times the recall gained there."""
     c = df.groupBy(score).agg(F.sum(F.col(positive).cast("long")).alias("p"), F.count(F.lit(1)).alias("t"))
-    w = Window.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    run = c.select("p", F.sum("p").over(w).alias("cp"), F.sum("t").over(w).alias("ct"))
+    run = running_sums(c, [F.desc(score)], {"cp": "p", "ct": "t"})
     return run.agg(F.round(F.sum(F.col("p") * F.col("cp") / F.col("ct")) / F.sum("p"), 6).alias("average_precision"))
 
 

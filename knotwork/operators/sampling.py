@@ -29,6 +29,20 @@ def numbered(df: DataFrame, order: list, name: str = "idx") -> DataFrame:
     return rows.join(F.broadcast(first), "_r").withColumn(name, F.col("_f") + F.col("_k")).drop("_r", "_k", "_f")
 
 
+def running_sums(df: DataFrame, order: list, columns: dict[str, str]) -> DataFrame:
+    """Rows with sums of columns up to and with the row in an order that tells all rows apart: {new column: column}.
+
+    The rows are sorted by ranges and written; sums within a range are added to the sums of all ranges before it, of which
+    there is one small row each, so no task holds all rows.
+    """
+    rows = stage_table(df.orderBy(*order).withColumn("_r", F.spark_partition_id()), "running")
+    totals = rows.groupBy("_r").agg(*(F.sum(c).alias(f"_{n}") for n, c in columns.items()))
+    before = Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    first = totals.select("_r", *(F.coalesce(F.sum(f"_{n}").over(before), F.lit(0)).alias(f"_{n}") for n in columns))
+    inside = Window.partitionBy("_r").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.join(F.broadcast(first), "_r").select(*df.columns, *((F.col(f"_{n}") + F.sum(c).over(inside)).alias(n) for n, c in columns.items()))
+
+
 def most_similar(vectors: DataFrame, key: str, vector: str, asked: DataFrame, top: int = 10, most: int = 200_000, digits: int = 6) -> DataFrame:
     """(key, rank, other, score): for each asked row the ``top`` rows of the highest cosine, itself not among them.
 

@@ -9,7 +9,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from knotwork.session import table
+from knotwork.session import stage_table, table
 
 
 def words(c: Column) -> Column:
@@ -20,14 +20,14 @@ def words(c: Column) -> Column:
 def tfidf(docs: DataFrame, key: str, text: str, min_df: int = 1) -> DataFrame:
     """(key, term, weight): counts times smooth inverse document frequency, each document to unit length.
 
-    Term counts are aggregated per document first; document frequencies are joined back by term.
+    Term counts are aggregated per document once and written; document frequencies are joined back by term.
     """
-    counts = docs.select(key, F.explode(words(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
-    n = docs.agg(F.count(F.lit(1)).alias("n")).first()["n"]
+    counts = stage_table(docs.select(key, F.explode(words(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf")), "counts")
+    n = docs.count()
     df = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") >= min_df)
     raw = counts.join(df, "term").withColumn("w", F.col("tf") * (F.ln((1 + F.lit(n)) / (1 + F.col("df"))) + 1))
-    norms = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norms, key).select(key, "term", F.round(F.col("w") / F.col("norm"), 6).alias("weight"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
+    return raw.select(key, "term", F.round(F.col("w") / norm, 6).alias("weight"))
 
 
 def sentences(docs: DataFrame, key: str, text: str) -> DataFrame:

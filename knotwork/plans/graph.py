@@ -24,12 +24,17 @@ from pyspark.sql import functions as F
 
 @dataclass
 class PropertyTable:
-    """One row per subject: ``columns`` gives the object of each predicate (null: no triple)."""
+    """One row per subject: ``columns`` gives the object of each predicate (null: no triple).
+
+    ``owners`` gives, for predicates of which a subject of this table is the object exactly once, the subject of that triple;
+    a pattern of such a predicate is then answered by the scan of the star itself, without its edge table.
+    """
 
     rows: Callable[[], DataFrame]
     subject: Column
     columns: dict[str, Column]
     prefix: str = ""
+    owners: dict[str, Column] = field(default_factory=dict)
 
 
 @dataclass
@@ -118,7 +123,7 @@ class Graph:
         return out
 
 
-def _scan_star(table: PropertyTable, subject: str, group: list[Pattern], filters: dict[str, list[Callable[[Column], Column]]]) -> DataFrame:
+def _scan_star(table: PropertyTable, subject: str, group: list[Pattern], filters: dict[str, list[Callable[[Column], Column]]], owned: Sequence[Pattern] = ()) -> DataFrame:
     rows = table.rows()
     columns: dict[str, Column] = {}
     conditions = []
@@ -135,6 +140,11 @@ def _scan_star(table: PropertyTable, subject: str, group: list[Pattern], filters
             conditions.append(columns[q.o] == value)
         else:
             columns[q.o] = value
+    for q in owned:
+        owner = table.owners[q.p].cast("string")
+        conditions.append(owner.isNotNull() if is_var(q.s) and q.s not in columns else owner == (columns[q.s] if is_var(q.s) else q.s))
+        if is_var(q.s):
+            columns.setdefault(q.s, owner)
     for v, tests in filters.items():
         if v in columns:
             conditions += [t(columns[v]) for t in tests]
@@ -182,13 +192,14 @@ def bind(graph: Graph, patterns: Sequence[Pattern], filters: dict[str, list[Call
         other = [e for e in graph.edges if fits(e, subject) and e.predicate in {q.p for q in own} and all(q.p in {x.predicate for x in graph.edges if x.prefix == e.prefix} for q in group)]
         if other and len(group) == len(own):
             continue
-        scans = [_scan_star(t, subject, own, filters) for t in able]
+        owned = [q for q in left if q.o == subject and q.s != subject and not q.star and len(able) == 1 and q.p in able[0].owners and is_var(subject)]
+        scans = [_scan_star(t, subject, own, filters, owned) for t in able]
         rel = scans[0]
         for x in scans[1:]:
             rel = rel.unionByName(x)
-        fixed = sum(not is_var(q.o) or q.o in filters for q in own) + (not is_var(subject))
+        fixed = sum(not is_var(q.o) or q.o in filters for q in own) + sum(not is_var(q.s) for q in owned) + (not is_var(subject))
         relations.append((fixed, rel))
-        left = [q for q in left if q not in own]
+        left = [q for q in left if q not in own and q not in owned]
     for q in left:
         parts = [_scan_star(t, q.s, [q], filters) for t in graph.properties if q.p in t.columns and fits(t, q.s)]
         parts += [_scan_edge(e, q, filters) for e in graph.edges if e.predicate == q.p and fits(e, q.s)]
