@@ -22,7 +22,8 @@ bytes per paragraph) is written once to the shared folder, so texts are read onc
 of a repository meet its files as one row, so a repository that holds a third of all files makes no pairs.
 
 Defined results: null or empty ``code`` is no case; notebooks and XML have no shapes, JSON only that of pinned versions;
-whole texts are read; line ends do not matter; repeated rows give one row of ``found``; attribute files are no cases.
+whole texts are read; line ends do not matter; repeated rows give one row of ``found``, and of
+different rows with one file_id the one with the least hash counts; attribute files are no cases.
 """
 
 from __future__ import annotations
@@ -37,6 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from knotwork.operators.tabular import first_seen
 from knotwork.session import stage_table
 
 #: Share and number of declared files from which on a pattern is adopted, and the step of shapes.
@@ -49,7 +51,7 @@ COPY_SHARE, PARAGRAPH = 0.5, 60
 MARKERS = ("^ @generated", "not edit", "^ autogenerated", "automatically generated")
 
 EVIDENCE = (
-    "file_id long, stored_dir_name string, code_path string, bundled string, notes array<long>, shapes array<struct<shape:string,step:int>>, "
+    "file_id long, stored_dir_name string, code_path string, row long, bundled string, notes array<long>, shapes array<struct<shape:string,step:int>>, "
     "prints array<struct<h:long,n:int>>, attributes string"
 )
 
@@ -210,7 +212,7 @@ def bundled_kind(path: str) -> str | None:
 
 def _evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     prints_type, shapes_type = pa.list_(pa.struct([("h", pa.int64()), ("n", pa.int32())])), pa.list_(pa.struct([("shape", pa.string()), ("step", pa.int32())]))
-    keep = ["file_id", "stored_dir_name", "code_path"]
+    keep = ["file_id", "stored_dir_name", "code_path", "row"]
     for b in batches:
         kinds, pairs, steps, prints, attributes = [], [], [], [], []
         for path, code in zip(b.column("code_path").to_pylist(), b.column("code").to_pylist(), strict=True):
@@ -309,8 +311,9 @@ def mined_shapes(seen: DataFrame) -> dict[str, int]:
 
 def reasons(repo: DataFrame) -> DataFrame:
     """(file_id, stored_dir_name, code_path, reason) for every file that is not hand-written."""
-    files = repo.filter(F.col("code").isNotNull() & (F.length(F.trim("code")) > 0) & F.col("file_id").isNotNull()).select("file_id", "stored_dir_name", "code_path", "code")
-    seen = stage_table(files.mapInArrow(_evidence, EVIDENCE).dropDuplicates(["file_id"]), "evidence")
+    files = repo.filter(F.col("code").isNotNull() & (F.length(F.trim("code")) > 0) & F.col("file_id").isNotNull()).select("file_id", "stored_dir_name", "code_path", "code", F.xxhash64("code_path", "code").alias("row"))
+    seen = first_seen(files.mapInArrow(_evidence, EVIDENCE), ["file_id"], ["row"])
+    seen = stage_table(seen, "evidence")
     if seen.filter("attributes is not null").isEmpty():
         seen = seen.withColumn("declared", F.lit(None).cast("string"))
     else:
