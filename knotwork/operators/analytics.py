@@ -31,7 +31,7 @@ def publication_graph(spark: SparkSession, d: str) -> Graph:
         nation = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "n_nationkey", "n_name")
         rows = lines().select("l_orderkey", "l_linenumber", "l_suppkey").join(nation, F.col("l_suppkey") == F.col("s_suppkey"))
         kind = F.when(F.col("n_nationkey") == 0, "UserDefined").otherwise(F.concat(F.lit("tf/"), "n_name"))
-        return rows.select(uri("fn/", "l_orderkey", "l_linenumber").alias("s"), kind.alias("o"))
+        return rows.select(uri("fn/", "l_orderkey", "l_linenumber").alias("s"), kind.alias("o"), uri("repo/", "l_orderkey").alias("repository"))
 
     klass = F.element_at(F.array(*map(F.lit, CLASSES)), F.pmod("p_size", F.lit(6)) + 1)
     return Graph(
@@ -61,7 +61,7 @@ def publication_graph(spark: SparkSession, d: str) -> Graph:
             EdgeTable("hasEntity", lambda: lines().select(uri("pub/", "l_orderkey").alias("s"), uri("ent/", "l_orderkey", "l_partkey").alias("o")), "pub/"),
             EdgeTable("hasFigure", lambda: lines().filter("l_returnflag = 'R'").select(uri("pub/", "l_orderkey").alias("s"), uri("fig/", "l_orderkey").alias("o")), "pub/"),
             EdgeTable("hasFunction", lambda: lines().select(uri("repo/", "l_orderkey").alias("s"), uri("fn/", "l_orderkey", "l_linenumber").alias("o")), "repo/"),
-            EdgeTable("type", functions, "fn/"),
+            EdgeTable("type", functions, "fn/", owners={"hasFunction": "repository"}),
         ],
         namespaces={"kg": schema.KG, "rdf": "http://www.w3.org/1999/02/22-rdf-syntax-ns#"},
         ranges={"hasEntity": "ent/", "hasRepository": "repo/", "hasFunction": "fn/", "hasFigure": "fig/"},

@@ -39,12 +39,17 @@ class PropertyTable:
 
 @dataclass
 class EdgeTable:
-    """Triples of one predicate as columns ``s`` and ``o``."""
+    """Triples of one predicate as columns ``s`` and ``o``.
+
+    ``owners`` names further columns of the rows: for a predicate of which a subject of this table is the object exactly once,
+    the subject of that triple, as for property tables.
+    """
 
     predicate: str
     rows: Callable[[], DataFrame]
     prefix: str = ""
     is_set: bool = False
+    owners: dict[str, str] = field(default_factory=dict)
 
 
 @dataclass(frozen=True)
@@ -153,10 +158,14 @@ def _scan_star(table: PropertyTable, subject: str, group: list[Pattern], filters
     return rows.select(*(c.alias(v) for v, c in columns.items())) if columns else rows.select(F.lit(1).alias("?"))
 
 
-def _scan_edge(table: EdgeTable, q: Pattern, filters: dict[str, list[Callable[[Column], Column]]]) -> DataFrame:
-    rows = table.rows().select("s", F.col("o").cast("string").alias("o")).filter("s is not null and o is not null")
-    out = []
-    for name, term in (("s", q.s), ("o", q.o)):
+def _scan_edge(table: EdgeTable, q: Pattern, filters: dict[str, list[Callable[[Column], Column]]], owned: Sequence[Pattern] = ()) -> DataFrame:
+    ends = [("s", q.s), ("o", q.o), *((table.owners[x.p], x.s) for x in owned)]
+    rows = table.rows().select(*dict.fromkeys(("s", *(n for n, _ in ends[2:]))), F.col("o").cast("string").alias("o")).filter("s is not null and o is not null")
+    out: list[tuple[str, str]] = []
+    for name, term in ends:
+        same = next((n for n, v in out if v == term), None)
+        if same is not None and name != same:
+            rows = rows.filter(F.col(name) == F.col(same))
         if not is_var(term):
             rows = rows.filter(F.col(name) == term)
         else:
@@ -164,8 +173,6 @@ def _scan_edge(table: EdgeTable, q: Pattern, filters: dict[str, list[Callable[[C
                 rows = rows.filter(t(F.col(name)))
             if term not in [v for _, v in out]:
                 out.append((name, term))
-    if q.s == q.o and is_var(q.s):
-        rows = rows.filter("s = o")
     if not table.is_set:
         rows = rows.distinct()
     return rows.select(*(F.col(n).alias(v) for n, v in out))
@@ -200,9 +207,19 @@ def bind(graph: Graph, patterns: Sequence[Pattern], filters: dict[str, list[Call
         fixed = sum(not is_var(q.o) or q.o in filters for q in own) + sum(not is_var(q.s) for q in owned) + (not is_var(subject))
         relations.append((fixed, rel))
         left = [q for q in left if q not in own and q not in owned]
+    # where one edge table alone answers a pattern, patterns that it owns the object of go with it
+    with_owner: dict[Pattern, list[Pattern]] = {}
     for q in left:
+        tables = [t for t in graph.properties if q.p in t.columns and fits(t, q.s)] + [e for e in graph.edges if e.predicate == q.p and fits(e, q.s)]
+        if len(tables) == 1 and isinstance(tables[0], EdgeTable) and is_var(q.s):
+            taken = {x for xs in with_owner.values() for x in xs}
+            with_owner[q] = [x for x in left if x.o == q.s and x.s != x.o and not x.star and x.p in tables[0].owners and x not in taken and x not in with_owner]
+    gone = {x for xs in with_owner.values() for x in xs}
+    for q in left:
+        if q in gone:
+            continue
         parts = [_scan_star(t, q.s, [q], filters) for t in graph.properties if q.p in t.columns and fits(t, q.s)]
-        parts += [_scan_edge(e, q, filters) for e in graph.edges if e.predicate == q.p and fits(e, q.s)]
+        parts += [_scan_edge(e, q, filters, with_owner.get(q, ())) for e in graph.edges if e.predicate == q.p and fits(e, q.s)]
         if not parts:
             raise KeyError(f"no triples of {q.p}")
         rel = parts[0]

@@ -136,3 +136,9 @@ def test_owners_answer_like_edge_tables(spark):
         a, b = bind(star({}), patterns), bind(star({"has": F.col("p")}), patterns)
         assert sorted(map(tuple, a.select(sorted(a.columns)).collect()), key=str) == sorted(map(tuple, b.select(sorted(b.columns)).collect()), key=str)
         assert a.count() == b.count() > 0
+    # the same with several kinds of one subject, in an edge table
+    kinds = spark.createDataFrame([("p/1", "e/1", "A"), ("p/1", "e/1", "B"), ("p/1", "e/1", "B"), ("p/2", "e/3", "A")], "p string, s string, o string")
+    plain = lambda owners: Graph([], [EdgeTable("has", lambda: kinds.select(F.col("p").alias("s"), F.col("s").alias("o")), "p/"), EdgeTable("kind", lambda: kinds, "e/", owners=owners)], ranges={"has": "e/"})
+    for patterns in asks:
+        a, b = bind(plain({}), patterns), bind(plain({"has": "p"}), patterns)
+        assert sorted(map(tuple, a.select(sorted(a.columns)).collect()), key=str) == sorted(map(tuple, b.select(sorted(b.columns)).collect()), key=str)
