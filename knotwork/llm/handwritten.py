@@ -274,12 +274,12 @@ def mined_notes(seen: DataFrame) -> DataFrame:
     ``seen`` has kind, the declared attribute or null.
     """
     told = F.count("kind")
-    total = seen.agg(F.count(F.lit(1)).alias("files"), told.alias("told"))
+    all_files, all_told = seen.agg(F.count(F.lit(1)), told).first()
+    base = all_told / all_files if all_told else 1.0
     words = seen.select("file_id", "kind", F.explode("notes").alias("h"))
     share = F.col("told") / F.col("files")
     each = words.groupBy("h").agg(F.count(F.lit(1)).alias("files"), told.alias("told")).filter((F.col("told") >= LEAST_FILES) & (share >= LEAST_SHARE))
-    each = each.crossJoin(F.broadcast(total.select((F.col("told") / F.col("files")).alias("base")))).filter(share > F.col("base"))  # one row
-    each = each.select("h", (F.col("told") * F.log2(share / F.col("base"))).alias("gain"))
+    each = each.filter(share > base).select("h", (F.col("told") * F.log2(share / base)).alias("gain"))
     best = words.join(each, "h").groupBy("file_id").agg(F.max(F.struct("gain", "h")).alias("b"), F.max("kind").alias("kind")).select("file_id", "kind", F.col("b.h").alias("h"))
     kept = best.groupBy("h").agg(F.count(F.lit(1)).alias("files"), told.alias("told"), F.count(F.when(F.col("kind") == "vendored", 1)).alias("vendored"))
     kept = kept.filter((F.col("told") >= LEAST_FILES) & (share >= LEAST_SHARE))
